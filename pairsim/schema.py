@@ -1,0 +1,44 @@
+"""Logical schemas of the three core tables and the auxiliary records."""
+
+from pyspark.sql import types as T
+
+GROUPS = T.StructType([
+    T.StructField("group_id", T.LongType(), False),
+    T.StructField("group_name", T.StringType(), False),
+])
+
+ENTITIES = T.StructType([
+    T.StructField("group_id", T.LongType(), False),
+    T.StructField("entity_id", T.LongType(), False),
+    T.StructField("name", T.StringType(), True),
+    T.StructField("fingerprint_size", T.DoubleType(), True),
+    T.StructField("estimated_size", T.DoubleType(), True),
+    T.StructField("encoding", T.ArrayType(T.FloatType()), True),
+])
+
+PAIRS = T.StructType([
+    T.StructField("group_id", T.LongType(), False),
+    T.StructField("id1", T.LongType(), False),
+    T.StructField("id2", T.LongType(), False),
+    T.StructField("technique", T.StringType(), False),
+    T.StructField("score", T.DoubleType(), True),
+    T.StructField("freq_distance", T.DoubleType(), True),
+    T.StructField("minhash_distance", T.DoubleType(), True),
+    T.StructField("merge_successful", T.BooleanType(), True),
+    T.StructField("merged_size", T.LongType(), True),
+    T.StructField("merged_ir", T.StringType(), True),
+    T.StructField("merged_encoding", T.StringType(), True),
+])
+
+ENTITY_PK = ("group_id", "entity_id")
+PAIR_PK = ("group_id", "id1", "id2", "technique")
+
+# Merge-log metric record (one row per log file).
+LOG_METRICS = T.StructType([
+    T.StructField("benchmark", T.StringType(), False),
+    T.StructField("flags", T.StringType(), False),
+    T.StructField("total_functions", T.LongType(), True),
+    T.StructField("merge_attempts", T.LongType(), False),
+    T.StructField("profitable_merges", T.LongType(), False),
+    T.StructField("bin_size_difference", T.LongType(), False),
+])
