@@ -4,7 +4,7 @@ import importlib
 
 from pairsim.plans.registry import ORACLE, QUERIES
 
-_MODULES = ["vectors"]
+_MODULES = ["vectors", "split"]
 
 
 def load_all():
