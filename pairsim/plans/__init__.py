@@ -4,7 +4,7 @@ import importlib
 
 from pairsim.plans.registry import ORACLE, QUERIES
 
-_MODULES = ["vectors", "split"]
+_MODULES = ["vectors", "split", "evaluate"]
 
 
 def load_all():
