@@ -4,7 +4,7 @@ import importlib
 
 from pairsim.plans.registry import ORACLE, QUERIES
 
-_MODULES = ["vectors", "split", "evaluate", "ingest"]
+_MODULES = ["vectors", "split", "evaluate", "ingest", "quality"]
 
 
 def load_all():
