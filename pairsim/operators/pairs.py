@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsim.session import broadcast_if_small
-
 DEFAULT_TILE_ROWS = 2048
 
 
@@ -22,7 +20,9 @@ def _with_blocks(entities: DataFrame, group: str, ident: str, tile_rows: int) ->
     # Per-group sizes are pre-aggregated (map-side combine), one row per group.
     sizes = entities.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select(group, F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("_nb"))
-    sized = entities.join(broadcast_if_small(sizes), group)
+    # No hint: AQE broadcasts the aggregated side when its measured size is small,
+    # and keeps a shuffle join (with skew splitting) otherwise.
+    sized = entities.join(sizes, group)
     return sized.withColumn("_b", F.pmod(F.xxhash64(F.col(ident)), F.col("_nb")).cast("int"))
 
 
