@@ -19,20 +19,23 @@ PAIRS_OF = ("CASE WHEN len({l}) >= 2 THEN list_transform(range(1, len({l})), lam
 DOCS_SQL = f"""
 docs AS (SELECT source AS group_name, doc_id, text, {TOK.format(t='text')} AS toks FROM documents),
 shg AS (SELECT group_name, doc_id, {PAIRS_OF.format(l='toks')} AS sh FROM docs)"""
-SIG_SQL = DOCS_SQL + f""",
+SIGNATURE_PART = f"""
 hx AS (SELECT group_name, doc_id, ('0x' || substr(md5(s), 1, 8))::BIGINT AS h
        FROM (SELECT group_name, doc_id, unnest(list_distinct(sh)) AS s FROM shg)),
 co AS (SELECT i, 1 + ('0x' || substr(md5('a' || i), 1, 7))::BIGINT AS a, ('0x' || substr(md5('b' || i), 1, 7))::BIGINT AS b
        FROM range({K}) t(i)),
 mv AS (SELECT group_name, doc_id, i, min((a * h + b) % 2147483647) AS v FROM hx, co GROUP BY ALL),
-sig AS (SELECT group_name, doc_id, list(v ORDER BY i) AS sig FROM mv GROUP BY ALL),
+sig AS (SELECT group_name, doc_id, list(v ORDER BY i) AS sig FROM mv GROUP BY ALL)"""
+BANDS_PART = f"""
 bands AS (SELECT group_name, doc_id, b AS band,
                  md5(array_to_string(sig[b * {G.DEFAULT_ROWS} + 1 : b * {G.DEFAULT_ROWS} + {G.DEFAULT_ROWS}], ',')) AS key
-          FROM sig, range({G.DEFAULT_BANDS}) t(b)),
+          FROM sig, range({G.DEFAULT_BANDS}) t(b))"""
+CAND_PART = """
 cand AS (SELECT a.group_name, a.doc_id AS id1, b.doc_id AS id2, count(*)::BIGINT AS shared_bands
          FROM bands a JOIN bands b ON a.group_name = b.group_name AND a.band = b.band AND a.key = b.key
                                   AND a.doc_id < b.doc_id
          GROUP BY ALL)"""
+SIG_SQL = DOCS_SQL + "," + SIGNATURE_PART + "," + BANDS_PART + "," + CAND_PART
 
 
 def docs(spark, d):
@@ -207,3 +210,63 @@ FROM s JOIN pol ON size >= lo AND size < hi""")
 def q_lsh_adaptive(spark, d):
     sizes = docs(spark, d).groupBy("group_name").agg(F.count(F.lit(1)).alias("size"))
     return G.adaptive_parameters(sizes, "group_name")
+
+
+# ---- alignment (NW over LSH survivors, guard, blocks) ----
+
+def lsh_survivors(spark, d):
+    """LSH candidate pairs of the same source, with whole token sequences of both sides."""
+    s = signed_docs(spark, d)
+    cand = G.lsh_candidates(G.band_table(s, "group_name", "entity_id"), "group_name")
+    toks = docs(spark, d).select("entity_id", S.tokens("text").alias("t"))
+    return cand.join(toks.withColumnRenamed("entity_id", "id1").withColumnRenamed("t", "t1"), "id1") \
+               .join(toks.withColumnRenamed("entity_id", "id2").withColumnRenamed("t", "t2"), "id2")
+
+
+@query("align_nw")
+def q_align_nw(spark, d):
+    from pairsim.operators.alignment import align_nw
+    a = align_nw(lsh_survivors(spark, d))
+    return a.select("group_name", "id1", "id2", F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"),
+                    "status", "lcs", F.round("score", R).alias("score"))
+
+
+@query("align_guard", oracle="WITH " + DOCS_SQL.lstrip() + """
+SELECT a.group_name, a.doc_id AS id1, b.doc_id AS id2,
+       CASE WHEN len(a.toks)::BIGINT * len(b.toks)::BIGINT <= 1000000 THEN 'ok' ELSE 'too_large' END AS status
+FROM docs a JOIN docs b ON a.group_name = b.group_name AND a.doc_id < b.doc_id""")
+def q_align_guard(spark, d):
+    from pairsim.operators.alignment import align_guard
+    e = docs(spark, d).select("group_name", "entity_id", F.size(S.tokens("text")).alias("n"))
+    p = all_pairs(e, group="group_name", payload=["n"])
+    return align_guard(p, "n1", "n2", 1_000_000).select("group_name", "id1", "id2", "status")
+
+
+@query("block_nearest", oracle="WITH " + SIG_SQL.lstrip() + """,
+bl AS (SELECT doc_id, (u.i - 1)::INTEGER AS block, list_filter(string_split_regex(u.ln, '\\s+'), lambda x: x <> '') AS bt
+       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+             FROM docs) u),
+bs AS (SELECT doc_id, block, len(bt) AS bsize, bt FROM bl),
+h AS (SELECT doc_id, block, token, count(*) AS f FROM (SELECT doc_id, block, unnest(bt) AS token FROM bs) GROUP BY ALL),
+sh AS (SELECT c.id1, c.id2, l.block AS lblock, r.block AS rblock, sum(least(l.f, r.f)) AS shared
+       FROM cand c JOIN h l ON l.doc_id = c.id1 JOIN h r ON r.doc_id = c.id2 AND r.token = l.token GROUP BY ALL),
+al AS (SELECT c.id1, c.id2, l.block AS lblock, l.bsize AS lsize, r.block AS rblock, r.bsize AS rsize
+       FROM cand c JOIN bs l ON l.doc_id = c.id1 JOIN bs r ON r.doc_id = c.id2),
+dd AS (SELECT al.*, lsize + rsize - 2 * coalesce(shared, 0) AS dist FROM al LEFT JOIN sh USING (id1, id2, lblock, rblock)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY id1, id2, rblock ORDER BY dist, abs(lsize - rsize), lblock) AS r FROM dd)
+SELECT id1, id2, rblock, rsize::INTEGER AS rsize, lblock, lsize::INTEGER AS lsize, dist::BIGINT AS dist FROM rk WHERE r = 1""")
+def q_block_nearest(spark, d):
+    from pairsim.operators.alignment import block_nearest, block_table
+    s = signed_docs(spark, d)
+    cand = G.lsh_candidates(G.band_table(s, "group_name", "entity_id"), "group_name")
+    n = block_nearest(cand, block_table(docs(spark, d)))
+    return n.select("id1", "id2", "rblock", "rsize", "lblock", "lsize", F.col("dist").cast("long").alias("dist"))
+
+
+@query("align_blocks")
+def q_align_blocks(spark, d):
+    from pairsim.operators.alignment import align_blocks, block_table
+    s = signed_docs(spark, d)
+    cand = G.lsh_candidates(G.band_table(s, "group_name", "entity_id"), "group_name")
+    a = align_blocks(cand, block_table(docs(spark, d)))
+    return a.select("id1", "id2", "matches", "entries", F.round("score", R).alias("score"))
