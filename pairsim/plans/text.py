@@ -46,9 +46,8 @@ def signed_docs(spark, d, group_expr=None):
     e = docs(spark, d)
     if group_expr is not None:
         e = e.withColumn("group_name", group_expr)
-    e = e.select("group_name", "entity_id", S.shingles("text").alias("sh"))
     # Signatures are reused by every band and both join sides: materialise them once.
-    return cut_lineage(G.minhash_signature(e, "sh", K).drop("sh"))
+    return cut_lineage(G.minhash_text(e.select("group_name", "entity_id", "text"), "text", K).drop("text"))
 
 
 def doc_bands(spark, d, group_expr=None):

@@ -101,17 +101,24 @@ def log_file_meta(files: DataFrame, name: str = "file_name") -> DataFrame:
 
 
 def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Keep lines that match either pattern; extract the function count or the merge fields."""
+    """Keep lines that match either pattern; extract the function count or the merge fields.
+
+    Group 1 of each pattern is never empty on a match, so one extraction per
+    pattern decides membership; the other merge groups are extracted only
+    for merge lines.
+    """
     v = F.col(value)
-    is_count, is_merge = v.rlike(NUM_FUNCTIONS_RE), v.rlike(MERGE_LINE_RE)
-    g = lambda i: F.regexp_extract(v, MERGE_LINE_RE, i).cast("long")
-    return lines.filter(is_count | is_merge).select(
-        "*",
-        F.when(is_count, F.regexp_extract(v, NUM_FUNCTIONS_RE, 1).cast("long")).alias("n_functions"),
+    tagged = lines.select("*", F.regexp_extract(v, NUM_FUNCTIONS_RE, 1).alias("_nf"),
+                          F.regexp_extract(v, MERGE_LINE_RE, 1).alias("_g1"))
+    kept = tagged.filter((F.col("_nf") != "") | (F.col("_g1") != ""))
+    is_merge = F.col("_g1") != ""
+    g = lambda i: F.when(is_merge, F.regexp_extract(v, MERGE_LINE_RE, i).cast("long"))
+    return kept.select(
+        *lines.columns,
+        F.when(F.col("_nf") != "", F.col("_nf").cast("long")).alias("n_functions"),
         is_merge.alias("is_merge"),
-        F.when(is_merge, g(1)).alias("valid"), F.when(is_merge, g(2)).alias("size1"),
-        F.when(is_merge, g(3)).alias("size2"), F.when(is_merge, g(4)).alias("merged_size"),
-        F.when(is_merge, g(5)).alias("profitable"))
+        F.when(is_merge, F.col("_g1").cast("long")).alias("valid"), g(2).alias("size1"), g(3).alias("size2"),
+        g(4).alias("merged_size"), g(5).alias("profitable"))
 
 
 def merge_log_metrics(lines: DataFrame, order: str = "line_pos", file_col: str = "file_name") -> DataFrame:
