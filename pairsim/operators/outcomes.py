@@ -31,8 +31,12 @@ def size_reduction(cmp: DataFrame, technique: str = "technique") -> DataFrame:
 
 
 def technique_wins(cmp: DataFrame, reference: str, group: str = "group_id", technique: str = "technique") -> DataFrame:
-    """Per technique: groups where its reduction >= the reference technique's, and groups with negative reduction."""
-    r = cmp.withColumn("reduction", reduction_pct(F.col("avg_size"), F.col("base_size")))
+    """Per technique: groups where its reduction >= the reference technique's, and groups with negative reduction.
+
+    Reductions are compared at 9 decimals: floating sums merged in a different
+    order must not decide a tie.
+    """
+    r = cmp.withColumn("reduction", F.round(reduction_pct(F.col("avg_size"), F.col("base_size")), 9))
     ref = r.filter(F.col(technique) == reference).select(group, F.col("reduction").alias("_ref"))
     j = r.join(ref, group, "left")
     return j.groupBy(technique).agg(F.count_if(F.col("reduction") >= F.col("_ref")).alias("wins"),

@@ -10,9 +10,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+               spread: bool = True) -> DataFrame:
+    """Scan one table (projection applied at the scan).
+
+    A file with a single row group yields a single scan partition, which would
+    leave every stage before the first shuffle on one core. When the scan has
+    fewer partitions than the session's parallelism the rows are spread
+    round-robin (deterministic: Spark sorts before a round-robin repartition).
+    Large inputs have many splits and are left untouched.
+    """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    if columns:
+        df = df.select(*columns)
+    if spread:
+        want = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < want:
+            df = df.repartition(want)
+    return df
 
 
 def read_tables(spark: SparkSession, root: str, names=("groups", "entities", "pairs"), columns=None) -> dict:
