@@ -168,3 +168,12 @@ def vector_pair_scores(entities: DataFrame, group: str = "group_id", ident: str
 
     tiles = _tile_rows(entities, group, ident, [vec], tile_rows)
     return tiles.groupBy(group, "_ti", "_tj").applyInPandas(score_tile, schema)
+
+
+def pairs_filtered(pairs: DataFrame, predicate) -> DataFrame:
+    """A caller predicate on the pair table, given as a Column or a SQL expression string.
+
+    Apply it to the pairs before attaching features: Catalyst keeps it below
+    the feature joins and pushes what it can into the scan.
+    """
+    return pairs.filter(F.expr(predicate) if isinstance(predicate, str) else predicate)

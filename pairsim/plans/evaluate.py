@@ -189,3 +189,13 @@ def q_prediction_sample(spark, d):
     # A bounded sample is the feature: the first `limit` rows of a deterministic hash order.
     sp = scored_pairs(spark, d).withColumn("_k", hash_key("pair_key", seed="sample"))
     return exact_rank(sp, "_k", out="_r").filter(F.col("_r") <= 1000).select("pair_key", "score", "pred")
+
+
+@query("eval_slices", oracle=SP_SQL + """
+SELECT pair_key, true AS in_all, score <> 0 AS in_nonzero, score = 0 AS in_zero, score <> 0 AND score <> 1 AS in_between,
+       score > 0.5 AND score < 1 AS in_upper_half FROM sp""")
+def q_eval_slices(spark, d):
+    from pairsim.functions.scores import slice_flags
+    sp = scored_pairs(spark, d)
+    f = slice_flags(F.col("score"))
+    return sp.select("pair_key", *[f[n].alias(f"in_{n}") for n in f])
