@@ -17,7 +17,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_PREFIX = 3  # 4096 buckets
+DEFAULT_PREFIX = None  # chosen from the plan's size estimate, see auto_prefix
+ROWS_PER_BUCKET = 1_000_000
+ASSUMED_ROW_BYTES = 64
+
+
+def auto_prefix(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hex digits of the bucket prefix: ~rows_per_bucket rows per bucket, 256 to 65,536 buckets.
+
+    Uses Catalyst's size estimate of the plan (no job). 65,536 buckets keep the
+    broadcast offset table at a few hundred thousand rows.
+    """
+    import math
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001
+        return 3
+    rows = max(size // ASSUMED_ROW_BYTES, 1)
+    buckets = max(rows // rows_per_bucket, 1)
+    return min(max(math.ceil(math.log(buckets, 16)) if buckets > 1 else 2, 2), 4)
 
 
 def hash_key(*cols, seed: str = "42") -> Column:
@@ -33,6 +51,7 @@ def hash_key(*cols, seed: str = "42") -> Column:
 def bucket_counts(df: DataFrame, key: str, partition: list[str] | None = None,
                   prefix_len: int = DEFAULT_PREFIX) -> DataFrame:
     """Rows per (partition, key-prefix bucket); partial aggregation keeps the shuffle tiny."""
+    prefix_len = prefix_len or auto_prefix(df)
     return (df.groupBy(*(partition or []), F.substring(F.col(key), 1, prefix_len).alias("_bucket"))
               .agg(F.count(F.lit(1)).alias("_cnt")))
 
@@ -48,6 +67,7 @@ def exact_rank(df: DataFrame, key: str, partition: list[str] | None = None, out:
     small offset table before it is broadcast (e.g. per-partition thresholds).
     """
     partition = list(partition or [])
+    prefix_len = prefix_len or auto_prefix(df)
     counts = counts if counts is not None else bucket_counts(df, key, partition, prefix_len)
     w = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*partition, "_bucket",
