@@ -95,22 +95,25 @@ def suite_of(name: Column) -> Column:
     return expr.otherwise(name)
 
 
-def history_best(hist: DataFrame, trial: str = "trial", epoch: str = "epoch", metric: str = "val_mse") -> DataFrame:
-    """Running minimum of the metric per trial (window per trial, ordered by epoch)."""
-    w = Window.partitionBy(trial).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
-    return hist.withColumn("best_so_far", F.min(metric).over(w))
+def history_best(hist: DataFrame, trial: str = "trial", step: str = "step", metric: str = "val_mse") -> DataFrame:
+    """Epoch number and running minimum of the metric per trial (ordered by ``step``).
+
+    Computed with chunked running aggregates, so a very long trial is spread
+    over many tasks instead of one window partition.
+    """
+    from pairsim.operators.ranking import running_aggregates
+    return running_aggregates(hist, [trial], step, [("epoch", "count", None), ("best_so_far", "min", metric)])
 
 
-def early_stop(hist: DataFrame, patience: int = 5, trial: str = "trial", epoch: str = "epoch",
+def early_stop(hist: DataFrame, patience: int = 5, trial: str = "trial", step: str = "step",
                metric: str = "val_loss") -> DataFrame:
-    """Per trial, the first epoch at which the metric has not improved for ``patience`` epochs (NULL: never)."""
-    w = Window.partitionBy(trial).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
-    h = hist.withColumn("_prev_best", F.min(metric).over(w))
+    """Per trial, the first epoch at which the metric has not improved for ``patience`` epochs (NULL: never),
+    the best epoch and the best value."""
+    from pairsim.operators.ranking import running_aggregates
+    h = running_aggregates(hist, [trial], step, [("epoch", "count", None), ("_prev_best", "min_before", metric)])
     h = h.withColumn("_improved", F.col("_prev_best").isNull() | (F.col(metric) < F.col("_prev_best")))
-    w2 = Window.partitionBy(trial).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumn("_last_best", F.max(F.when(F.col("_improved"), F.col(epoch))).over(w2))
-    h = h.withColumn("_gap", F.col(epoch) - F.col("_last_best"))
-    stop = h.groupBy(trial).agg(F.min(F.when(F.col("_gap") >= patience, F.col(epoch))).alias("stop_epoch"),
-                                F.min_by(epoch, F.struct(metric, epoch)).alias("best_epoch"),
+    h = running_aggregates(h, [trial], step, [("_last_best", "max", F.when(F.col("_improved"), F.col("epoch")))])
+    h = h.withColumn("_gap", F.col("epoch") - F.col("_last_best"))
+    return h.groupBy(trial).agg(F.min(F.when(F.col("_gap") >= patience, F.col("epoch"))).alias("stop_epoch"),
+                                F.min_by("epoch", F.struct(metric, "epoch")).alias("best_epoch"),
                                 F.min(metric).alias("best_value"))
-    return stop

@@ -101,3 +101,37 @@ def shuffle_order(df: DataFrame, key: str, out: str = "position", partitions: in
     """Rows in random (hash) order: range-partitioned on the key and sorted inside partitions."""
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartitionByRange(n, F.col(key)).sortWithinPartitions(key)
+
+
+def running_aggregates(df: DataFrame, partition: list[str], order: str, specs: list[tuple[str, str, object]],
+                       chunk: int = 65536) -> DataFrame:
+    """Running count / min / max per partition ordered by a numeric ``order`` column, without one task per partition.
+
+    Rows are cut into chunks of ``order // chunk``; each (partition, chunk)
+    holds at most ``chunk`` rows. Per-chunk partials are carried across the
+    chunks of a partition by a window over the small chunk table, and each
+    chunk is finished by a window bounded by ``chunk`` rows. ``specs`` holds
+    (output, kind, column) with kind in count, min, max (inclusive of the
+    current row) or min_before, max_before (excluding it). ``order`` must be
+    unique within a partition.
+    """
+    c = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
+    col = lambda x: F.lit(1) if x is None else (F.col(x) if isinstance(x, str) else x)
+    base = {"count": "count", "min": "min", "max": "max", "min_before": "min", "max_before": "max"}
+    part_agg = {"count": F.count, "min": F.min, "max": F.max}
+    aggs = [part_agg[base[k]](col(x)).alias(f"_p_{o}") for o, k, x in specs]
+    per = c.groupBy(*partition, "_chunk").agg(*aggs)
+    w = Window.partitionBy(*partition).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry_fn = {"count": F.sum, "min": F.min, "max": F.max}
+    carry = per.select(*partition, "_chunk", *[carry_fn[base[k]](f"_p_{o}").over(w).alias(f"_k_{o}") for o, k, _ in specs])
+    j = c.join(carry, [*partition, "_chunk"])
+    incl = Window.partitionBy(*partition, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    excl = Window.partitionBy(*partition, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    for o, k, x in specs:
+        if k == "count":
+            j = j.withColumn(o, F.coalesce(F.col(f"_k_{o}"), F.lit(0)) + F.count(col(x)).over(incl))
+        elif k in ("min", "min_before"):
+            j = j.withColumn(o, F.least(F.col(f"_k_{o}"), F.min(col(x)).over(incl if k == "min" else excl)))
+        else:
+            j = j.withColumn(o, F.greatest(F.col(f"_k_{o}"), F.max(col(x)).over(incl if k == "max" else excl)))
+    return j.drop("_chunk", *[f"_k_{o}" for o, _, _ in specs])

@@ -82,3 +82,22 @@ def test_no_single_partition_window(spark):
     plan = exact_rank(df, "key")._jdf.queryExecution().executedPlan().toString()
     # the only single-partition step may be the tiny offset window; the rank itself is bucketed
     assert "hashpartitioning(_bucket" in plan
+
+
+def test_running_aggregates_small_chunks_equal_window(spark):
+    import random
+    from pyspark.sql import Window
+    from pairsim.operators.ranking import running_aggregates
+    rnd = random.Random(9)
+    rows = [(rnd.choice([1, 1, 1, 2, 3]), i, rnd.random()) for i in range(0, 600, 1) if rnd.random() < 0.8]
+    df = spark.createDataFrame(rows, "t long, step long, v double")
+    got = running_aggregates(df, ["t"], "step", [("n", "count", None), ("mn", "min", "v"), ("pb", "min_before", "v"),
+                                                 ("mx", "max", "v")], chunk=7)
+    w = Window.partitionBy("t").orderBy("step")
+    want = df.select("t", "step", F.row_number().over(w).alias("n"),
+                     F.min("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("mn"),
+                     F.min("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("pb"),
+                     F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("mx"))
+    a = sorted(tuple(r) for r in got.select("t", "step", "n", "mn", "pb", "mx").collect())
+    b = sorted(tuple(r) for r in want.collect())
+    assert a == b
