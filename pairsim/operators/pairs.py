@@ -71,24 +71,31 @@ def pair_features_uid(pairs: DataFrame, encodings: DataFrame, uid: str = "uid",
     return pairs.join(e1, "uid1").join(e2, "uid2")
 
 
+def _both_sides(pairs: DataFrame, group: str, extra: list[str] | None = None) -> DataFrame:
+    """Each pair as two rows (entity, partner) from one pass over ``pairs`` (explode, not a union that
+    would evaluate the pair plan twice)."""
+    extra = extra or []
+    sides = F.explode(F.array(
+        F.struct(F.col("id1").alias("entity"), F.col("id2").alias("partner")),
+        F.struct(F.col("id2").alias("entity"), F.col("id1").alias("partner")))).alias("_s")
+    return pairs.select(F.col(group), *[F.col(c) for c in extra], sides).select(group, *extra, "_s.entity", "_s.partner")
+
+
 def mirror(pairs: DataFrame, group: str, score: str) -> DataFrame:
     """Both directions of each pair as (group, entity, partner, score)."""
-    a = pairs.select(F.col(group), F.col("id1").alias("entity"), F.col("id2").alias("partner"), F.col(score).alias("score"))
-    b = pairs.select(F.col(group), F.col("id2").alias("entity"), F.col("id1").alias("partner"), F.col(score).alias("score"))
-    return a.unionByName(b)
+    return _both_sides(pairs.withColumnRenamed(score, "score") if score != "score" else pairs, group, ["score"]) \
+        .select(group, "entity", "partner", "score")
 
 
 def semi_members(entities: DataFrame, pairs: DataFrame, group: str = "group_id", ident: str = "entity_id") -> DataFrame:
     """Entities referenced by either side of a pair table (left semi join)."""
-    ids = (pairs.select(F.col(group), F.col("id1").alias(ident))
-           .union(pairs.select(F.col(group), F.col("id2").alias(ident))))
+    ids = _both_sides(pairs, group).select(F.col(group), F.col("entity").alias(ident))
     return entities.join(ids, [group, ident], "left_semi")
 
 
 def pair_member_ids(pairs: DataFrame, group: str = "group_id") -> DataFrame:
     """Distinct ids referenced by either side (UNION distinct)."""
-    return (pairs.select(F.col(group), F.col("id1").alias("entity_id"))
-            .union(pairs.select(F.col(group), F.col("id2").alias("entity_id"))).distinct())
+    return _both_sides(pairs, group).select(F.col(group), F.col("entity").alias("entity_id")).distinct()
 
 
 def semi_groups(groups: DataFrame, pairs: DataFrame, group: str = "group_id") -> DataFrame:
