@@ -16,34 +16,41 @@ from pyspark.sql import functions as F
 DEFAULT_TILE_ROWS = 2048
 
 
-def _with_blocks(entities: DataFrame, group: str, ident: str, tile_rows: int) -> DataFrame:
-    # Per-group sizes are pre-aggregated (map-side combine), one row per group.
-    sizes = entities.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select(group, F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("_nb"))
+def _keys(group) -> list[str]:
+    return [group] if isinstance(group, str) else list(group)
+
+
+def _with_blocks(entities: DataFrame, group, ident: str, tile_rows: int) -> DataFrame:
+    keys = _keys(group)
+    # Per-key sizes are pre-aggregated (map-side combine), one row per key.
+    sizes = entities.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(*keys, F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("_nb"))
     # No hint: AQE broadcasts the aggregated side when its measured size is small,
     # and keeps a shuffle join (with skew splitting) otherwise.
-    sized = entities.join(sizes, group)
+    sized = entities.join(sizes, keys)
     return sized.withColumn("_b", F.pmod(F.xxhash64(F.col(ident)), F.col("_nb")).cast("int"))
 
 
-def all_pairs(entities: DataFrame, group: str = "group_id", ident: str = "entity_id",
+def all_pairs(entities: DataFrame, group="group_id", ident: str = "entity_id",
               payload: list[str] | None = None, tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
-    """Every unordered pair (id1 < id2) of entities of the same group.
+    """Every unordered pair (id1 < id2) of entities sharing the key ``group`` (a column or a list of columns).
 
     ``payload`` columns are carried along as ``<col>1`` / ``<col>2``.
     """
     payload = payload or []
-    blk = _with_blocks(entities.select(group, ident, *payload), group, ident, tile_rows)
-    left = blk.select(F.col(group), F.col(ident).alias("_l"), *[F.col(c).alias(f"_l_{c}") for c in payload],
+    keys = _keys(group)
+    blk = _with_blocks(entities.select(*keys, ident, *payload), keys, ident, tile_rows)
+    left = blk.select(*keys, F.col(ident).alias("_l"), *[F.col(c).alias(f"_l_{c}") for c in payload],
                       F.col("_b").alias("_bi"), F.explode(F.sequence(F.col("_b"), F.col("_nb") - 1)).alias("_bj"))
-    right = blk.select(F.col(group).alias("_g2"), F.col(ident).alias("_r"),
+    right = blk.select(*[F.col(k).alias(f"_k2_{k}") for k in keys], F.col(ident).alias("_r"),
                        *[F.col(c).alias(f"_r_{c}") for c in payload],
                        F.col("_b").alias("_bj2"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_bi2"))
-    joined = left.join(right, (F.col(group) == F.col("_g2")) & (F.col("_bi") == F.col("_bi2"))
-                       & (F.col("_bj") == F.col("_bj2"))
-                       & ((F.col("_bi") < F.col("_bj")) | (F.col("_l") < F.col("_r"))))
+    cond = (F.col("_bi") == F.col("_bi2")) & (F.col("_bj") == F.col("_bj2"))
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_k2_{k}"))
+    joined = left.join(right, cond & ((F.col("_bi") < F.col("_bj")) | (F.col("_l") < F.col("_r"))))
     first = F.col("_l") < F.col("_r")
-    out = [F.col(group), F.least("_l", "_r").alias("id1"), F.greatest("_l", "_r").alias("id2")]
+    out = [*[F.col(k) for k in keys], F.least("_l", "_r").alias("id1"), F.greatest("_l", "_r").alias("id2")]
     for c in payload:
         out.append(F.when(first, F.col(f"_l_{c}")).otherwise(F.col(f"_r_{c}")).alias(f"{c}1"))
         out.append(F.when(first, F.col(f"_r_{c}")).otherwise(F.col(f"_l_{c}")).alias(f"{c}2"))

@@ -60,10 +60,9 @@ def freq_distance(hist: DataFrame, group: str, ident: str = "entity_id", tile_ro
     tiled so that a token present in a third of all entities is spread over
     many tasks. Pairs sharing no token get shared = 0.
     """
-    tok = hist.withColumn("_gt", F.concat_ws("\u0001", F.col(group), F.col("token")))
-    co = all_pairs(tok.select("_gt", ident, "n", group), group="_gt", ident=ident, payload=["n", group], tile_rows=tile_rows)
-    shared = co.groupBy(F.col(f"{group}1").alias(group), "id1", "id2").agg(
-        F.sum(F.least("n1", "n2")).alias("_shared"))
+    co = all_pairs(hist.select(group, "token", ident, "n"), group=[group, "token"], ident=ident, payload=["n"],
+                   tile_rows=tile_rows)
+    shared = co.groupBy(group, "id1", "id2").agg(F.sum(F.least("n1", "n2")).alias("_shared"))
     sizes = fingerprint_size(hist, ident, group)
     pairs = all_pairs(sizes.select(group, ident, "size"), group=group, ident=ident, payload=["size"], tile_rows=tile_rows)
     j = pairs.join(shared, [group, "id1", "id2"], "left")
@@ -176,10 +175,9 @@ def lsh_candidates(bands_df: DataFrame, group: str, ident: str = "entity_id", ti
     over tasks) and the per-band pair rows are combined map-side by the
     grouped count.
     """
-    b = bands_df.withColumn("_bk", F.concat_ws("\u0001", F.col(group).cast("string"), F.col("band").cast("string"),
-                                              F.col("key")))
-    p = all_pairs(b.select("_bk", ident, group), group="_bk", ident=ident, payload=[group], tile_rows=tile_rows)
-    return p.groupBy(F.col(f"{group}1").alias(group), "id1", "id2").agg(F.count(F.lit(1)).alias("shared_bands"))
+    p = all_pairs(bands_df.select(group, "band", "key", ident), group=[group, "band", "key"], ident=ident,
+                  tile_rows=tile_rows)
+    return p.groupBy(group, "id1", "id2").agg(F.count(F.lit(1)).alias("shared_bands"))
 
 
 def bucket_cap(bands_df: DataFrame, group: str, ident: str = "entity_id", cap: int = DEFAULT_BUCKET_CAP) -> DataFrame:

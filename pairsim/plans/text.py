@@ -182,9 +182,8 @@ def q_align_pa(spark, d):
     e = docs(spark, d).select("group_name", "entity_id", S.tokens("text").alias("t"),
                               F.size(S.tokens("text")).alias("n"))
     # Positional alignment only applies to equal lengths: pair inside (group, length).
-    e = e.withColumn("_gl", F.concat_ws("\u0001", "group_name", F.col("n").cast("string")))
-    p = all_pairs(e, group="_gl", payload=["t", "group_name"])
-    return p.select(F.col("group_name1").alias("group_name"), "id1", "id2",
+    p = all_pairs(e, group=["group_name", "n"], payload=["t"])
+    return p.select("group_name", "id1", "id2",
                     S.equal_positions("t1", "t2").cast("long").alias("matches"),
                     F.round(S.positional_alignment("t1", "t2"), R).alias("score"))
 
