@@ -268,3 +268,19 @@ def q_align_blocks(spark, d):
     cand = G.lsh_candidates(G.band_table(s, "group_name", "entity_id"), "group_name")
     a = align_blocks(cand, block_table(docs(spark, d)))
     return a.select("id1", "id2", "matches", "entries", F.round("score", R).alias("score"))
+
+
+def _blocks_of(text_col):
+    return F.transform(S.lines(text_col), lambda ln: S.tokens(ln))
+
+
+@query("align_blocks_consuming")
+def q_align_blocks_consuming(spark, d):
+    from pairsim.operators.alignment import align_blocks_consuming
+    s = signed_docs(spark, d)
+    cand = G.lsh_candidates(G.band_table(s, "group_name", "entity_id"), "group_name")
+    b = docs(spark, d).select("entity_id", _blocks_of("text").alias("b"))
+    p = cand.join(b.withColumnRenamed("entity_id", "id1").withColumnRenamed("b", "b1"), "id1") \
+            .join(b.withColumnRenamed("entity_id", "id2").withColumnRenamed("b", "b2"), "id2")
+    out = align_blocks_consuming(p)
+    return out.select("group_name", "id1", "id2", "matches", "entries", F.round("score", 6).alias("score"))

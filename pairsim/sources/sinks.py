@@ -26,3 +26,27 @@ def write_metrics_csv(df: DataFrame, path: str) -> None:
 def write_splits(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """The three data sets, partitioned by split; kept when present unless ``overwrite``."""
     df.write.mode("overwrite" if overwrite else "ignore").partitionBy("split").parquet(path)
+
+
+def iter_batches(df: DataFrame, key: str, batch_rows: int):
+    """O81/O83 at the trainer boundary: pandas batches of exactly ``batch_rows`` rows (the last one short).
+
+    Batches are numbered in Spark (bucketed rank), range-partitioned by batch
+    number and streamed to the consumer one partition at a time with
+    ``toLocalIterator`` — the driver never holds more than one partition.
+    """
+    import pandas as pd
+
+    from pairsim.operators.split import fixed_batches
+
+    b = fixed_batches(df, key, batch_rows)
+    ordered = b.repartitionByRange(F.col("batch_id")).sortWithinPartitions("batch_id", key)
+    current, rows = None, []
+    for r in ordered.toLocalIterator(prefetchPartitions=True):
+        if current is not None and r["batch_id"] != current:
+            yield pd.DataFrame(rows, columns=ordered.columns)
+            rows = []
+        current = r["batch_id"]
+        rows.append(tuple(r))
+    if rows:
+        yield pd.DataFrame(rows, columns=ordered.columns)

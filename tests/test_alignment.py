@@ -66,3 +66,22 @@ def test_shingles_cross_and_blocks(spark):
     got = [(r[0], r[1]) for r in df.select(shingles("t"), shingles("t", False)).collect()]
     assert got[0] == (["a b", "b c", "c d"], ["a b", "c d"])
     assert got[1] == ([], []) and got[2] == ([], [])
+
+
+def test_consuming_blocks_hand_worked():
+    from pairsim.operators.alignment import consume_blocks
+    left = [["a", "b"], ["c", "d", "e"], ["x"]]
+    right = [["c", "d", "e"], ["a", "b"], ["c", "d", "e"]]
+    # r0 takes l1 (3 matches), r1 takes l0 (2), r2 finds only "x" left: no match -> 3 gap entries; "x" is a gap too
+    assert consume_blocks(left, right) == (5, 3 + 2 + 3 + 1)
+    # pa mode: equal sizes only
+    assert consume_blocks([["a", "b"]], [["a", "c", "d"]], "pa") == (0, 3 + 2)
+    # identical sequences of blocks align fully
+    assert consume_blocks(left, left) == (6, 6)
+
+
+def test_consuming_blocks_udf(spark):
+    from pairsim.operators.alignment import align_blocks_consuming
+    df = spark.createDataFrame([([["a", "b"], ["c"]], [["a", "b"], ["c"]])], "b1 array<array<string>>, b2 array<array<string>>")
+    r = align_blocks_consuming(df).collect()[0]
+    assert (r["matches"], r["entries"], r["score"]) == (3, 3, 1.0)
