@@ -151,10 +151,10 @@ def q_binned_density(spark, d):
 
 
 @query("weighted_loss", oracle=SP_SQL + """
-SELECT technique, round(sum(CASE WHEN score = 0 THEN 0.001 ELSE 1.0 END * (score - pred) ^ 2) / count(*), 6) AS loss_mean,
-       round(sum(CASE WHEN score = 0 THEN 0.001 ELSE 1.0 END * (score - pred) ^ 2)
-             / sum(CASE WHEN score = 0 THEN 0.001 ELSE 1.0 END), 6) AS loss_weighted,
-       round(sum(CASE WHEN score = 0 THEN 0.001 ELSE 1.0 END), 6) AS weight_sum
+SELECT technique, round(sum(CASE WHEN score = 0 THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END * (score - pred) ^ 2) / count(*), 6) AS loss_mean,
+       round(sum(CASE WHEN score = 0 THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END * (score - pred) ^ 2)
+             / sum(CASE WHEN score = 0 THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END), 6) AS loss_weighted,
+       round(sum(CASE WHEN score = 0 THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END), 6) AS weight_sum
 FROM sp GROUP BY technique""")
 def q_weighted_loss(spark, d):
     w = E.weighted_loss(scored_pairs(spark, d), by=["technique"])
