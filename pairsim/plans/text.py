@@ -72,7 +72,8 @@ SELECT p.group_name, p.id1, p.id2, size1::BIGINT AS size1, size2::BIGINT AS size
        (size1 + size2 - 2 * coalesce(shared, 0))::BIGINT AS freq_distance
 FROM p LEFT JOIN sh USING (group_name, id1, id2)""")
 def q_freq_distance(spark, d):
-    hist = G.token_histogram(docs(spark, d), group="group_name")
+    # The histogram feeds two tiled joins (token co-occurrence and pair sizes): materialise it once.
+    hist = cut_lineage(G.token_histogram(docs(spark, d), group="group_name"))
     return G.freq_distance(hist, "group_name")
 
 
