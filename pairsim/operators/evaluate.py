@@ -46,10 +46,8 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def class_weights(df: DataFrame, cls: str) -> DataFrame:
     """Inverse-frequency weights total / (n_classes * n_c)."""
     per = df.groupBy(cls).agg(F.count(F.lit(1)).alias("n"))
-    tot = per.agg(F.sum("n").alias("_tot"), F.count(F.lit(1)).alias("_k"))
-    # One row.
-    return per.crossJoin(F.broadcast(tot)).select(
-        cls, "n", (F.col("_tot") / (F.col("_k") * F.col("n"))).alias("weight"))
+    tot = per.agg(F.struct(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k"))).scalar()  # scalar subquery
+    return per.select(cls, "n", (tot["t"] / (tot["k"] * F.col("n"))).alias("weight"))
 
 
 def diff_histogram(df: DataFrame, truth: str = "score", pred: str = "pred", bins: int = 50) -> DataFrame:
@@ -61,21 +59,20 @@ def diff_histogram(df: DataFrame, truth: str = "score", pred: str = "pred", bins
     """
     x = (F.col(truth).cast("double") - F.col(pred).cast("double")).alias("_x")
     d = df.select(x).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    rng = d.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    rng = rng.withColumn("_w", (F.col("_hi") - F.col("_lo")) / F.lit(bins))
-    j = d.crossJoin(F.broadcast(rng))  # one row
-    raw = F.floor((F.col("_x") - F.col("_lo")) * (F.lit(bins) / (F.col("_hi") - F.col("_lo"))))
-    i0 = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1)))
-    j = j.withColumn("_i", i0.cast("int"))
-    edge = lambda k: F.col("_lo") + k * F.col("_w")
+    rng = d.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("r")).scalar()  # scalar subquery
+    lo, hi = rng["lo"], rng["hi"]
+    w = (hi - lo) / F.lit(bins)
+    raw = F.floor((F.col("_x") - lo) * (F.lit(bins) / (hi - lo)))
+    i0 = F.when(hi == lo, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
+    j = d.withColumn("_i", i0)
+    edge = lambda k: lo + k * w
     j = j.withColumn("_i", F.when(F.col("_x") < edge(F.col("_i")), F.col("_i") - 1)
                      .when((F.col("_x") >= edge(F.col("_i") + 1)) & (F.col("_i") != bins - 1), F.col("_i") + 1)
                      .otherwise(F.col("_i")))
     counts = j.groupBy("_i").agg(F.count(F.lit(1)).alias("n"))
-    all_bins = rng.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "_lo", "_w")
+    all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     out = all_bins.join(counts, all_bins["bin"] == counts["_i"], "left")
-    return out.select("bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("lower"),
-                      (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("upper"),
+    return out.select("bin", (lo + F.col("bin") * w).alias("lower"), (lo + (F.col("bin") + 1) * w).alias("upper"),
                       F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
 
 
@@ -104,14 +101,13 @@ def hexbin(df: DataFrame, x: str = "score", y: str = "pred", gridsize: int = 500
     nx = gridsize
     ny = int(nx / math.sqrt(3))
     d = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
-    ext = d.agg(F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1"))
-    pad = lambda lo, hi: (F.col(hi) - F.col(lo)) * F.lit(1e-9)
-    ext = ext.select((F.col("_x0") - pad("_x0", "_x1")).alias("xmin"), (F.col("_x1") + pad("_x0", "_x1")).alias("xmax"),
-                     (F.col("_y0") - pad("_y0", "_y1")).alias("ymin"), (F.col("_y1") + pad("_y0", "_y1")).alias("ymax"))
-    j = d.crossJoin(F.broadcast(ext))  # one row
-    sx = (F.col("xmax") - F.col("xmin")) / F.lit(nx)
-    sy = (F.col("ymax") - F.col("ymin")) / F.lit(ny)
-    j = j.select(((F.col("_x") - F.col("xmin")) / sx).alias("u"), ((F.col("_y") - F.col("ymin")) / sy).alias("v"))
+    e = d.agg(F.struct(F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"),
+                       F.max("_y").alias("y1")).alias("e")).scalar()  # scalar subquery
+    xpad, ypad = (e["x1"] - e["x0"]) * F.lit(1e-9), (e["y1"] - e["y0"]) * F.lit(1e-9)
+    xmin, xmax, ymin, ymax = e["x0"] - xpad, e["x1"] + xpad, e["y0"] - ypad, e["y1"] + ypad
+    sx = (xmax - xmin) / F.lit(nx)
+    sy = (ymax - ymin) / F.lit(ny)
+    j = d.select(((F.col("_x") - xmin) / sx).alias("u"), ((F.col("_y") - ymin) / sy).alias("v"))
     i1, j1 = F.rint("u"), F.rint("v")
     i2, j2 = F.floor("u"), F.floor("v")
     d1 = (F.col("u") - i1) ** 2 + F.lit(3.0) * (F.col("v") - j1) ** 2
@@ -133,16 +129,17 @@ def binned_density(df: DataFrame, x: str = "score", y: str = "pred", bins: int =
     (2r+1)^2-row offset table. Only occupied cells are reported.
     """
     g = hist2d(df, x, y, bins).select("bx", "by", "n")
-    spark = df.sparkSession
-    offs = spark.range(-radius, radius + 1).select(F.col("id").cast("int").alias("dx")).crossJoin(
-        spark.range(-radius, radius + 1).select(F.col("id").cast("int").alias("dy")))
-    offs = offs.withColumn("w", F.exp(-(F.col("dx") ** 2 + F.col("dy") ** 2) / F.lit(2.0 * sigma * sigma)))
-    spread = g.crossJoin(F.broadcast(offs)).select(
-        (F.col("bx") + F.col("dx")).alias("tx"), (F.col("by") + F.col("dy")).alias("ty"), (F.col("n") * F.col("w")).alias("m"))
+    kernel = [(dx, dy, math.exp(-(dx * dx + dy * dy) / (2.0 * sigma * sigma)))
+              for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1)]
+    offs = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(wt).alias("w"))
+                               for dx, dy, wt in kernel])).alias("o")
+    spread = g.select("bx", "by", "n", offs).select(
+        (F.col("bx") + F.col("o.dx")).alias("tx"), (F.col("by") + F.col("o.dy")).alias("ty"),
+        (F.col("n") * F.col("o.w")).alias("m"))
     dens = spread.groupBy("tx", "ty").agg(F.sum("m").alias("_m"))
-    tot = g.agg(F.sum("n").alias("_tot"))
-    out = g.join(dens, (g["bx"] == dens["tx"]) & (g["by"] == dens["ty"])).crossJoin(F.broadcast(tot))
-    return out.select("bx", "by", "n", (F.col("_m") / F.col("_tot")).alias("density"))
+    tot = g.agg(F.sum("n")).scalar()  # scalar subquery
+    out = g.join(dens, (g["bx"] == dens["tx"]) & (g["by"] == dens["ty"]))
+    return out.select("bx", "by", "n", (F.col("_m") / tot).alias("density"))
 
 
 def weighted_loss(df: DataFrame, truth: str = "score", pred: str = "pred", by: list[str] | None = None,

@@ -17,9 +17,9 @@ def insert_groups_if_absent(groups: DataFrame, incoming_names: DataFrame, name:
     md5(name) order so that concurrent writers agree.
     """
     new = incoming_names.select(name).distinct().join(groups.select(name), name, "left_anti")
-    base = groups.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("_base"))
-    new = dense_uid(new, [name], out="_u").crossJoin(F.broadcast(base))  # one row
-    new = new.select((F.col("_base") + F.col("_u") + 1).cast("long").alias("group_id"), name)
+    base = groups.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("_base")).scalar()  # scalar subquery
+    new = dense_uid(new, [name], out="_u")
+    new = new.select((base + F.col("_u") + 1).cast("long").alias("group_id"), name)
     return groups.select("group_id", name).unionByName(new)
 
 

@@ -63,10 +63,8 @@ def decision_outcome(decisions: DataFrame, outcomes: DataFrame, key: list[str])
 
 def threshold_sweep(best: DataFrame, thresholds=(0.4, 0.5, 0.6), score: str = "score") -> DataFrame:
     """For each threshold t, how many best partners exceed t (merge only if score > t)."""
-    spark = best.sparkSession
-    th = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    # Bounded: one row per threshold.
-    j = best.crossJoin(F.broadcast(th))
+    th = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    j = best.select(F.col(score), th)
     return j.groupBy("threshold").agg(F.count_if(F.col(score) > F.col("threshold")).alias("merges"),
                                       F.count(F.lit(1)).alias("entities"))
 

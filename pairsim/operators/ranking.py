@@ -74,9 +74,9 @@ def exact_rank(df: DataFrame, key: str, partition: list[str] | None = None, out:
                             F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
     if decorate is not None:
         offsets = decorate(offsets)
-    # Bounded: (#partition values) x 16^prefix_len rows.
-    ranked = df.withColumn("_bucket", F.substring(F.col(key), 1, prefix_len)).join(
-        F.broadcast(offsets), [*partition, "_bucket"])
+    # (#partition values) x 16^prefix_len rows, aggregated: AQE broadcasts it from its measured size;
+    # otherwise the join shares the (partition, bucket) partitioning with the rank window below.
+    ranked = df.withColumn("_bucket", F.substring(F.col(key), 1, prefix_len)).join(offsets, [*partition, "_bucket"])
     wr = Window.partitionBy(*partition, "_bucket").orderBy(F.col(key))
     return ranked.withColumn(out, (F.col("_off") + F.row_number().over(wr)).cast("long")).drop("_bucket", "_off")
 
