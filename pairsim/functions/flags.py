@@ -47,7 +47,7 @@ def _pairs(s: Column) -> Column:
 def value_of(s: Column, key: str, default: str) -> Column:
     """Value of ``key`` in the flag string (last occurrence wins), else the default."""
     hits = F.filter(_pairs(s), lambda p: p["k"] == key)
-    return F.coalesce(F.element_at(F.transform(hits, lambda p: p["v"]), -1), F.lit(default))
+    return F.coalesce(F.try_element_at(F.transform(hits, lambda p: p["v"]), F.lit(-1)), F.lit(default))
 
 
 def canonical(s: Column) -> Column:

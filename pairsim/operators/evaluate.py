@@ -107,7 +107,7 @@ def hexbin(df: DataFrame, x: str = "score", y: str = "pred", gridsize: int = 500
     xmin, xmax, ymin, ymax = e["x0"] - xpad, e["x1"] + xpad, e["y0"] - ypad, e["y1"] + ypad
     sx = (xmax - xmin) / F.lit(nx)
     sy = (ymax - ymin) / F.lit(ny)
-    j = d.select(((F.col("_x") - xmin) / sx).alias("u"), ((F.col("_y") - ymin) / sy).alias("v"))
+    j = d.select(F.try_divide(F.col("_x") - xmin, sx).alias("u"), F.try_divide(F.col("_y") - ymin, sy).alias("v"))
     i1, j1 = F.rint("u"), F.rint("v")
     i2, j2 = F.floor("u"), F.floor("v")
     d1 = (F.col("u") - i1) ** 2 + F.lit(3.0) * (F.col("v") - j1) ** 2

@@ -265,11 +265,11 @@ FROM embeddings""")
 def q_update_encoding(spark, d):
     from pairsim.sources.tables import vector_entities
     ents = vector_entities(spark, d)
-    src = ents.filter(F.element_at("encoding", 1) > 0).select("group_id", "entity_id",
+    src = ents.filter(F.try_element_at("encoding", F.lit(1)) > 0).select("group_id", "entity_id",
                                                               F.reverse("encoding").alias("encoding"))
     u = I.update_from(ents, src, ["group_id", "entity_id"], "encoding")
     return u.select("group_id", "entity_id", "updated",
-                    F.round(F.element_at("encoding", 1).cast("double"), R).alias("first_value"))
+                    F.round(F.try_element_at("encoding", F.lit(1)).cast("double"), R).alias("first_value"))
 
 
 @query("lookup_group", oracle="""

@@ -20,7 +20,6 @@ LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "16g",
-    "spark.sql.ansi.enabled": "false",
 }
 
 

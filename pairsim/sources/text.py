@@ -47,7 +47,7 @@ def discover(spark: SparkSession, root: str, file_name: str, skip_parent: str =
 
 def group_from_path(path: Column) -> Column:
     """The group name is the last directory of the path."""
-    return F.element_at(F.split(path, "/"), -2)
+    return F.try_element_at(F.split(path, "/"), F.lit(-2))
 
 
 def strip(c: Column) -> Column:
@@ -70,10 +70,10 @@ def parse_embedding_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """``<11-char prefix><name>\\t=\\t<floats>`` -> name, vector (float list) and the CSV form."""
     v = strip(F.col(value))
     parts = F.split(v, EMBED_SEP, 2)
-    toks = F.split(strip(F.element_at(parts, 2)), r"\s+")
-    out = lines.withColumn("name", F.substring(F.element_at(parts, 1), EMBED_NAME_PREFIX + 1, 1 << 30))
+    toks = F.split(strip(F.try_element_at(parts, F.lit(2))), r"\s+")
+    out = lines.withColumn("name", F.substring(F.try_element_at(parts, F.lit(1)), EMBED_NAME_PREFIX + 1, 1 << 30))
     out = out.withColumn("_toks", toks)
-    return out.withColumn("vector", F.transform("_toks", lambda t: t.cast("float"))) \
+    return out.withColumn("vector", F.transform("_toks", lambda t: t.try_cast("float"))) \
               .withColumn("vector_csv", F.array_join("_toks", ",")).drop("_toks")
 
 
