@@ -85,3 +85,28 @@ def test_consuming_blocks_udf(spark):
     df = spark.createDataFrame([([["a", "b"], ["c"]], [["a", "b"], ["c"]])], "b1 array<array<string>>, b2 array<array<string>>")
     r = align_blocks_consuming(df).collect()[0]
     assert (r["matches"], r["entries"], r["score"]) == (3, 3, 1.0)
+
+
+def test_block_nearest_matches_bruteforce(spark):
+    import random
+    from collections import Counter
+    from pairsim.operators.alignment import block_nearest, block_table
+    rnd = random.Random(21)
+    words = ["a", "b", "c", "d", "e"]
+    texts = {i: "\n".join(" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 4))) for _ in range(rnd.randint(1, 7)))
+             for i in range(6)}
+    ents = spark.createDataFrame(list(texts.items()), "entity_id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (0, 5)], "id1 long, id2 long")
+    got = {(r["id1"], r["id2"], r["rblock"]): (r["lblock"], r["dist"])
+           for r in block_nearest(pairs, block_table(ents)).collect()}
+    for a, b in [(1, 2), (3, 4), (0, 5)]:
+        lbl = [ln.split() for ln in texts[a].split("\n")]
+        rbl = [ln.split() for ln in texts[b].split("\n")]
+        for j, rb in enumerate(rbl):
+            cands = []
+            for i, lb in enumerate(lbl):
+                ca, cb = Counter(lb), Counter(rb)
+                dist = sum(abs(ca[k] - cb[k]) for k in ca.keys() | cb.keys())
+                cands.append((dist, abs(len(lb) - len(rb)), i))
+            d, _, i = min(cands)
+            assert got[(a, b, j)] == (i, d)
