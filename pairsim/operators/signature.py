@@ -213,3 +213,16 @@ def adaptive_parameters(sizes: DataFrame, group: str, size_col: str = "size") ->
     # Bounded: three policy rows.
     j = sizes.join(F.broadcast(pol), (F.col(size_col) >= F.col("lo")) & (F.col(size_col) < F.col("hi")))
     return j.select(group, size_col, "bands", "rows", "threshold")
+
+
+def adaptive_band_table(signed: DataFrame, params: DataFrame, group: str, ident: str = "entity_id",
+                        sig: str = "signature") -> DataFrame:
+    """O46 applied: band keys with each group's own (bands, rows) from ``adaptive_parameters``.
+
+    bands x rows never exceeds the signature length, so one signature serves
+    every policy; the threshold column travels along for the distance filter.
+    """
+    s = signed.filter(F.col(sig).isNotNull()).join(params.select(group, "bands", "rows", "threshold"), group)
+    keys = F.transform(F.sequence(F.lit(0), F.col("bands") - 1),
+                       lambda i: F.md5(F.array_join(F.slice(F.col(sig), i * F.col("rows") + 1, F.col("rows")), ",")))
+    return s.select(group, ident, "threshold", F.posexplode(keys).alias("band", "key"))

@@ -285,3 +285,36 @@ def q_align_blocks_consuming(spark, d):
             .join(b.withColumnRenamed("entity_id", "id2").withColumnRenamed("b", "b2"), "id2")
     out = align_blocks_consuming(p)
     return out.select("group_name", "id1", "id2", "matches", "entries", F.round("score", 6).alias("score"))
+
+
+ADAPT_SQL = """,
+sz AS (SELECT group_name, count(*)::BIGINT AS size FROM docs GROUP BY group_name),
+pol AS (SELECT * FROM (VALUES (0, 64, 100, 2, 0.0), (64, 1024, 50, 4, 0.2), (1024, 4611686018427387904, 25, 8, 0.4))
+        t(lo, hi, bands, rows, threshold)),
+par AS (SELECT group_name, bands, rows, threshold FROM sz JOIN pol ON size >= lo AND size < hi),
+abands AS (SELECT s.group_name, s.doc_id, b AS band,
+                  md5(array_to_string(s.sig[b * p.rows + 1 : b * p.rows + p.rows], ',')) AS key
+           FROM sig s JOIN par p USING (group_name), range(100) t(b) WHERE b < p.bands),
+acand AS (SELECT a.group_name, a.doc_id AS id1, b.doc_id AS id2, count(*)::BIGINT AS shared_bands
+          FROM abands a JOIN abands b ON a.group_name = b.group_name AND a.band = b.band AND a.key = b.key
+                                     AND a.doc_id < b.doc_id GROUP BY ALL)"""
+
+
+@query("lsh_adaptive_candidates", oracle="WITH " + SIG_SQL.lstrip() + ADAPT_SQL + f""",
+ad AS (SELECT c.*, 1.0 - len(list_filter(list_zip(s1.sig, s2.sig), lambda z: z[1] = z[2])) / {K}.0 AS dist, p.threshold
+       FROM acand c JOIN sig s1 ON s1.doc_id = c.id1 JOIN sig s2 ON s2.doc_id = c.id2 JOIN par p ON p.group_name = c.group_name)
+SELECT group_name, id1, id2, shared_bands, round(dist, 6) AS minhash_distance FROM ad WHERE dist <= 1.0 - threshold""")
+def q_lsh_adaptive_candidates(spark, d):
+    s = signed_docs(spark, d)
+    sizes = docs(spark, d).groupBy("group_name").agg(F.count(F.lit(1)).alias("size"))
+    params = G.adaptive_parameters(sizes, "group_name")
+    bands = G.adaptive_band_table(s, params, "group_name")
+    cand = G.lsh_candidates(bands.drop("threshold"), "group_name")
+    s1 = s.select(F.col("entity_id").alias("id1"), F.col("signature").alias("s1"))
+    s2 = s.select(F.col("entity_id").alias("id2"), F.col("signature").alias("s2"))
+    j = cand.join(params.select("group_name", "threshold"), "group_name").join(s1, "id1").join(s2, "id2")
+    dist = F.lit(1.0) - S.minhash_similarity("s1", "s2")
+    # Adaptive threshold: keep pairs whose MinHash similarity reaches the group's threshold.
+    return j.select("group_name", "id1", "id2", "shared_bands", dist.alias("d"), "threshold") \
+            .filter(F.col("d") <= F.lit(1.0) - F.col("threshold")) \
+            .select("group_name", "id1", "id2", "shared_bands", F.round("d", R).alias("minhash_distance"))
