@@ -110,3 +110,63 @@ def test_block_nearest_matches_bruteforce(spark):
                 cands.append((dist, abs(len(lb) - len(rb)), i))
             d, _, i = min(cands)
             assert got[(a, b, j)] == (i, d)
+
+
+def _consume_reference(left, right, mode="nw"):
+    """Plain transcription of the sequential visit: size classes by closeness, larger first on ties."""
+    from collections import Counter
+    by_size = {}
+    for i, blk in enumerate(left):
+        by_size.setdefault(len(blk), []).append((i, blk))
+    matches = entries = 0
+    for blk2 in right:
+        n2 = len(blk2)
+        sizes = sorted(by_size)
+        if mode == "pa":
+            order = [n2] if n2 in by_size else []
+        else:
+            lo, hi = [s for s in sizes if s < n2][::-1], [s for s in sizes if s >= n2]
+            order, i, j = [], 0, 0
+            while i < len(lo) and j < len(hi):
+                if n2 - lo[i] < hi[j] - n2:
+                    order.append(lo[i]); i += 1
+                else:
+                    order.append(hi[j]); j += 1
+            order += lo[i:] + hi[j:]
+        best, best_d = None, None
+        for s in order:
+            for idx, blk in by_size[s]:
+                ca, cb = Counter(blk), Counter(blk2)
+                d = sum(abs(ca[k] - cb[k]) for k in ca.keys() | cb.keys())
+                if best_d is None or d < best_d:
+                    best, best_d = (s, idx, blk), d
+                    if d == 0:
+                        break
+            if best_d == 0:
+                break
+        ok = False
+        if best is not None:
+            s, idx, blk1 = best
+            m = lcs_length(blk1, blk2) if mode == "nw" else sum(x == y for x, y in zip(blk1, blk2))
+            if m > 0:
+                matches += m
+                entries += len(blk1) + n2 - m
+                by_size[s] = [c for c in by_size[s] if c[0] != idx]
+                if not by_size[s]:
+                    del by_size[s]
+                ok = True
+        if not ok:
+            entries += n2
+    entries += sum(len(b) for v in by_size.values() for _, b in v)
+    return matches, entries
+
+
+def test_consuming_blocks_numpy_equals_sequential_visit():
+    import random
+    from pairsim.operators.alignment import consume_blocks
+    rnd = random.Random(17)
+    for _ in range(300):
+        mk = lambda: [[rnd.choice("abcd") for _ in range(rnd.randint(0, 5))] for _ in range(rnd.randint(0, 8))]
+        left, right = mk(), mk()
+        for mode in ("nw", "pa"):
+            assert consume_blocks(left, right, mode) == _consume_reference(left, right, mode)
