@@ -170,3 +170,10 @@ def test_consuming_blocks_numpy_equals_sequential_visit():
         left, right = mk(), mk()
         for mode in ("nw", "pa"):
             assert consume_blocks(left, right, mode) == _consume_reference(left, right, mode)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("ab"), min_size=1, max_size=12), st.lists(st.sampled_from("ab"), min_size=1, max_size=12))
+def test_nw_score_one_iff_identical(a, b):
+    L = lcs_length(a, b)
+    assert (L / (len(a) + len(b) - L) == 1.0) == (a == b)
