@@ -1,6 +1,5 @@
 """Streaming queries (O97, O98): arrival files written from the tables, processed with availableNow."""
 
-from pyspark.sql import functions as F
 
 from pairsim.plans.ingest import LOG_LINES_SQL, log_lines
 from pairsim.plans.registry import query
