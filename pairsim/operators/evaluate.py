@@ -60,17 +60,19 @@ def diff_histogram(df: DataFrame, truth: str = "score", pred: str = "pred", bins
     x = (F.col(truth).cast("double") - F.col(pred).cast("double")).alias("_x")
     d = df.select(x).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     rng = d.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("r")).scalar()  # scalar subquery
-    lo, hi = rng["lo"], rng["hi"]
+    # Attach the range once as a column; every later expression reads the column, not the subquery.
+    j = d.select("_x", rng.alias("_r"))
+    lo, hi = F.col("_r.lo"), F.col("_r.hi")
     w = (hi - lo) / F.lit(bins)
     raw = F.floor((F.col("_x") - lo) * (F.lit(bins) / (hi - lo)))
     i0 = F.when(hi == lo, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
-    j = d.withColumn("_i", i0)
+    j = j.withColumn("_i", i0)
     edge = lambda k: lo + k * w
     j = j.withColumn("_i", F.when(F.col("_x") < edge(F.col("_i")), F.col("_i") - 1)
                      .when((F.col("_x") >= edge(F.col("_i") + 1)) & (F.col("_i") != bins - 1), F.col("_i") + 1)
                      .otherwise(F.col("_i")))
     counts = j.groupBy("_i").agg(F.count(F.lit(1)).alias("n"))
-    all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), rng.alias("_r"))
     out = all_bins.join(counts, all_bins["bin"] == counts["_i"], "left")
     return out.select("bin", (lo + F.col("bin") * w).alias("lower"), (lo + (F.col("bin") + 1) * w).alias("upper"),
                       F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
@@ -103,8 +105,10 @@ def hexbin(df: DataFrame, x: str = "score", y: str = "pred", gridsize: int = 500
     d = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
     e = d.agg(F.struct(F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"),
                        F.max("_y").alias("y1")).alias("e")).scalar()  # scalar subquery
-    xpad, ypad = (e["x1"] - e["x0"]) * F.lit(1e-9), (e["y1"] - e["y0"]) * F.lit(1e-9)
-    xmin, xmax, ymin, ymax = e["x0"] - xpad, e["x1"] + xpad, e["y0"] - ypad, e["y1"] + ypad
+    d = d.select("_x", "_y", e.alias("_e"))   # attach the extent once as a column
+    x0, x1, y0, y1 = F.col("_e.x0"), F.col("_e.x1"), F.col("_e.y0"), F.col("_e.y1")
+    xpad, ypad = (x1 - x0) * F.lit(1e-9), (y1 - y0) * F.lit(1e-9)
+    xmin, xmax, ymin, ymax = x0 - xpad, x1 + xpad, y0 - ypad, y1 + ypad
     sx = (xmax - xmin) / F.lit(nx)
     sy = (ymax - ymin) / F.lit(ny)
     j = d.select(F.try_divide(F.col("_x") - xmin, sx).alias("u"), F.try_divide(F.col("_y") - ymin, sy).alias("v"))
