@@ -47,7 +47,8 @@ def class_weights(df: DataFrame, cls: str) -> DataFrame:
     """Inverse-frequency weights total / (n_classes * n_c)."""
     per = df.groupBy(cls).agg(F.count(F.lit(1)).alias("n"))
     tot = per.agg(F.struct(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k"))).scalar()  # scalar subquery
-    return per.select(cls, "n", (tot["t"] / (tot["k"] * F.col("n"))).alias("weight"))
+    per = per.withColumn("_tot", tot)                                  # attached once
+    return per.select(cls, "n", (F.col("_tot.t") / (F.col("_tot.k") * F.col("n"))).alias("weight"))
 
 
 def diff_histogram(df: DataFrame, truth: str = "score", pred: str = "pred", bins: int = 50) -> DataFrame:
