@@ -100,8 +100,8 @@ def log_file_meta(files: DataFrame, name: str = "file_name") -> DataFrame:
                 .withColumn("flags", F.regexp_extract(n, LOG_FILENAME_RE, 2))
 
 
-def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Keep lines that match either pattern; extract the function count or the merge fields.
+def _tag_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Every line with its function count / merge fields (NULL / False when the line matches neither pattern).
 
     Group 1 of each pattern is never empty on a match, so one extraction per
     pattern decides membership; the other merge groups are extracted only
@@ -110,10 +110,9 @@ def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     v = F.col(value)
     tagged = lines.select("*", F.regexp_extract(v, NUM_FUNCTIONS_RE, 1).alias("_nf"),
                           F.regexp_extract(v, MERGE_LINE_RE, 1).alias("_g1"))
-    kept = tagged.filter((F.col("_nf") != "") | (F.col("_g1") != ""))
     is_merge = F.col("_g1") != ""
     g = lambda i: F.when(is_merge, F.regexp_extract(v, MERGE_LINE_RE, i).cast("long"))
-    return kept.select(
+    return tagged.select(
         *lines.columns,
         F.when(F.col("_nf") != "", F.col("_nf").cast("long")).alias("n_functions"),
         is_merge.alias("is_merge"),
@@ -121,20 +120,26 @@ def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
         g(4).alias("merged_size"), g(5).alias("profitable"))
 
 
+def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Keep lines that match either pattern; extract the function count or the merge fields."""
+    t = _tag_log_lines(lines, value)
+    return t.filter(F.col("n_functions").isNotNull() | F.col("is_merge"))
+
+
 def merge_log_metrics(lines: DataFrame, order: str = "line_pos", file_col: str = "file_name") -> DataFrame:
     """Per log file: last function count (0 if none), attempts, profitable merges, size difference.
 
-    Files whose name matches but which contain no matching line still give a
-    row of zeros: the file list is the left side of the join.
+    One grouped pass over all lines of all files: a file whose name matches
+    but which has no matching line still gets its row of zeros. File-name
+    parsing (O06) runs on the aggregated rows only.
     """
-    files = log_file_meta(lines.select(file_col).distinct(), file_col)
-    parsed = parse_log_lines(lines)
-    agg = parsed.groupBy(file_col).agg(
+    t = _tag_log_lines(lines)
+    agg = t.groupBy(file_col).agg(
         F.max_by("n_functions", F.when(F.col("n_functions").isNotNull(), F.col(order))).alias("_nf"),
         F.count_if("is_merge").alias("_att"),
         F.count_if(F.col("profitable") == 1).alias("_prof"),
         F.sum(F.col("merged_size") - (F.col("size1") + F.col("size2"))).alias("_diff"))
-    out = files.join(agg, file_col, "left")
+    out = log_file_meta(agg, file_col)
     return out.select(file_col, "benchmark", "flags",
                       F.coalesce("_nf", F.lit(0)).cast("long").alias("total_functions"),
                       F.coalesce("_att", F.lit(0)).cast("long").alias("merge_attempts"),
