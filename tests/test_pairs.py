@@ -96,3 +96,15 @@ def test_greedy_random_graphs_match_sequential(spark):
         assert got == greedy_reference(edges, prio, 0.3)
         used = [x for pr in got for x in pr]
         assert len(used) == len(set(used))
+
+
+def test_hot_lsh_bucket_is_tiled_and_complete(spark):
+    # 40 identical texts share every bucket (a hot key); 5 distinct ones do not.
+    texts = ["same words in every copy of this text"] * 40 + [f"unique text number {i} here" for i in range(5)]
+    df = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "group_name string, entity_id long, text string")
+    bands = band_table(minhash_text(df, "text"), "group_name", "entity_id")
+    cand = lsh_candidates(bands, "group_name", tile_rows=8)
+    got = {(r["id1"], r["id2"]): r["shared_bands"] for r in cand.collect()}
+    copies = {(a, b) for a in range(40) for b in range(a + 1, 40)}
+    assert copies <= set(got) and all(got[p] == 100 for p in copies)
+    assert len(got) == len(set(got))
