@@ -57,6 +57,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over the session's parallelism when the plan has fewer partitions (e.g. one small file).
+
+    Large inputs already have many splits and are returned unchanged. Round-robin
+    repartitioning is deterministic on retry (Spark sorts before it).
+    """
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < want:
+            return df.repartition(want)
+    except Exception:  # noqa: BLE001 - sessions without RDD access keep the plan
+        pass
+    return df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast ``df`` only when a count proves it holds at most ``max_rows`` rows.
 

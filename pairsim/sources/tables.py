@@ -24,12 +24,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     if columns:
         df = df.select(*columns)
     if spread:
-        try:
-            want = spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < want:
-                df = df.repartition(want)
-        except Exception:  # noqa: BLE001 - sessions without RDD access keep the plain scan
-            pass
+        from pairsim.session import spread as _spread
+        df = _spread(df)
     return df
 
 
