@@ -226,3 +226,26 @@ def adaptive_band_table(signed: DataFrame, params: DataFrame, group: str, ident:
     keys = F.transform(F.sequence(F.lit(0), F.col("bands") - 1),
                        lambda i: F.md5(F.array_join(F.slice(F.col(sig), i * F.col("rows") + 1, F.col("rows")), ",")))
     return s.select(group, ident, "threshold", F.posexplode(keys).alias("band", "key"))
+
+
+def set_jaccard(entities: DataFrame, members: DataFrame, group: str, ident: str = "entity_id", item: str = "item",
+                tile_rows: int = 2048) -> DataFrame:
+    """O44 over every pair of a group without shipping the sets: |A n B| / (|A| + |B| - |A n B|).
+
+    The intersection sizes come from an equi self-join on (group, item) over
+    distinct members (tiled when an item is shared by very many entities),
+    the set sizes from a grouped count; pairs whose sets share nothing get 0,
+    and two empty sets NULL. ``entities`` lists every entity (also those
+    without members).
+    """
+    m = members.select(group, ident, item).distinct()
+    co = all_pairs(m, group=[group, item], ident=ident, tile_rows=tile_rows)
+    inter = co.groupBy(group, "id1", "id2").agg(F.count(F.lit(1)).alias("_inter"))
+    sizes = m.groupBy(group, ident).agg(F.count(F.lit(1)).alias("_size"))
+    ents = entities.select(group, ident).join(sizes, [group, ident], "left") \
+                   .withColumn("_size", F.coalesce("_size", F.lit(0)))
+    pairs = all_pairs(ents, group=group, ident=ident, payload=["_size"], tile_rows=tile_rows)
+    j = pairs.join(inter, [group, "id1", "id2"], "left").withColumn("_inter", F.coalesce("_inter", F.lit(0)))
+    union = F.col("_size1") + F.col("_size2") - F.col("_inter")
+    return j.select(group, "id1", "id2", F.col("_inter").alias("intersection"), union.alias("union"),
+                    F.try_divide(F.col("_inter").cast("double"), union.cast("double")).alias("jaccard"))

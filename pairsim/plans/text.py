@@ -168,9 +168,12 @@ SELECT group_name, id1, id2,
                   ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE END, 6)
        AS jaccard FROM pp""")
 def q_jaccard_exact(spark, d):
-    e = docs(spark, d).select("group_name", "entity_id", S.shingles("text").alias("sh"))
-    p = all_pairs(e, group="group_name", payload=["sh"])
-    return p.select("group_name", "id1", "id2", F.round(S.jaccard("sh1", "sh2"), R).alias("jaccard"))
+    e = docs(spark, d)
+    # Distinct shingles of every document, materialised once (used by the co-occurrence join and the set sizes).
+    members = cut_lineage(e.select("group_name", "entity_id", F.explode(F.array_distinct(S.shingles("text")))
+                                   .alias("item")))
+    j = G.set_jaccard(e, members, "group_name")
+    return j.select("group_name", "id1", "id2", F.round("jaccard", R).alias("jaccard"))
 
 
 @query("align_pa", oracle="WITH " + DOCS_SQL.lstrip() + """,

@@ -108,3 +108,13 @@ def test_hot_lsh_bucket_is_tiled_and_complete(spark):
     copies = {(a, b) for a in range(40) for b in range(a + 1, 40)}
     assert copies <= set(got) and all(got[p] == 100 for p in copies)
     assert len(got) == len(set(got))
+
+
+def test_set_jaccard_edges(spark):
+    from pairsim.operators.signature import set_jaccard
+    ents = spark.createDataFrame([("g", i) for i in range(4)], "group_name string, entity_id long")
+    mem = spark.createDataFrame([("g", 0, "x"), ("g", 0, "y"), ("g", 1, "y"), ("g", 1, "z"), ("g", 1, "z")],
+                                "group_name string, entity_id long, item string")
+    got = {(r["id1"], r["id2"]): r["jaccard"] for r in set_jaccard(ents, mem, "group_name").collect()}
+    assert abs(got[(0, 1)] - 1 / 3) < 1e-12
+    assert got[(0, 2)] == 0.0 and got[(2, 3)] is None and len(got) == 6
