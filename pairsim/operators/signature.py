@@ -249,3 +249,21 @@ def set_jaccard(entities: DataFrame, members: DataFrame, group: str, ident: str
     union = F.col("_size1") + F.col("_size2") - F.col("_inter")
     return j.select(group, "id1", "id2", F.col("_inter").alias("intersection"), union.alias("union"),
                     F.try_divide(F.col("_inter").cast("double"), union.cast("double")).alias("jaccard"))
+
+
+def minhash_pair_distance(signed: DataFrame, group: str, ident: str = "entity_id", sig: str = "signature",
+                          k: int = DEFAULT_ROWS * DEFAULT_BANDS, tile_rows: int = 2048) -> DataFrame:
+    """O43 over every pair of signed entities of a group: 1 - (equal positions) / k.
+
+    Equal positions are counted with an equi-join on (group, position, value)
+    instead of comparing two k-long arrays per pair; pairs with no equal
+    position get distance 1.
+    """
+    s = signed.filter(F.col(sig).isNotNull())
+    members = s.select(group, ident, F.posexplode(sig).alias("_i", "_v")).select(
+        group, ident, F.concat_ws(":", F.col("_i").cast("string"), F.col("_v").cast("string")).alias("_item"))
+    co = all_pairs(members, group=[group, "_item"], ident=ident, tile_rows=tile_rows)
+    eq = co.groupBy(group, "id1", "id2").agg(F.count(F.lit(1)).alias("_eq"))
+    pairs = all_pairs(s.select(group, ident), group=group, ident=ident, tile_rows=tile_rows)
+    j = pairs.join(eq, [group, "id1", "id2"], "left")
+    return j.select(group, "id1", "id2", (F.lit(1.0) - F.coalesce("_eq", F.lit(0)) / F.lit(float(k))).alias("minhash_distance"))

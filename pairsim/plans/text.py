@@ -154,10 +154,8 @@ pp AS (SELECT a.group_name, a.doc_id AS id1, b.doc_id AS id2, a.sig AS s1, b.sig
 SELECT group_name, id1, id2,
        round(1.0 - len(list_filter(list_zip(s1, s2), lambda z: z[1] = z[2])) / {K}.0, 6) AS minhash_distance FROM pp""")
 def q_minhash_distance(spark, d):
-    s = signed_docs(spark, d).filter(F.col("signature").isNotNull())
-    p = all_pairs(s, group="group_name", payload=["signature"])
-    return p.select("group_name", "id1", "id2",
-                    F.round(F.lit(1.0) - S.minhash_similarity("signature1", "signature2"), R).alias("minhash_distance"))
+    m = G.minhash_pair_distance(signed_docs(spark, d), "group_name", k=K)
+    return m.select("group_name", "id1", "id2", F.round("minhash_distance", R).alias("minhash_distance"))
 
 
 @query("jaccard_exact", oracle="WITH " + DOCS_SQL.lstrip() + """,

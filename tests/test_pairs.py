@@ -118,3 +118,15 @@ def test_set_jaccard_edges(spark):
     got = {(r["id1"], r["id2"]): r["jaccard"] for r in set_jaccard(ents, mem, "group_name").collect()}
     assert abs(got[(0, 1)] - 1 / 3) < 1e-12
     assert got[(0, 2)] == 0.0 and got[(2, 3)] is None and len(got) == 6
+
+
+def test_minhash_pair_distance_equals_array_formula(spark):
+    import random
+    from pairsim.operators.signature import minhash_pair_distance
+    rnd = random.Random(3)
+    sigs = {i: [rnd.randint(0, 3) for _ in range(10)] for i in range(7)}
+    df = spark.createDataFrame([("g", i, s) for i, s in sigs.items()], "group_name string, entity_id long, signature array<long>")
+    got = {(r["id1"], r["id2"]): r["minhash_distance"] for r in minhash_pair_distance(df, "group_name", k=10).collect()}
+    assert len(got) == 21
+    for (a, b), dist in got.items():
+        assert abs(dist - (1 - sum(x == y for x, y in zip(sigs[a], sigs[b])) / 10)) < 1e-12
