@@ -177,3 +177,32 @@ def test_consuming_blocks_numpy_equals_sequential_visit():
 def test_nw_score_one_iff_identical(a, b):
     L = lcs_length(a, b)
     assert (L / (len(a) + len(b) - L) == 1.0) == (a == b)
+
+
+def test_align_blocks_matches_bruteforce(spark):
+    import random
+    from collections import Counter
+    from pairsim.operators.alignment import align_blocks, block_table
+    rnd = random.Random(8)
+    words = ["a", "b", "c", "d"]
+    texts = {i: "\n".join(" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(1, 5)))
+             for i in range(4)}
+    ents = spark.createDataFrame(list(texts.items()), "entity_id long, text string")
+    pairs = spark.createDataFrame([(0, 1), (2, 3)], "id1 long, id2 long")
+    got = {(r["id1"], r["id2"]): (r["matches"], r["entries"]) for r in align_blocks(pairs, block_table(ents)).collect()}
+    for a, b in [(0, 1), (2, 3)]:
+        lbl = [ln.split() for ln in texts[a].split("\n")]
+        rbl = [ln.split() for ln in texts[b].split("\n")]
+        m = e = 0
+        used = set()
+        for rb in rbl:
+            def key(i):
+                ca, cb = Counter(lbl[i]), Counter(rb)
+                return (sum(abs(ca[k] - cb[k]) for k in ca.keys() | cb.keys()), abs(len(lbl[i]) - len(rb)), i)
+            i = min(range(len(lbl)), key=key)
+            used.add(i)
+            L = lcs_length(lbl[i], rb)
+            m += L
+            e += len(lbl[i]) + len(rb) - L
+        e += sum(len(lbl[i]) for i in range(len(lbl)) if i not in used)
+        assert got[(a, b)] == (m, e)
