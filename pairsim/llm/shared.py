@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +47,14 @@ def bounded_sample(df: DataFrame, bound: int, seed: str, *key: str) -> DataFrame
     """Rows whose draw falls under bound / rows: about ``bound`` rows, all if there are fewer; no sort, no collect."""
     n = df.count()
     return df if n <= bound else df.where(unit(seed, *key) < bound / n)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], size: int = 4_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """First and last column of Arrow batches, in slices of about ``size`` bytes of the last: a text column."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield b.column(0).slice(at, end - at), b.column(b.num_columns - 1).slice(at, end - at)
+            at = end
