@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairsim.llm import bitpack, mixing, positional, simhash
+from pairsim.llm import bitpack, mixing, positional, simhash, toxicity
 from pairsim.llm.queries import END_ID, TOKENIZER
-from pairsim.llm.shared import store, table
+from pairsim.llm.shared import crc_mod, store, table
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is 0.5 or more go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=crc_mod("doc_id", 5) != 0)
+    return toxicity.clean(docs, model, threshold=0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +35,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bitpack.encode_and_read(docs, TOKENIZER, END_ID)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("encode", encode)]
+STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("encode", encode)]
 
-#: Fingerprints and tokenizers are not expressible in SQL; the stages are tested against brute force.
+#: Learned scores, XXH64 fingerprints and tokenizers are not expressible in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
