@@ -177,6 +177,8 @@ def fit(docs: DataFrame, pages: DataFrame, labels: DataFrame, learn: Column, sam
     small = docs.select("doc_id", "source", "lang", "text").join(F.broadcast(ask), F.col("doc_id").cast("long") == F.col("ask_id")).drop("ask_id")
     rows = _rows(small, pages).join(F.broadcast(ask), F.col("doc_id") == F.col("ask_id"))
     found = rows.select("doc_id", "y", *META, "text").mapInArrow(facts, "doc_id long, y int, t array<double>, m array<double>").collect()
+    if not found:
+        return Model(None, None, None)
     found.sort(key=lambda r: (r.doc_id, r.t, r.m))
     y = np.array([r.y for r in found], float)
     x = [np.array([r[c] for r in found], float).reshape(len(found), -1) for c in ("t", "m")]

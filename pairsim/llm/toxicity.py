@@ -13,8 +13,8 @@ and whether it is quoted. A logistic regression over a document's matches gives
 The lexicon and regression are fitted on about ``sample_docs`` labelled documents (a documented bound); every document is
 scored, over its whole text.
 
-Defined cases: null and empty texts have no match and get the score of that; without labels, or with one class only, the score is
-the share of toxic labels (0 without any); null labels take no part; repeated texts count once in the fit; repeated rows get a row
+Defined cases: null and empty texts have no match and get the score of that; with labels of one class only, all documents get
+that class (0 without labels); null labels take no part; repeated texts count once in the fit; repeated rows get a row
 each; an empty table gives an empty result; extra columns are ignored by ``score`` and kept by ``clean``.
 """
 
@@ -207,10 +207,10 @@ def minhash(words: list[str]) -> list[int]:
 
 
 def families(prints: np.ndarray) -> np.ndarray:
-    """A number per row, equal for rows linked by equal MinHash values in at least half of the positions."""
+    """A number per row, equal for rows linked by equal MinHash values in three quarters of the positions."""
     label = np.arange(len(prints))
     for i in range(len(prints)):
-        near = np.flatnonzero((prints[:i] == prints[i]).mean(1) >= 0.5)
+        near = np.flatnonzero((prints[:i] == prints[i]).mean(1) >= 0.75)
         if len(near):
             label[np.isin(label, label[near])] = label[near].min()
             label[i] = label[near].min()
@@ -284,7 +284,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_docs: int = SA
     words = store(words.dropDuplicates(["key"]), "toxic-words")
     n = {r.toxic: r.n for r in words.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
-        return Model(Matcher([]), Logistic().fit(np.zeros((n.get(0, 0) + n.get(1, 0), FEATURES)), np.full(n.get(0, 0) + n.get(1, 0), float(bool(n.get(1))))))
+        constant = Logistic().fit(np.zeros((0, FEATURES)), np.zeros(0))
+        constant.beta[-1] = 30.0 if n.get(1) else -30.0
+        return Model(Matcher([]), constant)
     each = words.select("key", "toxic", F.explode("words").alias("t"), F.lit(False).alias("stem")).union(words.select("key", "toxic", F.explode("stems"), F.lit(True)))
     counts = store(each.groupBy("t", "stem").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")), "toxic-counts")
     odds = F.log((F.col("n1") + 0.5) / (n[1] + 1)) - F.log((F.col("n0") + 0.5) / (n[0] + 1))
