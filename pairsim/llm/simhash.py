@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairsim.llm.shared import store
+from pairsim.session import ensure_checkpoint_dir
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 BITS = 64
@@ -210,6 +211,7 @@ def star_components(edges: DataFrame) -> DataFrame:
 
     A node's edges are only ever aggregated and joined, so a hub with many neighbours is not gathered in one place.
     """
+    ensure_checkpoint_dir(edges.sparkSession)
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
     mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(edges)
