@@ -33,28 +33,27 @@ PRESETS = [
 ]
 
 
-def canonical_text(flags: dict) -> str:
-    """Python twin of ``canonical``: non-default keys plus TECHNIQUE, in defaults order."""
-    return " ".join(f"{k}={flags.get(k, d)}" for k, d in DEFAULTS if flags.get(k, d) != d or k == "TECHNIQUE")
-
-
-def _pairs(s: Column) -> Column:
+def parse(s: Column) -> Column:
+    """The flag string as a map; of a repeated key the last value counts."""
     toks = F.filter(F.split(s, r"\s+"), lambda x: F.instr(x, "=") > 0)
-    return F.transform(toks, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"),
-                                                F.substring_index(x, "=", -1).alias("v")))
+    pairs = F.transform(toks, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substring_index(x, "=", -1).alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
 
 
 def value_of(s: Column, key: str, default: str) -> Column:
     """Value of ``key`` in the flag string (last occurrence wins), else the default."""
-    hits = F.filter(_pairs(s), lambda p: p["k"] == key)
-    return F.coalesce(F.try_element_at(F.transform(hits, lambda p: p["v"]), F.lit(-1)), F.lit(default))
+    return F.coalesce(F.try_element_at(parse(s), F.lit(key)), F.lit(default))
 
 
 def canonical(s: Column) -> Column:
     """Canonical flag text: equal after filling defaults <=> equal canonical text. Unknown keys are ignored."""
-    parts = []
-    for k, d in DEFAULTS:
-        v = value_of(s, k, d)
-        item = F.concat(F.lit(f"{k}="), v)
-        parts.append(item if k == "TECHNIQUE" else F.when(v != d, item))
-    return F.concat_ws(" ", *parts)
+    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).alias("d")) for k, d in DEFAULTS])
+
+    def shown(given: Column) -> Column:
+        filled = F.transform(known, lambda x: F.struct(x["k"].alias("k"), x["d"].alias("d"), F.coalesce(F.try_element_at(given, x["k"]), x["d"]).alias("v")))
+        kept = F.filter(filled, lambda x: (x["v"] != x["d"]) | (x["k"] == known[0]["k"]))
+        return F.array_join(F.transform(kept, lambda x: F.concat_ws("=", x["k"], x["v"])), " ")
+
+    # The string is parsed once: the map is bound to a lambda variable.
+    return F.element_at(F.transform(F.array(parse(s)), shown), 1)

@@ -14,7 +14,7 @@ SLICES = ("all", "nonzero", "zero", "between", "upper_half")
 
 def clean_score(score: Column) -> Column:
     """A NaN score (0/0 at collection) is a missing score."""
-    return F.nanvl(score, F.lit(None).cast("double"))
+    return F.nanvl(score.cast("double"), F.lit(None).cast("double"))
 
 
 def stratum(score: Column) -> Column:
@@ -29,7 +29,7 @@ def slice_flags(score: Column) -> dict[str, Column]:
     """Membership of each (overlapping) evaluation slice. The last slice is strict: 0.5 < s < 1."""
     s = clean_score(score)
     return {
-        "all": F.lit(True),
+        "all": s.isNotNull(),
         "nonzero": s != 0,
         "zero": s == 0,
         "between": (s != 0) & (s != 1),
@@ -44,8 +44,9 @@ def slice_names(score: Column) -> Column:
 
 
 def zero_weight(score: Column, zero: float = 0.001, nonzero: float = 1.0) -> Column:
-    """Sample weight, ``zero`` when the score is 0 else ``nonzero``."""
-    return F.when(score == 0, F.lit(zero)).otherwise(F.lit(nonzero))
+    """Sample weight, ``zero`` when the score is 0 else ``nonzero``; NULL for a missing score (NULL, NaN)."""
+    s = clean_score(score)
+    return F.when(s == 0, F.lit(zero)).when(s.isNotNull(), F.lit(nonzero))
 
 
 # The banded weight table, in order; the first matching band wins.

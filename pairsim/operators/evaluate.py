@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairsim.functions.scores import SLICES, slice_names, zero_weight
+from pairsim.functions.scores import SLICES, clean_score, slice_names, zero_weight
 
 
 def _c(c) -> Column:
@@ -30,7 +30,8 @@ def slice_metrics(df: DataFrame, truth: str = "score", pred: str = "pred", slice
     if tuple(slices) != tuple(SLICES):
         keep = F.array(*[F.lit(s) for s in slices])
         names = F.filter(names, lambda x: F.array_contains(keep, x))
-    e = df.select(F.explode(names).alias("slice"), (y - p).alias("_e"), y.alias("_y"))
+    # A row without truth is in no slice; one without a prediction has no error.
+    e = df.where(clean_score(p).isNotNull()).select(F.explode(names).alias("slice"), (y - p).alias("_e"), y.alias("_y"))
     return e.groupBy("slice").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.col("_e") * F.col("_e")).alias("mse"),
@@ -152,6 +153,7 @@ def weighted_loss(df: DataFrame, truth: str = "score", pred: str = "pred", by: l
     """Squared error weighted by zero_weight; reported as sum(w*se)/n and sum(w*se)/sum(w)."""
     w = zero_weight(F.col(truth), zero, nonzero)
     se = (F.col(truth) - F.col(pred)) ** 2
+    df = df.where(clean_score(F.col(truth)).isNotNull() & clean_score(F.col(pred)).isNotNull())  # rows without a score have no loss
     return df.groupBy(*(by or [])).agg(
         (F.sum(w * se) / F.count(F.lit(1))).alias("loss_mean"),
         (F.sum(w * se) / F.sum(w)).alias("loss_weighted"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairsim.functions.scores import clean_score
+
 
 def run_average(runs: DataFrame, group: str = "group_id", technique: str = "technique", run: str = "run",
                 size: str = "size") -> DataFrame:
@@ -64,7 +66,7 @@ def decision_outcome(decisions: DataFrame, outcomes: DataFrame, key: list[str])
 def threshold_sweep(best: DataFrame, thresholds=(0.4, 0.5, 0.6), score: str = "score") -> DataFrame:
     """For each threshold t, how many best partners exceed t (merge only if score > t)."""
     th = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    j = best.select(F.col(score), th)
+    j = best.select(clean_score(F.col(score)).alias(score), th)  # a NaN score exceeds nothing
     return j.groupBy("threshold").agg(F.count_if(F.col(score) > F.col("threshold")).alias("merges"),
                                       F.count(F.lit(1)).alias("entities"))
 

@@ -24,7 +24,8 @@ def _with_blocks(entities: DataFrame, group, ident: str, tile_rows: int) -> Data
     keys = _keys(group)
     # Per-key sizes are pre-aggregated (map-side combine), one row per key.
     sizes = entities.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select(*keys, F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("_nb"))
+    # A key with one member has no pair: its row goes no further than this.
+    sizes = sizes.where("_n > 1").select(*keys, F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("_nb"))
     # No hint: AQE broadcasts the aggregated side when its measured size is small,
     # and keeps a shuffle join (with skew splitting) otherwise.
     sized = entities.join(sizes, keys)
@@ -89,9 +90,10 @@ def _both_sides(pairs: DataFrame, group: str, extra: list[str] | None = None) ->
 
 
 def mirror(pairs: DataFrame, group: str, score: str) -> DataFrame:
-    """Both directions of each pair as (group, entity, partner, score)."""
-    return _both_sides(pairs.withColumnRenamed(score, "score") if score != "score" else pairs, group, ["score"]) \
-        .select(group, "entity", "partner", "score")
+    """Both directions of each pair as (group, entity, partner, score); pairs without a score (NULL, NaN) are left out."""
+    named = pairs.withColumnRenamed(score, "score") if score != "score" else pairs
+    named = named.where(F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double")))
+    return _both_sides(named, group, ["score"]).select(group, "entity", "partner", "score")
 
 
 def semi_members(entities: DataFrame, pairs: DataFrame, group: str = "group_id", ident: str = "entity_id") -> DataFrame:
@@ -110,23 +112,30 @@ def semi_groups(groups: DataFrame, pairs: DataFrame, group: str = "group_id") ->
     return groups.join(pairs.select(group), group, "left_semi")
 
 
-def pairs_file_filter(pairs: DataFrame, listed: DataFrame, group: str = "group_id") -> DataFrame:
-    """O109: keep only listed pairs; the list is unordered so it is normalised to (least, greatest)."""
-    norm = listed.select(F.col(group), F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"))
-    return pairs.join(norm.distinct(), [group, "id1", "id2"], "left_semi")
+def listed_pairs(entities: DataFrame, listed: DataFrame, group: str = "group_id", ident: str = "entity_id") -> DataFrame:
+    """O109: the listed pairs whose members are both entities of the group; no pair table is built.
+
+    The list is unordered, so it is normalised to (least, greatest); a pair of an entity with itself is none.
+    """
+    norm = listed.select(F.col(group), F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).where("id1 < id2").distinct()
+    ids = entities.select(group, ident)
+    for side in ("id1", "id2"):
+        norm = norm.join(ids.withColumnRenamed(ident, side), [group, side], "left_semi")
+    return norm.select(group, "id1", "id2")
 
 
 def exact_duplicates(entities: DataFrame, content: str, group: str = "group_id", ident: str = "entity_id") -> DataFrame:
-    """O111: pairs of equal content, found by an equi-join on (group, md5(content)) and verified.
+    """O111: entities of equal content, as (group, entity, class, members): class is the lowest id of the content.
 
-    The join is on the content hash, so only entities with equal hashes meet;
-    a hash group of k copies yields k(k-1)/2 pairs, which is the answer itself.
+    Only digests are shuffled (length, md5 and a 64-bit hash of the content):
+    rows of k copies, not k(k-1)/2 pairs; a hot content is counted map-side
+    and split by AQE when its class is joined back.
     """
-    h = entities.select(group, ident, content, F.md5(F.col(content)).alias("_h"))
-    a = h.select(F.col(group), F.col(ident).alias("id1"), F.col("_h"), F.col(content).alias("_c1"))
-    b = h.select(F.col(group).alias("_g"), F.col(ident).alias("id2"), F.col("_h").alias("_h2"), F.col(content).alias("_c2"))
-    j = a.join(b, (F.col(group) == F.col("_g")) & (F.col("_h") == F.col("_h2")) & (F.col("id1") < F.col("id2")))
-    return j.filter(F.col("_c1") == F.col("_c2")).select(group, "id1", "id2")
+    key = [group, "_len", "_md5", "_hash"]
+    h = entities.where(F.col(content).isNotNull()).select(
+        group, F.col(ident), F.octet_length(content).alias("_len"), F.md5(F.col(content)).alias("_md5"), F.xxhash64(content).alias("_hash"))
+    classes = h.groupBy(*key).agg(F.min(ident).alias("class_id"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    return h.join(classes, key).select(group, ident, "class_id", "members")
 
 
 def _tile_rows(entities: DataFrame, group: str, ident: str, cols: list[str], tile_rows: int) -> DataFrame:
@@ -139,10 +148,72 @@ def _tile_rows(entities: DataFrame, group: str, ident: str, cols: list[str], til
     return left.unionByName(right)
 
 
+def _tile_scores(a, b, measure: str):
+    """Scores of all pairs of two float64 row blocks: dot, cosine (NaN on a zero norm) or L1."""
+    import numpy as np
+
+    if measure == "l1":
+        out = np.empty((len(a), len(b)))
+        for s in range(0, len(a), 64):
+            out[s:s + 64] = np.abs(a[s:s + 64, None, :] - b[None, :, :]).sum(axis=2)
+        return out
+    if measure not in ("dot", "cosine"):
+        raise ValueError(measure)
+    out = a @ b.T
+    if measure == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = out / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+        out[~np.isfinite(out)] = np.nan
+    return out
+
+
+def vector_partners(entities: DataFrame, k: int, group: str = "group_id", ident: str = "entity_id", vec: str = "encoding",
+                    measure: str = "cosine", decimals: int = 6, tile_rows: int = 1024) -> DataFrame:
+    """O79 / O85 over vectors without a pair table: each tile returns the k best partners of its rows and columns.
+
+    (group, entity, partner, score): at most 2 x tile_rows x k rows leave a
+    tile; the k best over all tiles are picked by ``topk_of``. Scores are
+    rounded before ranking; ties go to the lower partner; NaN scores take no
+    part.
+    """
+    import numpy as np
+    import pandas as pd
+
+    gtype = dict(entities.dtypes)[group]
+
+    def best(score, own, other):
+        """Rows of (own, other, score): the k best columns of each row."""
+        order = np.lexsort((np.broadcast_to(other, score.shape), -np.nan_to_num(score, nan=-np.inf)), axis=1)[:, :k]
+        i = np.repeat(np.arange(len(own)), order.shape[1])
+        j = order.ravel()
+        keep = ~np.isnan(score[i, j])
+        return own[i[keep]], other[j[keep]], score[i[keep], j[keep]]
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
+        if len(a) == 0 or len(b) == 0:
+            return pd.DataFrame({group: [], "entity": [], "partner": [], "score": []})
+        score = np.round(_tile_scores(np.stack(a[vec].to_numpy()).astype(np.float64), np.stack(b[vec].to_numpy()).astype(np.float64), measure), decimals)
+        ia, ib = a[ident].to_numpy(np.int64), b[ident].to_numpy(np.int64)
+        score[ia[:, None] == ib[None, :]] = np.nan  # no entity is its own partner
+        parts = [best(score, ia, ib)]
+        if pdf["_ti"].iat[0] != pdf["_tj"].iat[0]:  # a diagonal tile holds each row on both sides
+            parts.append(best(score.T, ib, ia))
+        e, p, s = (np.concatenate(x) for x in zip(*parts))
+        return pd.DataFrame({group: pdf[group].iat[0], "entity": e, "partner": p, "score": s})
+
+    tiles = _tile_rows(entities, group, ident, [vec], tile_rows)
+    return tiles.groupBy(group, "_ti", "_tj").applyInPandas(tile, f"{group} {gtype}, entity long, partner long, score double")
+
+
 def vector_pair_scores(entities: DataFrame, group: str = "group_id", ident: str = "entity_id",
-                       vec: str = "encoding", measure: str = "cosine", tile_rows: int = 1024) -> DataFrame:
+                       vec: str = "encoding", measure: str = "cosine", tile_rows: int = 1024, decimals: int | None = None,
+                       above: float | None = None, below: float | None = None) -> DataFrame:
     """O32 + O53 fused: every pair of a group with its vector similarity, one matrix product per tile.
 
+    ``decimals`` rounds the scores; ``above`` and ``below`` (exclusive, after
+    rounding) keep only such pairs, inside the tile.
+
     Tiles are formed exactly as in ``all_pairs`` (a tile holds at most
     2 x tile_rows entities), so the pandas batch of a task is bounded whatever
     the group size. Scores are computed in float64: dot, cosine (NULL on a
@@ -161,20 +232,15 @@ def vector_pair_scores(entities: DataFrame, group: str = "group_id", ident: str
         A = np.stack(a_rows[vec].to_numpy()).astype(np.float64)
         B = np.stack(b_rows[vec].to_numpy()).astype(np.float64)
         ia, ib = a_rows[ident].to_numpy(np.int64), b_rows[ident].to_numpy(np.int64)
-        if measure in ("dot", "cosine"):
-            S = A @ B.T
-            if measure == "cosine":
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    S = S / np.outer(np.linalg.norm(A, axis=1), np.linalg.norm(B, axis=1))
-                S[~np.isfinite(S)] = np.nan
-        elif measure == "l1":
-            S = np.empty((len(A), len(B)))
-            for s in range(0, len(A), 64):
-                S[s:s + 64] = np.abs(A[s:s + 64, None, :] - B[None, :, :]).sum(axis=2)
-        else:
-            raise ValueError(measure)
+        S = _tile_scores(A, B, measure)
+        if decimals is not None:
+            S = np.round(S, decimals)
         diagonal = pdf["_ti"].iat[0] == pdf["_tj"].iat[0]
         mask = (ia[:, None] < ib[None, :]) if diagonal else np.ones(S.shape, dtype=bool)
+        if above is not None:
+            mask &= above < S
+        if below is not None:
+            mask &= below > S
         i, j = np.nonzero(mask)
         x, y = ia[i], ib[j]
         return pd.DataFrame({group: pdf[group].iat[0], "id1": np.minimum(x, y), "id2": np.maximum(x, y),

@@ -17,42 +17,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_PREFIX = None  # chosen from the plan's size estimate, see auto_prefix
-ROWS_PER_BUCKET = 1_000_000
-ASSUMED_ROW_BYTES = 64
-
-
-def auto_prefix(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Hex digits of the bucket prefix: ~rows_per_bucket rows per bucket, 256 to 65,536 buckets.
-
-    Uses Catalyst's size estimate of the plan (no job). 65,536 buckets keep the
-    broadcast offset table at a few hundred thousand rows.
-    """
-    import math
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001
-        return 3
-    rows = max(size // ASSUMED_ROW_BYTES, 1)
-    buckets = max(rows // rows_per_bucket, 1)
-    return min(max(math.ceil(math.log(buckets, 16)) if buckets > 1 else 2, 2), 4)
+DEFAULT_PREFIX = 3  # 4,096 buckets; each digit more cuts buckets to a sixteenth
+NULL_TEXT = "\u0000"  # stands for NULL in hashed text: no value's text equals it by accident
 
 
 def hash_key(*cols, seed: str = "42") -> Column:
-    """Deterministic order key: md5 of ``seed:`` + the columns joined by '-' (same text in DuckDB)."""
+    """Deterministic order key: md5 of ``seed:`` + the columns joined by '-' (same text in DuckDB); never NULL."""
     parts = [F.lit(f"{seed}:")]
     for i, c in enumerate(cols):
         if i:
             parts.append(F.lit("-"))
-        parts.append((F.col(c) if isinstance(c, str) else c).cast("string"))
+        parts.append(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(NULL_TEXT)))
     return F.md5(F.concat(*parts))
 
 
+def _bucket(key: str, prefix_len: int) -> Column:
+    """Ordered bucket of a key; NULL keys form the first one."""
+    return F.coalesce(F.substring(F.col(key), 1, prefix_len), F.lit(""))
+
+
+def null_safe_join(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which NULL equals NULL, so that no row is lost."""
+    named = small.select(*[F.col(k).alias(f"_ns_{k}") if k in keys else F.col(k) for k in small.columns])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_ns_{k}"))
+    return df.join(named, cond).drop(*[f"_ns_{k}" for k in keys])
+
+
 def bucket_counts(df: DataFrame, key: str, partition: list[str] | None = None,
                   prefix_len: int = DEFAULT_PREFIX) -> DataFrame:
     """Rows per (partition, key-prefix bucket); partial aggregation keeps the shuffle tiny."""
-    prefix_len = prefix_len or auto_prefix(df)
-    return (df.groupBy(*(partition or []), F.substring(F.col(key), 1, prefix_len).alias("_bucket"))
+    return (df.groupBy(*(partition or []), _bucket(key, prefix_len).alias("_bucket"))
               .agg(F.count(F.lit(1)).alias("_cnt")))
 
 
@@ -61,13 +57,14 @@ def exact_rank(df: DataFrame, key: str, partition: list[str] | None = None, out:
                decorate=None) -> DataFrame:
     """Rank 1..n of the rows ordered by the hex string ``key`` inside each ``partition`` group.
 
+    Rows with a NULL partition value are a group of their own; NULL keys rank
+    first (in no defined order among themselves). No row is dropped.
     The number of distinct ``partition`` values must be small (strata, splits):
     the offset table has at most that many x 16^prefix_len rows. ``counts`` may
     pass a precomputed ``bucket_counts``; ``decorate`` may add columns to the
     small offset table before it is broadcast (e.g. per-partition thresholds).
     """
     partition = list(partition or [])
-    prefix_len = prefix_len or auto_prefix(df)
     counts = counts if counts is not None else bucket_counts(df, key, partition, prefix_len)
     w = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*partition, "_bucket",
@@ -76,25 +73,23 @@ def exact_rank(df: DataFrame, key: str, partition: list[str] | None = None, out:
         offsets = decorate(offsets)
     # (#partition values) x 16^prefix_len rows, aggregated: AQE broadcasts it from its measured size;
     # otherwise the join shares the (partition, bucket) partitioning with the rank window below.
-    ranked = df.withColumn("_bucket", F.substring(F.col(key), 1, prefix_len)).join(offsets, [*partition, "_bucket"])
+    ranked = null_safe_join(df.withColumn("_bucket", _bucket(key, prefix_len)), offsets, [*partition, "_bucket"])
     wr = Window.partitionBy(*partition, "_bucket").orderBy(F.col(key))
     return ranked.withColumn(out, (F.col("_off") + F.row_number().over(wr)).cast("long")).drop("_bucket", "_off")
 
 
-def partition_counts(df: DataFrame, key: str, partition: list[str] | None = None,
-                     prefix_len: int = DEFAULT_PREFIX) -> DataFrame:
-    """Row count per partition value, aggregated map-side."""
-    return df.groupBy(*(partition or [])).agg(F.count(F.lit(1)).alias("n"))
-
-
-def dense_uid(df: DataFrame, keys: list[str], out: str = "uid", seed: str = "uid") -> DataFrame:
+def dense_uid(df: DataFrame, keys: list[str], out: str = "uid", seed: str = "uid", unique: bool = False) -> DataFrame:
     """Dense surrogate id 0..n-1 for a composite key, ordered by md5(seed:key).
 
-    Hash order spreads a hot group over all buckets. A duplicate key is an
-    error: callers check it with ``pk_duplicates`` (the rank itself stays dense).
+    Hash order spreads a hot group over all buckets. NULL parts take part like
+    values. ``unique`` makes a duplicate key fail the job.
     """
     keyed = df.withColumn("_uk", hash_key(*keys, seed=seed))
-    return exact_rank(keyed, "_uk", out=out).withColumn(out, F.col(out) - 1).drop("_uk")
+    ranked = exact_rank(keyed, "_uk", out=out).withColumn(out, F.col(out) - 1)
+    if unique:  # equal keys have equal hashes, so they are neighbours of one bucket
+        same = F.count(F.lit(1)).over(Window.partitionBy("_uk"))
+        ranked = ranked.withColumn(out, F.when(same > 1, F.raise_error(F.lit("duplicate composite key")).cast("long")).otherwise(F.col(out)))
+    return ranked.drop("_uk")
 
 
 def shuffle_order(df: DataFrame, key: str, out: str = "position", partitions: int | None = None) -> DataFrame:
@@ -103,6 +98,23 @@ def shuffle_order(df: DataFrame, key: str, out: str = "position", partitions: in
     return df.repartitionByRange(n, F.col(key)).sortWithinPartitions(key)
 
 
+def sorted_positions(df: DataFrame, order: list[str], out: str = "position", partitions: int | None = None) -> DataFrame:
+    """Position 1..n in the order of arbitrary columns: range partitions sorted side by side, then numbered.
+
+    Ties beyond ``order`` get distinct positions. The sorted rows are
+    materialised once, so that counting and numbering see the same partitions.
+    """
+    from pairsim.session import cut_lineage
+
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # The id holds the partition in its upper bits and the row's place in it in the lower 33.
+    rows = cut_lineage(rows.withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return rows.join(offsets, "_part").withColumn(out, F.col("_off") + F.col("_seq") + 1).drop("_part", "_seq", "_off")
+
+
 def running_aggregates(df: DataFrame, partition: list[str], order: str, specs: list[tuple[str, str, object]],
                        chunk: int = 65536) -> DataFrame:
     """Running count / min / max per partition ordered by a numeric ``order`` column, without one task per partition.
@@ -113,7 +125,8 @@ def running_aggregates(df: DataFrame, partition: list[str], order: str, specs: l
     chunk is finished by a window bounded by ``chunk`` rows. ``specs`` holds
     (output, kind, column) with kind in count, min, max (inclusive of the
     current row) or min_before, max_before (excluding it). ``order`` must be
-    unique within a partition.
+    unique within a partition. NULL partition values are a group; NULL orders
+    come first, as one chunk. No row is dropped.
     """
     c = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
     col = lambda x: F.lit(1) if x is None else (F.col(x) if isinstance(x, str) else x)
@@ -124,7 +137,7 @@ def running_aggregates(df: DataFrame, partition: list[str], order: str, specs: l
     w = Window.partitionBy(*partition).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry_fn = {"count": F.sum, "min": F.min, "max": F.max}
     carry = per.select(*partition, "_chunk", *[carry_fn[base[k]](f"_p_{o}").over(w).alias(f"_k_{o}") for o, k, _ in specs])
-    j = c.join(carry, [*partition, "_chunk"])
+    j = null_safe_join(c, carry, [*partition, "_chunk"])
     incl = Window.partitionBy(*partition, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     excl = Window.partitionBy(*partition, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     for o, k, x in specs:

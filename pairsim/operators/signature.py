@@ -9,7 +9,6 @@ derived by a rule from md5 as well.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairsim.functions.sequences import tokens
+from pairsim.functions.sequences import shingles, tokens
 from pairsim.operators.pairs import all_pairs
 
 PRIME = 2147483647  # 2^31 - 1
@@ -75,8 +74,8 @@ def size_estimate(hist: DataFrame, costs: DataFrame, ident: str = "entity_id", g
     keys = [c for c in (group, ident) if c]
     cls = F.when(F.length("token") <= 3, F.lit("short")).when(F.length("token") <= 7, F.lit("medium")) \
            .otherwise(F.lit("long"))
-    # Bounded: one row per token class.
-    j = hist.withColumn("token_class", cls).join(F.broadcast(costs), "token_class")
+    # No hint: the table is the caller's, and AQE broadcasts it by its measured size.
+    j = hist.withColumn("token_class", cls).join(costs, "token_class")
     return j.groupBy(*keys).agg(F.sum(F.col("n") * F.col("cost")).alias("estimated_size"))
 
 
@@ -112,47 +111,10 @@ def minhash_signature(df: DataFrame, shingle_col: str, k: int = DEFAULT_ROWS * D
     return df.withColumn(out, _minhash_udf(k)(h))
 
 
-# Java's \s class, so that Python tokens equal split(text, '\\s+') in Spark.
-_WS = re.compile(r"[ \t\n\x0b\f\r]+")
-
-
-def _py_tokens(text: str) -> list[str]:
-    return [t for t in _WS.split(text) if t]
-
-
-def _py_shingles(text: str, cross_blocks: bool) -> set[str]:
-    seqs = [_py_tokens(text)] if cross_blocks else [_py_tokens(ln) for ln in text.split("\n")]
-    return {t[i] + " " + t[i + 1] for t in seqs for i in range(len(t) - 1)}
-
-
-def _text_minhash_udf(k: int, cross_blocks: bool):
-    a, b = coefficients(k)
-    a, b = a[:, None], b[:, None]
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def minhash_text(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            sh = _py_shingles(text, cross_blocks) if text is not None else set()
-            if not sh:
-                out.append(None)
-                continue
-            x = np.fromiter((int(hashlib.md5(s.encode("utf-8")).hexdigest()[:8], 16) for s in sh),
-                            dtype=np.int64, count=len(sh))
-            sig = np.full(k, PRIME, dtype=np.int64)
-            for s in range(0, len(x), 8192):
-                sig = np.minimum(sig, ((a * x[None, s:s + 8192] + b) % PRIME).min(axis=1))
-            out.append(sig)
-        return pd.Series(out)
-
-    return minhash_text
-
-
 def minhash_text(df: DataFrame, text: str, k: int = DEFAULT_ROWS * DEFAULT_BANDS, cross_blocks: bool = True,
                  out: str = "signature") -> DataFrame:
-    """O41 + O42 fused for whole texts: shingles, md5 base hashes and the k-permutation minimum in one
-    Arrow-batched pass (same values as ``minhash_signature`` over ``shingles(text)``)."""
-    return df.withColumn(out, _text_minhash_udf(k, cross_blocks)(F.col(text)))
+    """O41 + O42 for whole texts: shingles and md5 base hashes in the JVM, the k-permutation minimum in NumPy."""
+    return minhash_signature(df.withColumn("_shingles", shingles(text, cross_blocks)), "_shingles", k, out).drop("_shingles")
 
 
 def band_keys(sig: Column, bands: int = DEFAULT_BANDS, rows: int = DEFAULT_ROWS) -> Column:

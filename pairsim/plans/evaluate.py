@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pairsim.functions.scores import banded_weight
+from pairsim.functions.scores import banded_weight, clean_score
 from pairsim.operators import evaluate as E
 from pairsim.operators.ranking import exact_rank, hash_key
 from pairsim.operators.split import balanced_split
@@ -56,7 +56,7 @@ SELECT count(*)::BIGINT AS n_all, count(*) FILTER (WHERE score > 0)::BIGINT AS n
        count(*) FILTER (WHERE technique = 'R')::BIGINT AS n_technique_r FROM sp""")
 def q_count_cond(spark, d):
     sp = scored_pairs(spark, d)
-    return sp.agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.col("score") > 0).alias("n_positive"),
+    return sp.agg(F.count(F.lit(1)).alias("n_all"), F.count_if(clean_score(F.col("score")) > 0).alias("n_positive"),
                   F.count_if(F.col("technique") == "R").alias("n_technique_r"))
 
 

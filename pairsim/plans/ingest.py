@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pairsim.operators import ingest as I
-from pairsim.operators.ranking import dense_uid
+from pairsim.operators.ranking import dense_uid, sorted_positions
 from pairsim.plans.registry import query
 from pairsim.sources import text as T
 from pairsim.sources.sinks import entity_listing
@@ -162,12 +162,17 @@ def q_group_from_path(spark, d):
 
 
 @query("natural_sort", oracle="""
-SELECT page_id, url, array_to_string(list_transform(regexp_extract_all(url, '([0-9]+|[^0-9]+)', 1),
-       lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(x, 20, '0') ELSE x END), '') AS sort_key
-FROM pages""")
+WITH u AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE url || repeat(page_id::VARCHAR, 12) END AS url FROM pages),
+k AS (SELECT page_id, url, array_to_string(list_transform(regexp_extract_all(url, '([0-9]+|[^0-9]+)', 1),
+       lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(length(ltrim(x, '0'))::VARCHAR, 10, '0') || ltrim(x, '0') ELSE x END), '') AS sort_key
+      FROM u)
+SELECT page_id, url, sort_key, row_number() OVER (ORDER BY sort_key, url, page_id)::BIGINT AS position FROM k""")
 def q_natural_sort(spark, d):
-    p = read_table(spark, d, "pages", ["page_id", "url"])
-    return p.select("page_id", "url", T.natural_key(F.col("url")).alias("sort_key"))
+    # Every other URL ends in a run of digits far beyond 20 places.
+    p = read_table(spark, d, "pages", ["page_id", "url"]).withColumn("url", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(
+        F.concat("url", F.repeat(F.col("page_id").cast("string"), F.lit(12)))))
+    keyed = p.withColumn("sort_key", T.natural_key(F.col("url")))
+    return sorted_positions(keyed, ["sort_key", "url", "page_id"], out="position")
 
 
 @query("scan_projection", oracle="SELECT doc_id, source, n_chars FROM documents")

@@ -73,8 +73,7 @@ sel AS (SELECT * FROM vp WHERE score > 0.3)"""
 
 
 def split_pairs(spark, d):
-    from pairsim.plans.vectors import scored_vector_pairs
-    return scored_vector_pairs(spark, d, "cosine").filter(F.col("score") > 0.3)
+    return P.vector_pair_scores(vector_entities(spark, d), decimals=6, above=0.3)
 
 
 @query("pair_member_ids", oracle="WITH " + SPLIT_PAIRS_SQL + """
@@ -105,22 +104,22 @@ SELECT group_id, id1, id2 FROM vp
 WHERE EXISTS (SELECT 1 FROM listed l WHERE l.group_id = vp.group_id AND least(l.a, l.b) = vp.id1
               AND greatest(l.a, l.b) = vp.id2)""")
 def q_pairs_file_filter(spark, d):
-    from pairsim.plans.vectors import scored_vector_pairs
-    allp = scored_vector_pairs(spark, d, "cosine")
-    # The listed pairs come in reversed order; the filter normalises them.
-    listed = allp.filter(F.col("score") < -0.3).select("group_id", F.col("id2").alias("id1"), F.col("id1").alias("id2"))
-    return P.pairs_file_filter(allp.select("group_id", "id1", "id2"), listed)
+    ents = vector_entities(spark, d)
+    # The listed pairs come in reversed order; the operator normalises them.
+    listed = P.vector_pair_scores(ents, decimals=6, below=-0.3).select("group_id", F.col("id2").alias("id1"), F.col("id1").alias("id2"))
+    return P.listed_pairs(ents, listed)
 
 
 @query("exact_duplicates", oracle="""
-SELECT 'source' AS scope, a.doc_id AS id1, b.doc_id AS id2 FROM documents a JOIN documents b
-  ON a.source = b.source AND md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id AND a.text = b.text
-UNION ALL
-SELECT 'any', a.doc_id, b.doc_id FROM documents a JOIN documents b
-  ON md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id AND a.text = b.text""")
+WITH s AS (SELECT 'source' AS scope, doc_id AS entity_id, min(doc_id) OVER (PARTITION BY source, text) AS class_id,
+                  count(*) OVER (PARTITION BY source, text) AS members FROM documents WHERE text IS NOT NULL
+           UNION ALL
+           SELECT 'any', doc_id, min(doc_id) OVER (PARTITION BY text), count(*) OVER (PARTITION BY text)
+           FROM documents WHERE text IS NOT NULL)
+SELECT scope, entity_id, class_id, members FROM s WHERE members > 1""")
 def q_exact_duplicates(spark, d):
     ents = text_entities(spark, d)
-    by_source = P.exact_duplicates(ents, "text", group="group_name").select(F.lit("source").alias("scope"), "id1", "id2")
+    by_source = P.exact_duplicates(ents, "text", group="group_name").select(F.lit("source").alias("scope"), "entity_id", "class_id", "members")
     anywhere = P.exact_duplicates(ents.withColumn("group_name", F.lit("all")), "text", group="group_name").select(
-        F.lit("any").alias("scope"), "id1", "id2")
+        F.lit("any").alias("scope"), "entity_id", "class_id", "members")
     return by_source.unionByName(anywhere)

@@ -120,7 +120,7 @@ def q_lsh_candidates_global(spark, d):
 @query("lsh_rank_distance", oracle="WITH " + SIG_SQL.lstrip() + f""",
 cs AS (SELECT c.*, 1.0 - len(list_filter(list_zip(s1.sig, s2.sig), lambda z: z[1] = z[2])) / {K}.0 AS dist
        FROM cand c JOIN sig s1 ON s1.doc_id = c.id1 JOIN sig s2 ON s2.doc_id = c.id2)
-SELECT group_name, id1, id2, round(dist, 6) AS minhash_distance FROM cs WHERE dist <= 1.0""")
+SELECT group_name, id1, id2, round(dist, 6) AS minhash_distance FROM cs WHERE dist <= 0.5""")
 def q_lsh_rank_distance(spark, d):
     s = signed_docs(spark, d)
     cand = G.lsh_candidates(G.band_table(s, "group_name", "entity_id"), "group_name")
@@ -129,7 +129,7 @@ def q_lsh_rank_distance(spark, d):
     j = cand.join(s1, "id1").join(s2, "id2")
     dist = F.lit(1.0) - S.minhash_similarity("s1", "s2")
     return j.select("group_name", "id1", "id2", dist.alias("d")).filter(
-        F.col("d") <= G.DEFAULT_RANK_DISTANCE).select("group_name", "id1", "id2", F.round("d", R).alias("minhash_distance"))
+        F.col("d") <= 0.5).select("group_name", "id1", "id2", F.round("d", R).alias("minhash_distance"))
 
 
 @query("lsh_bucket_cap", oracle="WITH " + SIG_SQL.lstrip().replace(

@@ -1,4 +1,4 @@
-"""Session helpers: a local session for tests/bench, checkpoint location, size-checked broadcast."""
+"""Session helpers: a local session for tests and bench, checkpoint location, lineage cuts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Defaults for the local session used by tests and bench. On a cluster the
 # session is created by the platform and these are not applied.
@@ -58,28 +57,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over the session's parallelism when the plan has fewer partitions (e.g. one small file).
+    """Spread rows over the session's parallelism when the scan has fewer files (e.g. one small file).
 
-    Large inputs already have many splits and are returned unchanged. Round-robin
+    Larger inputs have many files and are returned unchanged. Round-robin
     repartitioning is deterministic on retry (Spark sorts before it).
     """
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
-            return df.repartition(want)
-    except Exception:  # noqa: BLE001 - sessions without RDD access keep the plan
-        pass
-    return df
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it holds at most ``max_rows`` rows.
-
-    Beyond the bound the plain DataFrame is returned and the join stays a
-    shuffle join (AQE may still convert it from runtime sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if len(df.inputFiles()) < want else df
 
 
 # Suggested settings for a large cluster (~100 TB inputs). Operators never set

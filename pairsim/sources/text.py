@@ -7,14 +7,15 @@ to lines produced by Spark itself.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The merge-log patterns. [0-9] and [+] are written out so that one
-# pattern text is valid for Java regex and for RE2.
+# The merge-log patterns.
 LOG_FILENAME_RE = r"build\.(.*)\.(TECHNIQUE=.*)\..*\..*\.log"
-NUM_FUNCTIONS_RE = r"Number of Functions: ([0-9]+)"
-MERGE_LINE_RE = r"@.* [+] @.* <= .* Valid: ([0-9]) BinSizes: ([0-9]+) [+] ([0-9]+) <= ([0-9]+) .* Profitable: ([0-9])"
+NUM_FUNCTIONS_RE = r"Number of Functions: (\d+)"
+MERGE_LINE_RE = r"@.* \+ @.* <= .* Valid: (\d) BinSizes: (\d+) \+ (\d+) <= (\d+) .* Profitable: (\d)"
 
 # Embedding line layout.
 EMBED_SEP = "\t=\t"
@@ -39,10 +40,24 @@ def read_lines(spark: SparkSession, path: str, recursive: bool = False, glob: st
                               F.monotonically_increasing_id().alias("pos")).alias("line_pos"))
 
 
+def list_files(spark: SparkSession, root: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
+    """file_path, file_name of the files below ``root``, empty ones included; contents are not read.
+
+    The listing is the one that Spark's own file index holds on the driver.
+    """
+    r = spark.read
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    paths = [(p, unquote(p.rsplit("/", 1)[-1])) for p in r.text(root).inputFiles()]
+    return spark.createDataFrame(paths, "file_path string, file_name string")
+
+
 def discover(spark: SparkSession, root: str, file_name: str, skip_parent: str = "build") -> DataFrame:
     """All files called ``file_name`` below ``root``, except those directly inside a ``skip_parent`` folder."""
-    lines = read_lines(spark, root, recursive=True, glob=file_name)
-    return lines.filter(~F.col("file_path").rlike(f"/{skip_parent}/[^/]+$"))
+    files = list_files(spark, root, recursive=True, glob=file_name)
+    return files.filter(~F.col("file_path").rlike(f"/{skip_parent}/[^/]+$"))
 
 
 def group_from_path(path: Column) -> Column:
@@ -55,11 +70,26 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def natural_key(name: Column, width: int = 20) -> Column:
-    """Sort key under which digit runs compare as numbers (each run left-padded)."""
+def natural_key(name: Column) -> Column:
+    """Sort key under which digit runs of any length compare as numbers.
+
+    A run is written as its number of digits (ten places, leading zeros
+    stripped) followed by the digits.
+    """
     runs = F.regexp_extract_all(name, F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    padded = F.transform(runs, lambda x: F.when(x.rlike("^[0-9]+$"), F.lpad(x, width, "0")).otherwise(x))
-    return F.array_join(padded, "")
+
+    def keyed(x: Column) -> Column:
+        digits = F.regexp_replace(x, "^0+", "")
+        return F.when(x.rlike("^[0-9]+$"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(x)
+
+    return F.array_join(F.transform(runs, keyed), "")
+
+
+def natural_sort(files: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+    """Rows in natural order of ``name``: range-partitioned and sorted inside partitions; ties by name."""
+    n = partitions or files.sparkSession.sparkContext.defaultParallelism
+    keyed = files.withColumn("_natural", natural_key(F.col(name)))
+    return keyed.repartitionByRange(n, "_natural", name).sortWithinPartitions("_natural", name).drop("_natural")
 
 
 # ---------------------------------------------------------------------------
@@ -148,5 +178,8 @@ def merge_log_metrics(lines: DataFrame, order: str = "line_pos", file_col: str =
 
 
 def read_merge_logs(spark: SparkSession, log_dir: str) -> DataFrame:
-    """Merge-log metric table for every log file in ``log_dir``."""
-    return merge_log_metrics(read_lines(spark, log_dir))
+    """Merge-log metric table for every log file in ``log_dir``; an empty file gets its row of zeros."""
+    found = merge_log_metrics(read_lines(spark, log_dir))
+    empty = log_file_meta(list_files(spark, log_dir).join(found.select("file_name"), "file_name", "left_anti"))
+    zeros = [F.lit(0).cast("long").alias(c) for c in found.columns[3:]]
+    return found.unionByName(empty.select("file_name", "benchmark", "flags", *zeros))
