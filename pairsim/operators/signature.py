@@ -142,15 +142,15 @@ def lsh_candidates(bands_df: DataFrame, group: str, ident: str = "entity_id", ti
     return p.groupBy(group, "id1", "id2").agg(F.count(F.lit(1)).alias("shared_bands"))
 
 
-def bucket_cap(bands_df: DataFrame, group: str, ident: str = "entity_id", cap: int = DEFAULT_BUCKET_CAP) -> DataFrame:
-    """Keep at most ``cap`` members per (group, band, key) bucket, the lowest ids.
+def bucket_cap(bands_df: DataFrame, group: str, cap: int = DEFAULT_BUCKET_CAP) -> DataFrame:
+    """Every bucket member with its bucket's size and whether that exceeds ``cap``.
 
-    Reproduces the collection flag; the exhaustive candidates are
-    ``lsh_candidates`` without it.
+    The collection flag leaves the surplus members out; here the flag only
+    marks such buckets, and candidates come from whole buckets (tiled).
     """
-    from pyspark.sql import Window
-    w = Window.partitionBy(group, "band", "key").orderBy(ident)
-    return bands_df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap).drop("_r")
+    keys = [group, "band", "key"]
+    sizes = bands_df.groupBy(*keys).agg(F.count(F.lit(1)).alias("bucket_size"))
+    return bands_df.join(sizes, keys).withColumn("over_cap", F.col("bucket_size") > cap)
 
 
 def bucket_report(bands_df: DataFrame, group: str) -> DataFrame:
@@ -169,7 +169,7 @@ ADAPTIVE_POLICY = [
 
 
 def adaptive_parameters(sizes: DataFrame, group: str, size_col: str = "size") -> DataFrame:
-    """LSH parameters chosen per group from its size by a broadcast range lookup."""
+    """The LSH parameters that the policy names for a group of that size: a report, candidates don't depend on it."""
     spark = sizes.sparkSession
     pol = spark.createDataFrame(ADAPTIVE_POLICY, "lo long, hi long, bands int, rows int, threshold double")
     # Bounded: three policy rows.
@@ -177,19 +177,6 @@ def adaptive_parameters(sizes: DataFrame, group: str, size_col: str = "size") ->
     return j.select(group, size_col, "bands", "rows", "threshold")
 
 
-def adaptive_band_table(signed: DataFrame, params: DataFrame, group: str, ident: str = "entity_id",
-                        sig: str = "signature") -> DataFrame:
-    """O46 applied: band keys with each group's own (bands, rows) from ``adaptive_parameters``.
-
-    bands x rows never exceeds the signature length, so one signature serves
-    every policy; the threshold column travels along for the distance filter.
-    """
-    s = signed.filter(F.col(sig).isNotNull()).join(params.select(group, "bands", "rows", "threshold"), group)
-    keys = F.transform(F.sequence(F.lit(0), F.col("bands") - 1),
-                       lambda i: F.md5(F.array_join(F.slice(F.col(sig), i * F.col("rows") + 1, F.col("rows")), ",")))
-    return s.select(group, ident, "threshold", F.posexplode(keys).alias("band", "key"))
-
-
 def set_jaccard(entities: DataFrame, members: DataFrame, group: str, ident: str = "entity_id", item: str = "item",
                 tile_rows: int = 2048) -> DataFrame:
     """O44 over every pair of a group without shipping the sets: |A n B| / (|A| + |B| - |A n B|).

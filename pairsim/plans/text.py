@@ -133,12 +133,12 @@ def q_lsh_rank_distance(spark, d):
 
 
 @query("lsh_bucket_cap", oracle="WITH " + SIG_SQL.lstrip().replace(
-    "docs AS (SELECT source AS group_name", "docs AS (SELECT 'all' AS group_name", 1) + f""",
-capped AS (SELECT *, row_number() OVER (PARTITION BY group_name, band, key ORDER BY doc_id) AS r FROM bands)
-SELECT doc_id AS entity_id, band::INTEGER AS band, key FROM capped WHERE r <= {G.DEFAULT_BUCKET_CAP}""")
+    "docs AS (SELECT source AS group_name", "docs AS (SELECT 'all' AS group_name", 1) + """,
+sized AS (SELECT *, count(*) OVER (PARTITION BY group_name, band, key) AS bucket_size FROM bands)
+SELECT doc_id AS entity_id, band::INTEGER AS band, key, bucket_size, bucket_size > 3 AS over_cap FROM sized""")
 def q_lsh_bucket_cap(spark, d):
     b = doc_bands(spark, d, F.lit("all"))
-    return G.bucket_cap(b, "group_name").select("entity_id", "band", "key")
+    return G.bucket_cap(b, "group_name", cap=3).select("entity_id", "band", "key", "bucket_size", "over_cap")
 
 
 @query("lsh_bucket_report", oracle="WITH " + SIG_SQL.lstrip() + """,
@@ -231,14 +231,17 @@ def q_align_nw(spark, d):
                     "status", "lcs", F.round("score", R).alias("score"))
 
 
-@query("align_guard", oracle="WITH " + DOCS_SQL.lstrip() + """
-SELECT a.group_name, a.doc_id AS id1, b.doc_id AS id2,
-       CASE WHEN len(a.toks)::BIGINT * len(b.toks)::BIGINT <= 1000000 THEN 'ok' ELSE 'too_large' END AS status
-FROM docs a JOIN docs b ON a.group_name = b.group_name AND a.doc_id < b.doc_id""")
+@query("align_guard", oracle="WITH " + SIG_SQL.lstrip() + """
+SELECT c.group_name, c.id1, c.id2,
+       CASE WHEN len(a.toks)::BIGINT * len(b.toks)::BIGINT <= 1000000 THEN 'ok' ELSE 'large' END AS status
+FROM cand c JOIN docs a ON a.doc_id = c.id1 JOIN docs b ON b.doc_id = c.id2""")
 def q_align_guard(spark, d):
     from pairsim.operators.alignment import align_guard
-    e = docs(spark, d).select("group_name", "entity_id", F.size(S.tokens("text")).alias("n"))
-    p = all_pairs(e, group="group_name", payload=["n"])
+    s = signed_docs(spark, d)
+    cand = G.lsh_candidates(G.band_table(s, "group_name", "entity_id"), "group_name")
+    n = docs(spark, d).select("entity_id", F.size(S.tokens("text")).alias("n"))
+    p = cand.join(n.select(F.col("entity_id").alias("id1"), F.col("n").alias("n1")), "id1") \
+            .join(n.select(F.col("entity_id").alias("id2"), F.col("n").alias("n2")), "id2")
     return align_guard(p, "n1", "n2", 1_000_000).select("group_name", "id1", "id2", "status")
 
 
@@ -292,30 +295,22 @@ ADAPT_SQL = """,
 sz AS (SELECT group_name, count(*)::BIGINT AS size FROM docs GROUP BY group_name),
 pol AS (SELECT * FROM (VALUES (0, 64, 100, 2, 0.0), (64, 1024, 50, 4, 0.2), (1024, 4611686018427387904, 25, 8, 0.4))
         t(lo, hi, bands, rows, threshold)),
-par AS (SELECT group_name, bands, rows, threshold FROM sz JOIN pol ON size >= lo AND size < hi),
-abands AS (SELECT s.group_name, s.doc_id, b AS band,
-                  md5(array_to_string(s.sig[b * p.rows + 1 : b * p.rows + p.rows], ',')) AS key
-           FROM sig s JOIN par p USING (group_name), range(100) t(b) WHERE b < p.bands),
-acand AS (SELECT a.group_name, a.doc_id AS id1, b.doc_id AS id2, count(*)::BIGINT AS shared_bands
-          FROM abands a JOIN abands b ON a.group_name = b.group_name AND a.band = b.band AND a.key = b.key
-                                     AND a.doc_id < b.doc_id GROUP BY ALL)"""
+par AS (SELECT group_name, threshold FROM sz JOIN pol ON size >= lo AND size < hi)"""
 
 
 @query("lsh_adaptive_candidates", oracle="WITH " + SIG_SQL.lstrip() + ADAPT_SQL + f""",
 ad AS (SELECT c.*, 1.0 - len(list_filter(list_zip(s1.sig, s2.sig), lambda z: z[1] = z[2])) / {K}.0 AS dist, p.threshold
-       FROM acand c JOIN sig s1 ON s1.doc_id = c.id1 JOIN sig s2 ON s2.doc_id = c.id2 JOIN par p ON p.group_name = c.group_name)
-SELECT group_name, id1, id2, shared_bands, round(dist, 6) AS minhash_distance FROM ad WHERE dist <= 1.0 - threshold""")
+       FROM cand c JOIN sig s1 ON s1.doc_id = c.id1 JOIN sig s2 ON s2.doc_id = c.id2 JOIN par p ON p.group_name = c.group_name)
+SELECT group_name, id1, id2, shared_bands, round(dist, 6) AS minhash_distance, dist <= 1.0 - threshold AS within_policy FROM ad""")
 def q_lsh_adaptive_candidates(spark, d):
     s = signed_docs(spark, d)
     sizes = docs(spark, d).groupBy("group_name").agg(F.count(F.lit(1)).alias("size"))
     params = G.adaptive_parameters(sizes, "group_name")
-    bands = G.adaptive_band_table(s, params, "group_name")
-    cand = G.lsh_candidates(bands.drop("threshold"), "group_name")
+    # All candidates whatever the group's size; the policy's threshold only marks them.
+    cand = G.lsh_candidates(G.band_table(s, "group_name", "entity_id"), "group_name")
     s1 = s.select(F.col("entity_id").alias("id1"), F.col("signature").alias("s1"))
     s2 = s.select(F.col("entity_id").alias("id2"), F.col("signature").alias("s2"))
     j = cand.join(params.select("group_name", "threshold"), "group_name").join(s1, "id1").join(s2, "id2")
     dist = F.lit(1.0) - S.minhash_similarity("s1", "s2")
-    # Adaptive threshold: keep pairs whose MinHash similarity reaches the group's threshold.
-    return j.select("group_name", "id1", "id2", "shared_bands", dist.alias("d"), "threshold") \
-            .filter(F.col("d") <= F.lit(1.0) - F.col("threshold")) \
-            .select("group_name", "id1", "id2", "shared_bands", F.round("d", R).alias("minhash_distance"))
+    return j.select("group_name", "id1", "id2", "shared_bands", F.round(dist, R).alias("minhash_distance"),
+                    (dist <= F.lit(1.0) - F.col("threshold")).alias("within_policy"))

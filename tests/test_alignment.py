@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pairsim.functions.sequences import positional_alignment, shingles
-from pairsim.operators.alignment import align_nw, lcs_length
+from pairsim.operators.alignment import align_guard, align_nw, lcs_length
 
 
 def lcs_dp(a, b):
@@ -36,10 +36,11 @@ def test_nw_score_cases(spark):
     assert got[1] is None and got[2] == 1.0 and got[3] == 0.0 and abs(got[4] - 4 / 9) < 1e-12
 
 
-def test_guard_refuses_large(spark):
+def test_guard_reports_large_pairs(spark):
     df = spark.createDataFrame([(["a"] * 100, ["a"] * 100)], "t1 array<string>, t2 array<string>")
-    r = align_nw(df, max_cells=50).collect()[0]
-    assert r["status"] == "too_large" and r["score"] is None
+    r = align_guard(df.withColumn("n1", F.size("t1")).withColumn("n2", F.size("t2")), cells=50).collect()[0]
+    assert r["status"] == "large"  # a report: the pair is aligned all the same
+    assert align_nw(df).collect()[0]["score"] is not None
 
 
 def test_positional_alignment(spark):
