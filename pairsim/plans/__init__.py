@@ -4,7 +4,7 @@ import importlib
 
 from pairsim.plans.registry import ORACLE, QUERIES
 
-_MODULES = ["vectors", "split", "evaluate", "ingest", "quality", "text", "outcomes", "streaming", "model"]
+_MODULES = ["vectors", "split", "evaluate", "ingest", "quality", "text", "outcomes", "streaming", "model", "training"]
 
 
 def load_all():
