@@ -32,7 +32,7 @@ FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 MIN_COUNT, MIN_SHARE = 3, 0.2
 SAMPLE_DOCS = 40_000
 #: Characters in one piece; bounds a task's arrays.
-PIECE = 1_000_000
+PIECE = 500_000
 UND = "und"
 
 
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS) -> Filte
     rows = bounded_sample(rows.where(learn).where("text is not null and lang is not null"), sample_docs, "langid", "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for langs, texts in text_slices(batches):
+        for langs, texts in text_slices(batches, 2 * PIECE):
             langs, texts = np.array(langs.to_pylist(), object), texts.to_pylist()
             keys, owner = trigrams(texts)
             for lang in np.unique(langs):
@@ -144,7 +144,7 @@ def predict(docs: DataFrame, model: Filters) -> DataFrame:
     """doc_id, lang_pred, score for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_slices(batches):
+        for ids, texts in text_slices(batches, 2 * PIECE):
             lang, score = model.decide(texts.to_pylist())
             yield pa.RecordBatch.from_arrays([ids, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
