@@ -6,7 +6,9 @@ from pairsim.functions.scores import stratum
 from pairsim.operators.ranking import dense_uid, exact_rank, hash_key
 from pairsim.operators.split import balanced_split, fixed_batches, plain_split, training_subset
 from pairsim.plans.registry import query
+from pairsim.sources.sinks import write_batches
 from pairsim.sources.tables import read_table, scored_pairs
+from pairsim.streaming import scratch_dir
 
 # DuckDB twin of sources.tables.scored_pairs.
 SP_SQL = """WITH
@@ -148,3 +150,12 @@ def q_dataset_profile(spark, d):
         F.struct(F.lit("technique").alias("dimension"), F.col("technique").alias("value"))))
     e = s.select(dims.alias("d"), "split").select("d.*", "split")
     return e.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("before_n"), kept.alias("after_n"))
+
+
+@query("fetch_batches", oracle=SP_SQL + """,
+r AS (SELECT pair_key, (row_number() OVER (ORDER BY pair_key) - 1) // 7000 AS batch_id FROM sp)
+SELECT batch_id::INTEGER AS batch_id, count(*)::BIGINT AS n, min(pair_key) AS first_key, max(pair_key) AS last_key FROM r GROUP BY batch_id""")
+def q_fetch_batches(spark, d):
+    path = scratch_dir(spark, "batches")
+    write_batches(scored_pairs(spark, d).select("pair_key", "score"), path, "pair_key", 7000)
+    return spark.read.parquet(path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.min("pair_key").alias("first_key"), F.max("pair_key").alias("last_key"))

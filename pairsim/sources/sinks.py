@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,25 +28,17 @@ def write_splits(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "ignore").partitionBy("split").parquet(path)
 
 
-def iter_batches(df: DataFrame, key: str, batch_rows: int):
-    """O81/O83 at the trainer boundary: pandas batches of exactly ``batch_rows`` rows (the last one short).
+def write_batches(df: DataFrame, path: str, key: str, batch_rows: int) -> None:
+    """Batches of exactly ``batch_rows`` rows (the last one short) in key order, one folder each.
 
-    Batches are numbered in Spark (bucketed rank), range-partitioned by batch
-    number and streamed to the consumer one partition at a time with
-    ``toLocalIterator`` — the driver never holds more than one partition.
+    A trainer fetches batch after batch with ``read_batch``; no batch passes through the driver.
     """
-    import pandas as pd
-
     from pairsim.operators.split import fixed_batches
 
     b = fixed_batches(df, key, batch_rows)
-    ordered = b.repartitionByRange(F.col("batch_id")).sortWithinPartitions("batch_id", key)
-    current, rows = None, []
-    for r in ordered.toLocalIterator(prefetchPartitions=True):
-        if current is not None and r["batch_id"] != current:
-            yield pd.DataFrame(rows, columns=ordered.columns)
-            rows = []
-        current = r["batch_id"]
-        rows.append(tuple(r))
-    if rows:
-        yield pd.DataFrame(rows, columns=ordered.columns)
+    b.repartition("batch_id").sortWithinPartitions("batch_id", key).write.mode("overwrite").partitionBy("batch_id").parquet(path)
+
+
+def read_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The rows of one batch; other batches' folders are pruned."""
+    return spark.read.parquet(path).where(F.col("batch_id") == batch_id)

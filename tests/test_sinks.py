@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from pairsim.sources.sinks import iter_batches, write_chunked, write_metrics_csv, write_splits
+from pairsim.sources.sinks import read_batch, write_batches, write_chunked, write_metrics_csv, write_splits
 
 
 def test_csv_has_header_and_no_index(spark):
@@ -36,6 +36,8 @@ def test_chunked_files(spark):
 
 def test_trainer_batches_every_row_once(spark):
     df = spark.range(11).select(F.md5(F.col("id").cast("string")).alias("key"), "id")
-    batches = list(iter_batches(df, "key", 4))
+    d = tempfile.mkdtemp(prefix="pairsim-batches-")
+    write_batches(df, d, "key", 4)
+    batches = [[r["id"] for r in read_batch(spark, d, i).orderBy("key").collect()] for i in range(3)]
     assert [len(b) for b in batches] == [4, 4, 3]
-    assert sorted(x for b in batches for x in b["id"]) == list(range(11))
+    assert [x for b in batches for x in b] == [r["id"] for r in df.orderBy("key").collect()]
