@@ -20,7 +20,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +30,16 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from pairsim.llm.shared import store, text_slices
 
 MAGIC = b"BPK1"
 HEAD = struct.Struct("<4sIIIQQ")
 BLOCK = 4096
-FILE_IDS = 2_000_000
+FILE_IDS = 1_000_000
 #: Characters of text encoded together; bounds a task's memory besides its longest text.
-CHARS = 8_000_000
+CHARS = 2_000_000
 FILES = "part int, no int, n_docs int, n_ids long, content binary"
 SPANS = "part int, no int, k int, doc_id long, local long, n_tokens long, ids_crc32 long"
 
@@ -53,7 +56,7 @@ def pack(ids: np.ndarray, width: int) -> bytes:
     return np.packbits(bits.ravel(), bitorder="little").tobytes()
 
 
-def unpack(data: bytes, width: int, n: int) -> np.ndarray:
+def unpack(data: bytes | memoryview, width: int, n: int) -> np.ndarray:
     if width in (8, 16, 32):
         return np.frombuffer(data, f"<u{width // 8}", n).astype(np.uint32)
     bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
@@ -73,7 +76,7 @@ def to_file(ids: np.ndarray, starts: np.ndarray, width: int, block: int = BLOCK)
 class PackedFile:
     """Reads ids of a packed file; only the blocks that a range touches are unpacked."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes | memoryview) -> None:
         magic, self.width, self.block, self.n_docs, self.n_ids, n_blocks = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a packed token file")
@@ -94,35 +97,72 @@ class PackedFile:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+#: Pieces that a worker remembers, each of at most PIECE characters; further ones are encoded each time.
+MEMORY, PIECE = 400_000, 64
+
+
+@cache
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+@cache
+def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, bytes]]:
+    """The tokenizer and the pieces remembered so far, kept by a worker for its next tasks."""
+    tok = Tokenizer.from_file(path)
+    tok.no_padding()
+    tok.no_truncation()
+    return tok, {}
+
+
 class Encoder:
     """Whole texts to ids with a tokenizer file.
 
     A byte-level tokenizer that splits words before merging gives a text's ids as the ids of its pieces, when it is cut
-    in front of single spaces between other characters. Pieces recur, so each distinct piece of a batch is encoded once.
-    Texts in which a space touches another white space character are cut at the safe places only.
+    in front of single spaces between other characters. Pieces recur, so each distinct piece of a slice is looked up once.
+    Texts in which a space touches another white space character are cut at the safe places only. A piece of Latin words, signs
+    after them and single line ends between them is split like the tokenizer does (each is one unit there), and its words go
+    straight to the merge model.
     """
 
     WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
     UNSAFE = f"{WHITE} | {WHITE}|^ | $"
     CUT = re.compile(r"(?<=\S) (?=\S)")
+    WORD = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+    SIGNS = r"[.,;:!?%$&*#|]"
+    UNITS = re.compile(rf"({WORD.pattern}){SIGNS}*(?:\n[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+{SIGNS}*)*")
+    UNIT = re.compile(rf"{WORD.pattern}|{SIGNS}+|\n")
 
     def __init__(self, path: str, as_pieces: bool = True) -> None:
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_padding()
-        self.tok.no_truncation()
-        self.as_pieces = as_pieces
+        self.tok, self.known = _tokenizer(path)
+        self.model, self.as_pieces = self.tok.model, as_pieces
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece's ids as 32-bit numbers."""
+        if self.as_pieces and self.WORD.fullmatch(piece):
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_byte_letters()))]
+        elif self.as_pieces and self.UNITS.fullmatch(piece):
+            units = self.UNIT.findall(piece)
+            if len(units) > 1:
+                return b"".join([x if (x := self.known.get(u)) is not None else self._piece(u) for u in units])
+            ids = self.tok.encode(piece, add_special_tokens=False).ids
+        else:
+            ids = self.tok.encode(piece, add_special_tokens=False).ids
+        found = array("I", ids).tobytes()
+        if len(self.known) < MEMORY and len(piece) <= PIECE:
+            self.known[piece] = found
+        return found
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the end offset of each text."""
-        ids, ends, n = [], np.zeros(len(texts) + 1, np.int64), 0
-        for i in range(0, len(texts), 4096):
-            for k, e in enumerate(self.tok.encode_batch_fast(texts[i:i + 4096], add_special_tokens=False), i + 1):
-                ids.append(np.array(e.ids, np.uint32))
-                n += len(e.ids)
-                ends[k] = n
-        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), ends
+        known, piece = self.known.get, self._piece
+        found = [x if (x := known(t)) is not None else piece(t) for t in texts]
+        ends = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4, out=ends[1:])
+        return np.frombuffer(b"".join(found), np.uint32), ends
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and each text's number of ids. Null counts as empty."""
@@ -190,6 +230,7 @@ def write_files(docs: DataFrame, path: str, end_id: int, parts: int | None = Non
                 held, counts, keys, n_held, no = [], [], [], 0, no + 1
         if n_held:
             yield file()
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first()]
@@ -203,13 +244,14 @@ def read_spans(files: DataFrame) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                n = r["n_docs"]
-                known = np.frombuffer(r["content"], np.uint8, n).astype(bool)
-                keys = np.frombuffer(r["content"], "<i8", n, n)
-                f = PackedFile(r["content"][9 * n:])
+            for i in range(b.num_rows):  # one file at a time
+                r = {c: b.column(c)[i].as_py() for c in ("part", "no", "n_docs")}
+                n, content = r["n_docs"], memoryview(b.column("content")[i].as_buffer())
+                known = np.frombuffer(content, np.uint8, n).astype(bool)
+                keys = np.frombuffer(content, "<i8", n, n)
+                f = PackedFile(content[9 * n:])
                 ids = f.ids(0, f.n_ids).astype("<u4")
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(f.starts[:-1], f.starts[1:], strict=True)]
+                crc = [zlib.crc32(ids[a:z]) for a, z in zip(f.starts[:-1], f.starts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["part"], np.int32)), pa.array(np.full(n, r["no"], np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(keys, pa.int64(), mask=~known), pa.array(f.starts[:-1]), pa.array(np.diff(f.starts)), pa.array(crc, pa.int64())], names=["part", "no", "k", "doc_id", "local", "n_tokens", "ids_crc32"])
 
     # One row per file: totals per partition first, then inside each partition.
