@@ -69,8 +69,18 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, metadata columns and text of every row; only small facts of pages are joined."""
+    """doc_id, metadata columns, chars and t (text facts) of every row; texts become facts where they lie, and only facts are joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            facts, chars = [], []
+            for _, texts in text_slices([b]):
+                facts += [text_facts(t) for t in texts.to_pylist()]
+                chars += pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pa.array(chars, pa.int64()), pa.array(facts, pa.list_(pa.float64()))], names=["doc_id", "source", "lang", "chars", "t"])
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.mapInArrow(run, "doc_id long, source string, lang string, chars long, t array<double>")
     facts = store(page_facts(pages), "page-facts").withColumnRenamed("doc_id", "page_doc")
     return rows.join(facts, F.col("doc_id") == F.col("page_doc"), "left").drop("page_doc")
 
@@ -151,13 +161,9 @@ class Model:
 
 
 def _facts(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """Text facts and metadata facts of a batch whose last column is the text."""
-    text, lengths = [], []
-    for _, texts in text_slices([batch]):
-        text += [text_facts(t) for t in texts.to_pylist()]
-        lengths += pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
-    batch_meta = {c: batch.column(c).to_pylist() for c in META}
-    return [np.array(text, float).reshape(len(lengths), 13), meta_facts(batch_meta, np.array(lengths, float))]
+    """Text facts and metadata facts of a batch of ``_rows``."""
+    text = np.array(batch.column("t").to_pylist(), float).reshape(batch.num_rows, -1)
+    return [text, meta_facts({c: batch.column(c).to_pylist() for c in META}, batch.column("chars").to_numpy().astype(float))]
 
 
 def fit(docs: DataFrame, pages: DataFrame, labels: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS, pool_docs: int = POOL_DOCS) -> Model:
@@ -176,7 +182,7 @@ def fit(docs: DataFrame, pages: DataFrame, labels: DataFrame, learn: Column, sam
 
     small = docs.select("doc_id", "source", "lang", "text").join(F.broadcast(ask), F.col("doc_id").cast("long") == F.col("ask_id")).drop("ask_id")
     rows = _rows(small, pages).join(F.broadcast(ask), F.col("doc_id") == F.col("ask_id"))
-    found = rows.select("doc_id", "y", *META, "text").mapInArrow(facts, "doc_id long, y int, t array<double>, m array<double>").collect()
+    found = rows.select("doc_id", "y", *META, "chars", "t").mapInArrow(facts, "doc_id long, y int, t array<double>, m array<double>").collect()
     if not found:
         return Model(None, None, None)
     found.sort(key=lambda r: (r.doc_id, r.t, r.m))
@@ -202,4 +208,4 @@ def score(docs: DataFrame, pages: DataFrame, model: Model) -> DataFrame:
                 s = model.score(_facts(b))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(s[:, i]) for i in range(3))], names=["doc_id", "text_score", "meta_score", "score"])
 
-    return _rows(docs, pages).select("doc_id", *META, "text").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
+    return _rows(docs, pages).select("doc_id", *META, "chars", "t").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
