@@ -35,13 +35,6 @@ def shingles(text, cross_blocks: bool = True) -> Column:
     return F.flatten(F.transform(lines(text), lambda ln: _pairs_of(tokens(ln))))
 
 
-def jaccard(a, b) -> Column:
-    """|A n B| / |A u B| of the two sets; NULL when both are empty."""
-    inter = F.size(F.array_intersect(_c(a), _c(b)))
-    union = F.size(F.array_union(_c(a), _c(b)))
-    return F.try_divide(inter.cast("double"), union.cast("double"))
-
-
 def equal_positions(a, b) -> Column:
     """Number of positions holding equal values."""
     return F.size(F.filter(F.zip_with(_c(a), _c(b), lambda x, y: x == y), lambda z: z))
