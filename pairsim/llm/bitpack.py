@@ -39,7 +39,7 @@ HEAD = struct.Struct("<4sIIIQQ")
 BLOCK = 4096
 FILE_IDS = 1_000_000
 #: Characters of text encoded together; bounds a task's memory besides its longest text.
-CHARS = 2_000_000
+CHARS = 1_000_000
 FILES = "part int, no int, n_docs int, n_ids long, content binary"
 SPANS = "part int, no int, k int, doc_id long, local long, n_tokens long, ids_crc32 long"
 
@@ -98,7 +98,7 @@ class PackedFile:
 
 
 #: Pieces that a worker remembers, each of at most PIECE characters; further ones are encoded each time.
-MEMORY, PIECE = 400_000, 64
+MEMORY, PIECE = 100_000, 64
 
 
 @cache

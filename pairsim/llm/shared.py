@@ -48,7 +48,7 @@ def bounded_sample(df: DataFrame, bound: int, seed: str, *key: str) -> DataFrame
     return df if n <= bound else df.where(unit(seed, *key) < bound / n)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], size: int = 4_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
+def text_slices(batches: Iterator[pa.RecordBatch], size: int = 1_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
     """First and last column of Arrow batches, in slices of about ``size`` bytes of the last: a text column."""
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False))

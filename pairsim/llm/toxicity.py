@@ -43,7 +43,7 @@ STEMS = (4, 5, 6)
 MIN_DOCS, MIN_ODDS, MAX_TERMS, MAX_NEAR = 3, 3.0, 2_000, 2
 WINDOW = 6
 #: Memorised words and automaton states of one worker; forgotten together when full.
-MEMORY = 300_000
+MEMORY = 100_000
 MATCH = "array<struct<start:int,end:int,term:string,edits:int,quoted:boolean,context:double>>"
 
 
@@ -157,7 +157,8 @@ class Matcher:
         """start, end, term, edits, quoted, context score of every match, in order."""
         low = text.lower()
         new = set(WORD.findall(low)).difference(self.misses)
-        if self.terms and not new.isdisjoint(self.hits) or any([self._learn(w) for w in new if w not in self.hits]):
+        # A known term, or else one among the words seen for the first time; either way all of the text is gone through.
+        if not new.isdisjoint(self.hits) or any([self._learn(w) for w in new]):
             return self._spans(low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text))
         return []
 
