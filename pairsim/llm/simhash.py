@@ -12,7 +12,8 @@ come from large-star / small-star rounds on those edges, each cut by a checkpoin
 
 Defined cases: null text has no words; a text without words has fingerprint zero and is linked like any other; repeated rows
 and ids get a row each; null doc_ids get a component like others but never name one unless all of it is null; an
-empty table gives an empty result; extra columns are ignored by ``components`` and kept by ``deduplicate``.
+empty table gives an empty result; extra columns are ignored by ``components`` and kept by ``deduplicate``, which keeps exactly
+one row of each component, whatever ids its rows share with other components.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairsim.llm.shared import store
@@ -55,15 +56,19 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the unsigned fingerprint's bits as a long)."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, hashed: bool = False) -> DataFrame:
+    """doc_id, fp (the unsigned fingerprint's bits as a long); with ``hashed`` also h, the text's hash, between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            *keys, texts = b.columns
+            fp = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in texts), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    keys = [F.col("doc_id").cast("long").alias("doc_id"), *([F.xxhash64(text).alias("h")] if hashed else [])]
+    names = ["doc_id", *(["h"] if hashed else [])]
+    return docs.select(*keys, text.alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def trie_pairs(values: np.ndarray, groups: list[tuple[int, int, int, int]], budget: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,28 +236,41 @@ def star_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def components(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: int = 42, node_rows: int = NODE_ROWS) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
-    prints = store(fingerprints(docs, shingle, seed), "simhash")
+def _classes(prints: DataFrame, budget: int, node_rows: int) -> DataFrame:
+    """fp, root (one of its component's fingerprints), component_id of every distinct fingerprint."""
     classes = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     roots = star_components(links(classes.select("fp"), budget, node_rows))
     in_one = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = in_one.groupBy("root").agg(F.min("first").alias("component_id"))
     # Only classes whose component is not their own need a second look-up.
-    moved = store(in_one.join(least, "root").select(F.col("fp"), F.coalesce("component_id", "first").alias("component_id")), "simhash-components")
-    out = prints.join(moved, "fp")
+    return store(in_one.join(least, "root").select("fp", "root", F.coalesce("component_id", "first").alias("component_id")), "simhash-components")
+
+
+def components(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: int = 42, node_rows: int = NODE_ROWS) -> DataFrame:
+    """doc_id, fp, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
+    prints = store(fingerprints(docs, shingle, seed), "simhash")
+    out = prints.join(_classes(prints, budget, node_rows).drop("root"), "fp")
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, **options: int) -> DataFrame:
-    """One row of each component, with the columns of ``docs``: the smallest doc_id, and of its rows the least text."""
-    found = components(docs, **options).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first"), F.count(F.lit(1)).alias("n"))
-    found = store(found.where("n > 1 or not first").select(F.col("doc_id").alias("_sim_id"), "first"), "simhash-fates")
-    row = docs.select(F.col("doc_id").cast("long").alias("_sim_doc"), F.struct(*docs.columns).alias("_sim_row"), F.col("text").cast("string").alias("_sim_text"))
-    same = F.col("_sim_doc").eqNullSafe(F.col("_sim_id"))
-    once = row.join(found, same, "left_anti")
-    # Rows that repeat the id of a first document: the least text stays.
-    many = row.join(found.where("first"), same, "left_semi")
-    w = Window.partitionBy("_sim_doc").orderBy(F.col("_sim_text").asc_nulls_first())
-    many = many.withColumn("_sim_no", F.row_number().over(w)).where("_sim_no = 1").drop("_sim_no")
+def deduplicate(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: int = 42, node_rows: int = NODE_ROWS) -> DataFrame:
+    """One row of each component, with the columns of ``docs``: the smallest doc_id, and of its rows there the least text.
+
+    Rows are told apart by (doc_id, text hash), as an id, null too, may have texts in several components.
+    """
+    prints = store(fingerprints(docs, shingle, seed, hashed=True), "simhash")
+    rows = prints.join(_classes(prints, budget, node_rows).drop("component_id"), "fp").select("doc_id", "h", "root")
+    ids = rows.groupBy("root", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    # Of components with several rows: the smallest id (null if all are) and its number of rows.
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+    shared = ids.groupBy("root").agg(F.min("doc_id").alias("first"), F.min_by("n", first).alias("n_first"), F.sum("n").alias("n")).where("n > 1")
+    fates = rows.join(shared, "root").withColumn("first", F.col("doc_id").eqNullSafe(F.col("first"))).where("not first or n_first > 1")
+    fates = store(fates.select(F.col("doc_id").alias("_sim_id"), F.col("h").alias("_sim_h"), F.col("root").alias("_sim_root"), "first").distinct(), "simhash-fates")
+    text = F.col("text").cast("string")
+    row = docs.select(F.col("doc_id").cast("long").alias("_sim_doc"), F.xxhash64(text).alias("_sim_hash"), F.struct(*docs.columns).alias("_sim_row"), text.alias("_sim_text"))
+    same = F.col("_sim_doc").eqNullSafe(F.col("_sim_id")) & (F.col("_sim_hash") == F.col("_sim_h"))
+    once = row.join(fates, same, "left_anti").select("_sim_row")
+    # Several rows of a first document: the least text stays, by an aggregate that tasks combine before the shuffle.
+    many = row.join(fates.where("first"), same)
+    many = many.groupBy("_sim_root").agg(F.min_by("_sim_row", F.struct("_sim_text", F.xxhash64(F.to_json("_sim_row")))).alias("_sim_row")).select("_sim_row")
     return once.unionByName(many).select("_sim_row.*")

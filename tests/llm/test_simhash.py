@@ -84,6 +84,19 @@ def test_components_and_one_kept(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(c) for _, c in got})
 
 
+def test_each_component_keeps_a_row_whatever_its_ids(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(200)) for w in ("apple", "birch", "cedar", "daisy"))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (3, c + " end"), (None, c), (8, d), (7, d), (9, None), (9, "")]
+    near = plain_components([(i, plain(t)) for i, (_, t) in enumerate(rows)])
+    docs = frame(spark, rows)
+    got = sorted(((r.doc_id, r.text) for r in simhash.deduplicate(docs).collect()), key=str)
+    want = []
+    for root in set(near.values()):
+        own = [rows[i] for i in near if near[i] == root]
+        want.append(min(own, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")))
+    assert got == sorted(want, key=str) == sorted([(None, a), (None, b), (3, c + " end"), (7, d), (9, None)], key=str)
+
+
 def test_empty_table(spark):
     assert simhash.components(frame(spark, [])).collect() == []
     assert simhash.deduplicate(frame(spark, [])).collect() == []
