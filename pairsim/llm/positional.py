@@ -101,9 +101,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("h", F.xxhash64("text"))
 
 
-def search(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
-    keyed = _keyed(docs)
+def _hits(keyed: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """doc, h, n_hit, ids of the texts that hold a window, stored."""
     terms = benchmark_terms(items)
     index = build_index(keyed, terms)
     found = store(alignments(terms, index, rare_pairs(terms, index, window)), "alignments")
@@ -116,7 +115,13 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     hits = spans.select("doc", "h", covered.alias("c")).groupBy("doc", "h").agg(F.sum("c").alias("n_hit"))
     names = runs.join(terms.select("item", "item_id").distinct(), "item").select("doc", "h", "item_id").distinct()
     names = names.groupBy("doc", "h").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
-    hits = store(hits.join(names, ["doc", "h"], "left"), "hits")
+    return store(hits.join(names, ["doc", "h"], "left"), "hits")
+
+
+def search(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
+    keyed = _keyed(docs)
+    hits = _hits(keyed, items, window)
     counted = keyed.select("doc_id", "doc", "h", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return counted.join(hits, ["doc", "h"], "left").select(
@@ -138,6 +143,7 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 3, window: int = WI
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that hold no window of any item, with their columns."""
-    bad = store(search(docs, items, window).where("contaminated").select(F.col("doc_id").alias("_pos_id")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_pos_id")), "left_anti")
+    """The rows of ``docs`` that hold no window of any item, with their columns; a row is known by doc_id and text hash."""
+    bad = _hits(_keyed(docs), items, window).where("n_hit > 0").select(F.col("doc").alias("_pos_doc"), F.col("h").alias("_pos_h"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return docs.join(bad, (doc == F.col("_pos_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_pos_h")), "left_anti")

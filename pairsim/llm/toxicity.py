@@ -362,6 +362,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores under ``threshold``, with their columns."""
-    toxic = score(docs, model).where(F.col("score") >= threshold).select(F.col("doc_id").alias("_tox_id")).distinct()
-    return docs.join(store(toxic, "toxic-ids"), F.col("doc_id").cast("long").eqNullSafe(F.col("_tox_id")), "left_anti")
+    """The rows of ``docs`` whose text scores under ``threshold``, with their columns; a row is known by doc_id and text hash."""
+    matcher, regression = model.matcher, model.regression
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in text_slices(batches):
+            x = np.array([features(matcher.matches(t) if t else [], len(t or "")) for t in texts.to_pylist()])
+            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(regression.score(x) >= threshold))], names=["key"])
+
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("_tox_id"), F.xxhash64(text).alias("_tox_h")).alias("key"), text.alias("text"))
+    toxic = store(keyed.mapInArrow(run, "key struct<_tox_id:long,_tox_h:long>").select("key.*").distinct(), "toxic-rows")
+    return docs.join(toxic, F.col("doc_id").cast("long").eqNullSafe(F.col("_tox_id")) & (F.xxhash64(text) == F.col("_tox_h")), "left_anti")

@@ -55,6 +55,13 @@ def test_against_all_positions(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d not in bad)
 
 
+def test_decontaminate_removes_rows_not_ids(spark):
+    item = "a1 b2 c3 d4 e5 f6 g7 h8 i9 j10"
+    docs = [(None, "clean text"), (None, f"x {item}"), (None, None), (7, "clean too"), (7, item), (7, item), (8, "")]
+    kept = positional.decontaminate(frame(spark, docs), bench(spark, [(1, item)])).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([docs[i] for i in (0, 2, 3, 6)], key=str)
+
+
 def test_proximity_allows_slop(spark):
     items = [(1, "alpha b c d e f g h i omega")]
     docs = [(1, "q alpha x y c d e f g omega"), (2, "omega " + "z " * 30 + "alpha"), (3, items[0][1])]

@@ -83,6 +83,14 @@ def test_learns_catches_misspellings_and_keeps_clean(spark):
     assert sum(1 for r in kept.select("doc_id").collect() if r.doc_id == 2001) == 2
 
 
+def test_clean_removes_rows_not_ids(spark):
+    rows, labels = corpus()
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 5 != 0)
+    more = [(None, "thanba reonco"), (None, "moron worthless"), (None, None), (None, "sterdu"), (7, "thanba"), (7, "scumbag moron"), (7, "scumbag moron"), (7, "thanba")]
+    kept = toxicity.clean(frame(spark, more), model).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([more[i] for i in (0, 2, 3, 4, 7)], key=str)
+
+
 def test_context_tells_report_from_abuse(spark):
     rng = random.Random(9)
     filler = [f"filler{i}" for i in range(400)]
