@@ -2,10 +2,9 @@
 
 The lexicon is learned from labelled documents: words, and word beginnings that stand for many forms, whose documents are
 toxic beyond chance (near copies count once) or explain toxic documents that no other term does. Terms form a trie; the
-automaton of all words within a term's edit budget (0 under five letters, 1 under nine, else 2) is intersected with it and
-made deterministic state by state as words demand. Words mixed with digits or signs are also read with look-alikes replaced.
-A near form that clean labelled documents use is no misspelling, and a term with several such near
-forms is only matched exactly.
+automaton of all words within a term's edit budget (0 under five letters, 1 under nine, else 2; of a beginning, edits count in
+the part of the word that it stands for) is intersected with it and made deterministic state by state as words demand. Words mixed with digits or signs are also read with look-alikes replaced.
+A near form that clean labelled documents use is no misspelling. Learned words stay beside beginnings that cover them.
 
 Each match has a context-window score: the words around it against those around matches in toxic and in clean labelled documents,
 and whether it is quoted. A logistic regression over a document's matches gives the score.
@@ -40,7 +39,7 @@ ODD = re.compile(r"[\d@$*!]")
 QUOTES = "\"“”«»„‘’'`"
 SAMPLE_DOCS = 20_000
 STEMS = (4, 5, 6)
-MIN_DOCS, MIN_ODDS, MAX_TERMS, MAX_NEAR = 3, 3.0, 2_000, 2
+MIN_DOCS, MIN_ODDS = 3, 3.0
 WINDOW = 6
 #: Memorised words and automaton states of one worker; forgotten together when full.
 MEMORY = 100_000
@@ -48,7 +47,8 @@ MATCH = "array<struct<start:int,end:int,term:string,edits:int,quoted:boolean,con
 
 
 def edit_budget(term: str, stem: bool, exact: frozenset[str]) -> int:
-    return 0 if stem or len(term) < 5 or term in exact else 1 if len(term) < 9 else 2
+    """Edits of a word, or of the part of a word that a stem stands for."""
+    return 0 if len(term) < 5 or term in exact else 1 if len(term) < 9 else 2
 
 
 class Automaton:
@@ -247,14 +247,14 @@ def choose(docs: dict[int, tuple[int, set[tuple[str, bool]]]], clean: dict[tuple
         named = set().union(*[users[w] for w in chosen if w[0].startswith(t[0])]) if chosen else set()
         if not any(t[0].startswith(x[0]) for x in stems) and sure(t, users[t] - named):
             stems.append(t)
-    chosen = [w for w in chosen if not any(w[0].startswith(x[0]) for x in stems)] + stems
+    chosen += stems  # words stay beside their stems: theirs are the larger edit budgets
     covered = set().union(*[users[t] for t in chosen]) if chosen else set()
     rest = {t: u - covered for t, u in users.items() if t not in chosen}
     while rest := {t: u for t, u in rest.items() if len(u) >= MIN_DOCS and size(u) >= MIN_DOCS and odds(t, size(u)) >= MIN_ODDS}:
         best = max(rest, key=lambda t: (size(rest[t]), not t[1], len(t[0]), t[0]))
         chosen.append(best)
         rest = {t: u - rest[best] for t, u in rest.items() if t != best}
-    return sorted(chosen, key=lambda t: (-size(users[t]), t))[:MAX_TERMS]
+    return sorted(chosen, key=lambda t: (-size(users[t]), t))
 
 
 class Model:
@@ -303,14 +303,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_docs: int = SA
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [(w, m[0]) for w in b.column(0).to_pylist() if (m := matcher.look_up(w)) and m[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([t for _, t in kept], pa.string())], names=["word", "term"])
+            kept = [w for w in b.column(0).to_pylist() if (m := matcher.look_up(w)) and m[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["word"])
 
-    # Near forms in clean documents: those are no misspellings, and a term with several of them takes none at all.
-    clean = words.where("toxic = 0").select(F.explode("words").alias("word")).distinct().mapInArrow(near, "word string, term string").collect()
-    crowd = Counter(r.term for r in clean)
-    exact = frozenset(t for t, n_near in crowd.items() if n_near > MAX_NEAR)
-    matcher = Matcher(terms, exact, frozenset(r.word for r in clean))
+    # Near forms in clean documents are no misspellings.
+    near_forms = words.where("toxic = 0").select(F.explode("words").alias("word")).distinct().mapInArrow(near, "word string").collect()
+    clean_forms = frozenset(r.word for r in near_forms)
+    matcher = Matcher(terms, clean=clean_forms)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,9 +328,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_docs: int = SA
     context = {}
     if total.a and total.b:  # without matches in clean documents, windows tell nothing
         r1, r0 = total.a / (total.a + total.b), total.b / (total.a + total.b)  # rare words lean to the share of all windows
-        rows = windows.where("n1 + n0 >= 5").orderBy(F.col("n1") + F.col("n0"), "word", ascending=[False, True]).limit(MAX_TERMS).collect()
+        rows = windows.where("n1 + n0 >= 5").collect()  # bounded by the sample
         context = {r.word: math.log((r.n1 + 20 * r1) / (r.n0 + 20 * r0)) - math.log(r1 / r0) for r in rows}
-    matcher = Matcher(terms, exact, matcher.clean, context)
+    matcher = Matcher(terms, clean=clean_forms, context=context)
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

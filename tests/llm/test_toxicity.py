@@ -38,6 +38,43 @@ def test_automaton_against_edit_distances():
         assert auto.match(w) == (min(want)[::-1] if want else None), w
 
 
+def test_stems_take_edits_on_the_prefix():
+    rng = random.Random(3)
+    terms = [("vequl", True), ("vequlor", False), ("brunta", True), ("scum", True)]
+    auto = toxicity.Automaton(terms)
+    words = ["veqlora", "vxqulomi", "bruntoria", "scim", "scumbag", "vequlro"]
+    for _ in range(2000):
+        w = list(rng.choice(terms)[0] + rng.choice(["", "or", "ation"]))
+        for _ in range(rng.randrange(3)):
+            k, kind = rng.randrange(len(w) + 1), rng.randrange(3)
+            w[k:k + (kind > 0)] = [rng.choice("vequlobrntas")] if kind < 2 else []
+        words.append("".join(w))
+    for w in words:
+        d = {t: min(distance(w[:k], t) for k in range(len(w) + 1)) if stem else distance(w, t) for t, stem in terms}
+        want = [(d[t], t) for t, _ in terms if d[t] <= (0 if t == "scum" else 1)]
+        assert auto.match(w) == (min(want)[::-1] if want else None), w
+
+
+def test_finds_misspelled_words_under_a_learned_stem(spark):
+    rng = random.Random(4)
+    plain = [f"{a}{b}" for a in "than reon ster ling edor".split() for b in "ba co du fe gi ho ju ka".split()]
+    endings = [a + b + c for a in "aeiou" for b in "dmrst" for c in "aeiou"]
+    rows, labels = [], []
+    for i in range(400):
+        w = [rng.choice(plain) for _ in range(30)]
+        if i % 4 == 0:
+            w[rng.randrange(30)] = "vequlk" + endings[i // 4]
+        if i % 4 == 1:
+            w[rng.randrange(30)] = "vequlm vequl vepulk veqalkor".split()[i // 4 % 4]  # near forms of clean documents
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    more = [(1000, "thanba veqlkado sterdu"), (1001, "thanba vaqulkovi reonco"), (1002, "thanba veqalkor sterdu"), (1003, "thanba vequlm"), (1004, "thanba sterdu")]
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") >= 0)
+    assert any(stem for _, stem in model.matcher.terms)
+    got = {r.doc_id: bool(r.matches) for r in toxicity.score(frame(spark, more), model).collect()}
+    assert got == {1000: True, 1001: True, 1002: False, 1003: False, 1004: False}
+
+
 def test_matches_look_alikes_and_quotes():
     m = toxicity.Matcher([("moron", False), ("vequ", True)], clean=frozenset({"moren"}))
     got = m.matches('You M0R0N, he said "what a moron" and moren vequla mornon İ moron')
