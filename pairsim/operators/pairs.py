@@ -148,10 +148,12 @@ def _tile_rows(entities: DataFrame, group: str, ident: str, cols: list[str], til
     return left.unionByName(right)
 
 
-def _tile_scores(a, b, measure: str):
-    """Scores of all pairs of two float64 row blocks: dot, cosine (NaN on a zero norm) or L1."""
+def _tile_scores(a, b, measure):
+    """Scores of all pairs of two float64 row blocks: dot, cosine (NaN on a zero norm), L1 or a function of both."""
     import numpy as np
 
+    if callable(measure):
+        return measure(a, b)
     if measure == "l1":
         out = np.empty((len(a), len(b)))
         for s in range(0, len(a), 64):
@@ -168,9 +170,11 @@ def _tile_scores(a, b, measure: str):
 
 
 def vector_partners(entities: DataFrame, k: int, group: str = "group_id", ident: str = "entity_id", vec: str = "encoding",
-                    measure: str = "cosine", decimals: int = 6, tile_rows: int = 1024) -> DataFrame:
+                    measure="cosine", decimals: int = 6, tile_rows: int = 1024) -> DataFrame:
     """O79 / O85 over vectors without a pair table: each tile returns the k best partners of its rows and columns.
 
+    ``measure``: as in ``_tile_scores``, or a function of two row blocks.
+
     (group, entity, partner, score): at most 2 x tile_rows x k rows leave a
     tile; the k best over all tiles are picked by ``topk_of``. Scores are
     rounded before ranking; ties go to the lower partner; NaN scores take no
