@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsim.llm import bitpack, cotrain, hostgraph, langid, maxscore, mixing, pii, positional, simhash, toxicity
+from pairsim.llm import bitpack, cotrain, hostgraph, langid, maxscore, merkle, mixing, oph, pii, positional, resample, simhash, toxicity
 from pairsim.llm.shared import crc_mod, table
 
 QUERIES: dict = {}
@@ -169,3 +169,85 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     n = [count(k) for k in pii.KINDS]
     return found.select("doc_id", *n, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+#: CRC32 of a text column's UTF-8 bytes in DuckDB: ``tab`` is the byte table of the reflected polynomial, made by its rule.
+_CRC_TABLE_SQL = """select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as tab"""
+_CRC_SQL = "xor(list_reduce(list_transform(range(octet_length(encode({0}))), lambda i: cast('0x' || substr(hex({0}), cast(2 * i + 1 as bigint), 2) as bigint)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295::bigint), 4294967295::bigint)"
+_RESAMPLE_SQL = f"""
+with crc as ({_CRC_TABLE_SQL}),
+d as (select doc_id, row_number() over () as k, {_WORDS_SQL.format('text')} as w from documents),
+b as (select {_WORDS_SQL.format('text')} as w from benchmark),
+df as (select k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from d),
+bf as (select unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from b),
+code as (select f, cast({_CRC_SQL.format('f')} % 10000 as bigint) as bucket from (select f from df union select f from bf), crc),
+dn as (select k, bucket, count(*) as n from df join code using (f) group by all),
+s as (select bucket, sum(n) as n from dn group by bucket), t as (select bucket, count(*) as n from bf join code using (f) group by bucket),
+g as (select s.bucket, cast(floor(1000 * ln(cast((coalesce(t.n, 0) + 1) * ((select coalesce(sum(n), 0) from s) + 10000) as double) / cast((s.n + 1) * ((select coalesce(sum(n), 0) from t) + 10000) as double))) as bigint) as gain
+  from s left join t using (bucket)),
+m as (select k, cast(sum(dn.n) as bigint) as n_features, cast(sum(dn.n * gain) as bigint) as total from dn join g using (bucket) group by k),
+r as (select doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features,
+    case when n_features is null then 0 else (total - ((total % n_features) + n_features) % n_features) // n_features end as weight,
+    cast('0x' || substr(sha256('7:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) as h from d left join m using (k)),
+z as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296.0::double))) as bigint) as score from r),
+o as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id, n_features) as no from z)
+select doc_id, cast(n_features as bigint) as n_features, cast(weight as bigint) as weight, cast(score as bigint) as score,
+  case when n_words >= 20 and no <= (select count(*) from z where n_words >= 20) * 25 // 100 then cast(no as bigint) end as rank from o
+"""
+
+
+@query("op11_importance_resampling", _RESAMPLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, seed=7)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_FIELDS_SQL = " || ".join(f"coalesce(octet_length(encode(cast({f} as varchar))) || ':' || cast({f} as varchar), '-')" for f in ("doc_id", "source", "lang", "n_chars", "{0}"))
+_MERKLE_SQL = f"""
+with recursive crc as ({_CRC_TABLE_SQL}),
+d as (select row_number() over () as k, doc_id, source, sha256({_FIELDS_SQL.format('text')}) as leaf,
+    sha256({_FIELDS_SQL.format("(case when " + _CRC_SQL.format("coalesce(cast(doc_id as varchar), '')") + " % 2 = 0 then replace(text, chr(10), '') else text end)")}) as seen
+  from documents, crc),
+s as (select k, dense_rank() over (order by source nulls first) as g, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as slot, count(*) over (partition by source) as n, doc_id, leaf, seen from d),
+nodes as (
+  select g, cast(0 as bigint) as lvl, cast(slot as bigint) as i, leaf as h, cast(n as bigint) as n from s
+  union all
+  select g, lvl + 1, i // 3, sha256(string_agg(h, '' order by i)), (n + 2) // 3 from nodes where n > 1 group by g, lvl, i // 3, n),
+subroots as (select g, h from nodes where n = 1),
+tops as (
+  select cast(0 as bigint) as lvl, cast(g - 1 as bigint) as i, h, cast((select count(*) from subroots) as bigint) as n from subroots
+  union all
+  select lvl + 1, i // 3, sha256(string_agg(h, '' order by i)), (n + 2) // 3 from tops where n > 1 group by lvl, i // 3, n),
+sib as (
+  select k, a.lvl, string_agg(case when b.i < a.i then b.h end, '' order by b.i) as l, string_agg(case when b.i > a.i then b.h end, '' order by b.i) as r
+  from (select k, g, t.lvl, slot // cast(pow(3, t.lvl) as bigint) as i from s join (select distinct g as tg, lvl from nodes where n > 1) t on s.g = t.tg) a
+  join nodes b on a.g = b.g and a.lvl = b.lvl and a.i // 3 = b.i // 3 group by k, a.lvl
+  union all
+  select k, 1000 + a.lvl, string_agg(case when b.i < a.i then b.h end, '' order by b.i), string_agg(case when b.i > a.i then b.h end, '' order by b.i)
+  from (select k, t.lvl, (g - 1) // cast(pow(3, t.lvl) as bigint) as i from s, (select distinct lvl from tops where n > 1) t) a
+  join tops b on a.lvl = b.lvl and a.i // 3 = b.i // 3 group by k, a.lvl),
+step as (select k, coalesce(l, '') as l, coalesce(r, '') as r, row_number() over (partition by k order by lvl) as no from sib),
+proof as (select k, string_agg(l || r, '' order by no) as p from step group by k),
+fold as (
+  select k, cast(0 as bigint) as no, seen as h from s
+  union all
+  select fold.k, step.no, sha256(l || h || r) from fold join step on fold.k = step.k and step.no = fold.no + 1),
+folded as (select k, arg_max(h, no) as h from fold group by k)
+select doc_id, leaf, subroots.h as subroot, (select h from tops where n = 1) as root, sha256(coalesce(p, '')) as proof_sha256, folded.h as folded_root, folded.h = (select h from tops where n = 1) as verified
+from s join subroots using (g) left join proof using (k) join folded using (k)
+"""
+
+
+@query("op12_merkle_manifest", _MERKLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Where 2 divides the crc32 of the id, the text under test has lost its line feeds.
+    text = F.col("text").cast("string")
+    changed = F.when(crc_mod("doc_id", 2) == 0, F.translate(text, "\n", "")).otherwise(text)
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op13_document_fingerprints")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = oph.edited_pairs(table(spark, sf_dir, "documents"), shingle=5, bins=512, bits=4, seed=42)
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return found.select("doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")

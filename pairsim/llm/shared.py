@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairsim.session import ensure_checkpoint_dir
@@ -57,3 +57,18 @@ def text_slices(batches: Iterator[pa.RecordBatch], size: int = 1_000_000) -> Ite
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
             yield b.column(0).slice(at, end - at), b.column(b.num_columns - 1).slice(at, end - at)
             at = end
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, what: str) -> DataFrame:
+    """Adds ``name``: 1, 2, 3... in the given order, without a window over all rows; the result is stored.
+
+    Rows are dealt by ranges of the order and sorted inside them; a range's first number comes from the rows of those
+    before it (one row per range). End ``order`` with a column that differs in every row, or one key's rows share a range.
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_num_at", F.monotonically_increasing_id())
+    ranges = store(ranges.withColumn("_num_part", F.shiftright("_num_at", 33)).withColumn("_num_at", F.col("_num_at").bitwiseAND((1 << 33) - 1)), what)
+    sizes = ranges.groupBy(F.col("_num_part").alias("_num_p")).agg((F.max("_num_at") + 1).alias("n"))
+    before = F.sum("n").over(Window.orderBy("_num_p").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = store(sizes.select("_num_p", F.coalesce(before, F.lit(0)).alias("_num_first")), what + "-ranges")
+    out = ranges.join(firsts, F.col("_num_part") == F.col("_num_p"))
+    return out.withColumn(name, F.col("_num_first") + F.col("_num_at") + 1).drop("_num_part", "_num_p", "_num_first", "_num_at")
