@@ -174,12 +174,12 @@ def reduce_block(nodes: list[bytes], levels: int) -> list[list[bytes]]:
     return out
 
 
-def path_of(levels: list[list[bytes]], at: int) -> list[tuple[bytes, bytes]]:
+def path_of(nodes: list[list[bytes]], at: int) -> list[tuple[bytes, bytes]]:
     """Per level the digests left and right of the node over slot ``at`` in its run."""
     out = []
-    for nodes in levels[:-1]:
+    for level in nodes[:-1]:
         first = at - at % FAN
-        out.append((b"".join(nodes[first:at]), b"".join(nodes[at + 1:first + FAN])))
+        out.append((b"".join(level[first:at]), b"".join(level[at + 1:first + FAN])))
         at //= FAN
     return out
 
@@ -194,37 +194,37 @@ PATH = "array<struct<l:binary,r:binary>>"
 _PATH = pa.list_(pa.struct([("l", pa.binary()), ("r", pa.binary())]))
 
 
-def _levels_here(n: int, stage: int) -> int:
-    return min(LEVELS, height(n) - LEVELS * stage)
+def _levels_here(n: int, stage: int, levels: int) -> int:
+    return min(levels, height(n) - levels * stage)
 
 
-def blocks_of(slots: DataFrame, extra: list[str], what: str) -> DataFrame:
+def blocks_of(slots: DataFrame, extra: list[str], levels: int, what: str) -> DataFrame:
     """Slots (key, n, slot, leaf, ``extra``) as blocks: key, n, block, slots (sorted by slot), stored."""
-    at = slots.withColumn("block", F.floor(F.col("slot") / FAN**LEVELS).cast("long"))
+    at = slots.withColumn("block", F.floor(F.col("slot") / FAN**levels).cast("long"))
     packed = at.groupBy("key", "n", "block").agg(F.sort_array(F.collect_list(F.struct("slot", "leaf", *extra))).alias("slots"))
     return store(packed, what)
 
 
-def block_roots(blocks: DataFrame, stage: int) -> DataFrame:
+def block_roots(blocks: DataFrame, stage: int, levels: int) -> DataFrame:
     """key, n, slot (the block's), leaf (its root): the slots of the stage above."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            roots = [reduce_block([x.encode() for x in leaves.as_py()], _levels_here(n.as_py(), stage))[-1][0].decode() for n, leaves in zip(b.column(1), b.column(3))]
+            roots = [reduce_block([x.encode() for x in leaves.as_py()], _levels_here(n.as_py(), stage, levels))[-1][0].decode() for n, leaves in zip(b.column(1), b.column(3))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(roots, pa.string())], names=["key", "n", "slot", "leaf"])
 
     return blocks.select("key", "n", F.col("block").alias("slot"), F.col("slots.leaf").alias("leaves")).mapInArrow(run, "key string, n long, slot long, leaf string")
 
 
-def build(slots: DataFrame, n_most: int, extra: list[str], what: str) -> tuple[list[DataFrame], DataFrame]:
+def build(slots: DataFrame, n_most: int, extra: list[str], levels: int, what: str) -> tuple[list[DataFrame], DataFrame]:
     """The stages' blocks from the leaves up, and every key's root (key, root). ``slots``: key, n, slot, leaf, extra."""
     stages, roots = [], []
-    for stage in range(max(1, math.ceil(height(n_most) / LEVELS))):
-        blocks = blocks_of(slots, extra if stage == 0 else [], f"{what}-blocks")
+    for stage in range(max(1, math.ceil(height(n_most) / levels))):
+        blocks = blocks_of(slots, extra if stage == 0 else [], levels, f"{what}-blocks")
         stages.append(blocks)
-        up = store(block_roots(blocks, stage), f"{what}-roots")
+        up = store(block_roots(blocks, stage, levels), f"{what}-roots")
         # A tree ends where all its slots are one block.
-        alone = F.col("n") <= FAN ** (LEVELS * (stage + 1))
+        alone = F.col("n") <= FAN ** (levels * (stage + 1))
         roots.append(up.where(alone).select("key", F.col("leaf").alias("root")))
         slots = up.where(~alone)
     out = roots[0]
@@ -233,24 +233,24 @@ def build(slots: DataFrame, n_most: int, extra: list[str], what: str) -> tuple[l
     return stages, out
 
 
-def _ups(leaves: list[str], n: int, stage: int, up: list[dict]) -> list[list[dict]]:
+def _ups(leaves: list[str], depth: int, up: list[dict]) -> list[list[dict]]:
     """Per slot of a block its path to the root of all: the block's levels, then ``up``."""
-    levels = reduce_block([x.encode() for x in leaves], _levels_here(n, stage))
-    return [[{"l": a, "r": z} for a, z in path_of(levels, i)] + up for i in range(len(leaves))]
+    nodes = reduce_block([x.encode() for x in leaves], depth)
+    return [[{"l": a, "r": z} for a, z in path_of(nodes, i)] + up for i in range(len(leaves))]
 
 
-def paths(stages: list[DataFrame], top: DataFrame, what: str) -> DataFrame:
+def paths(stages: list[DataFrame], top: DataFrame, levels: int, what: str) -> DataFrame:
     """The blocks of the leaves with ``up``, the path from the block's root to the root of all; ``top``: key, up (of the key's root)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, n, stage, leaves, slots, up in zip(*(b.column(i).to_pylist() for i in range(6))):
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(leaves)), pa.array(slots, pa.int64()), pa.array(_ups(leaves, n, stage, up), _PATH)], names=["key", "block", "up"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(leaves)), pa.array(slots, pa.int64()), pa.array(_ups(leaves, _levels_here(n, stage, levels), up), _PATH)], names=["key", "block", "up"])
 
     above = None
     for stage in range(len(stages) - 1, -1, -1):
         # Trees that end at this stage start from the top, others from the block above.
-        ends = F.col("n") <= FAN ** (LEVELS * (stage + 1))
+        ends = F.col("n") <= FAN ** (levels * (stage + 1))
         own = stages[stage].where(ends).join(top, "key")
         if above is not None:
             own = own.unionByName(stages[stage].where(~ends).join(above, ["key", "block"]))
@@ -260,46 +260,46 @@ def paths(stages: list[DataFrame], top: DataFrame, what: str) -> DataFrame:
     return own
 
 
-def group_paths(subroots: DataFrame, n_groups: int) -> DataFrame:
+def group_paths(subroots: DataFrame, n_groups: int, levels: int) -> DataFrame:
     """key, subroot, root, up (from the subroot to the root) of every group; ``subroots``: key, root."""
     slots = numbered(subroots, [F.col("key").asc()], "slot", "merkle-order")
     slots = slots.select(F.lit("").alias("key"), F.lit(n_groups).cast("long").alias("n"), (F.col("slot") - 1).alias("slot"), F.col("root").alias("leaf"), F.col("key").alias("group"))
-    stages, root = build(slots, n_groups, ["group"], "merkle-top")
-    blocks = paths(stages, root.select("key", F.array().cast(PATH).alias("up")), "merkle-top").join(root, "key")
+    stages, root = build(slots, n_groups, ["group"], levels, "merkle-top")
+    blocks = paths(stages, root.select("key", F.array().cast(PATH).alias("up")), levels, "merkle-top").join(root, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for n, slots, up, root in zip(*(b.column(i).to_pylist() for i in range(4))):
                 leaves = [s["leaf"] for s in slots]
-                yield pa.RecordBatch.from_arrays([pa.array([s["group"] for s in slots]), pa.array(leaves), pa.array([root] * len(slots)), pa.array(_ups(leaves, n, 0, up), _PATH)], names=["key", "subroot", "root", "up"])
+                yield pa.RecordBatch.from_arrays([pa.array([s["group"] for s in slots]), pa.array(leaves), pa.array([root] * len(slots)), pa.array(_ups(leaves, _levels_here(n, 0, levels), up), _PATH)], names=["key", "subroot", "root", "up"])
 
     return store(blocks.select("n", "slots", "up", "root").mapInArrow(run, f"key string, subroot string, root string, up {PATH}"), "merkle-tops")
 
 
-def manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, changed: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """doc_id, source, slot, leaf, subroot, root, proof_sha256, folded_root, verified for every row of ``docs`` (``FIELDS``).
 
-    ``changed`` is the text that is verified against the manifest (as it is stored, if not given).
+    ``changed`` is the text that is verified against the manifest (as it is stored, if not given); ``levels`` those of a block.
     """
     cols = {f: F.col(f) for f in FIELDS}
     seen = leaf(cols if changed is None else {**cols, "text": changed})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), group_key(F.col("source")).alias("key"), leaf(cols).alias("leaf"), seen.alias("seen"))
     slots = coordinates(store(rows, "merkle-leaves"))
     most = slots.agg(F.max("n").alias("n")).first().n
-    stages, subroots = build(slots, most or 0, ["doc_id", "seen"], "merkle")
+    stages, subroots = build(slots, most or 0, ["doc_id", "seen"], levels, "merkle")
     subroots = store(subroots, "merkle-subroots")
-    tops = group_paths(subroots, subroots.count())
-    blocks = paths(stages, tops.select("key", "up"), "merkle").join(tops.drop("up"), "key")
+    tops = group_paths(subroots, subroots.count(), levels)
+    blocks = paths(stages, tops.select("key", "up"), levels, "merkle").join(tops.drop("up"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, n, slots, up, subroot, root in zip(*(b.column(i).to_pylist() for i in range(6))):
                 leaves = [s["leaf"].encode() for s in slots]
-                levels = reduce_block(leaves, _levels_here(n, 0))
+                nodes = reduce_block(leaves, _levels_here(n, 0, levels))
                 above = [(p["l"], p["r"]) for p in up]
                 proofs, folded = [], []
                 for i, s in enumerate(slots):
-                    path = path_of(levels, i) + above
+                    path = path_of(nodes, i) + above
                     proofs.append(sha256(b"".join(a + z for a, z in path)).hexdigest())
                     folded.append(fold(s["seen"].encode(), path).decode())
                 m = len(slots)
