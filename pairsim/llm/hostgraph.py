@@ -8,7 +8,7 @@ over its trust.
 
 Everything is DataFrame expressions. Links are summed per host pair first, so a hub's links are rows of its
 distinct neighbours; each step joins them with the ranks by host (split by AQE where skewed) and sums per target
-with map-side partial sums. Lineage is cut by a stored table per step.
+with map-side partial sums. Lineage is cut by a stored table per step; steps go on until the ranks settle within a tolerance.
 
 Defined cases: null urls and urls without ``://`` have empty host and path, no rule, and the default verdict of a host
 without links (allow); null html has no links; repeated rows and ids get a row each; rules that tie in length are
@@ -17,12 +17,16 @@ ordered by text; an empty table gives an empty result; extra columns are ignored
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairsim.llm.shared import store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Summed change of all ranks of a kind (which sum to 1) at which they are settled.
+TOLERANCE = 1e-4
 #: Absolute and protocol-relative targets of links.
 TARGET = r"""(?i)(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
@@ -62,21 +66,30 @@ def host_links(pages: DataFrame) -> DataFrame:
     return store(pairs, "host-links")
 
 
-def propagate(links: DataFrame, seeds: DataFrame, steps: int, damping: float) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float, tolerance: float = TOLERANCE, steps: int | None = None) -> DataFrame:
     """host, kind, rank: personalised PageRank. ``links``: kind, src, dst, w; ``seeds``: kind, host, mass (sums to 1 per kind).
 
-    Mass that reaches a host without links returns to the seeds, by the share that the step lost.
+    Mass that reaches a host without links returns to the seeds, by the share that the step lost. A step shrinks the summed change
+    of ranks by the damping at least; steps end when no kind's change exceeds ``tolerance``, or after ``steps`` if that is given.
     """
     rank = seeds.select("kind", "host", F.col("mass").alias("rank"))
-    for _ in range(steps):
+    # From a change of at most 2, so many steps reach the tolerance; more would mean that the links' weights don't sum to 1.
+    most = steps or math.ceil(math.log(tolerance / 2) / math.log(damping)) + 1
+    for _ in range(most):
         sent = links.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("w") * damping).alias("got"))
         got = sent.groupBy("kind").agg(F.sum("got").alias("kept"))
         back = seeds.join(got, "kind", "left").select("kind", "host", (F.col("mass") * (1 - F.coalesce("kept", F.lit(0.0)))).alias("got"))
-        rank = store(sent.unionByName(back).groupBy("kind", "host").agg(F.sum("got").alias("rank")), "host-rank")
+        now = store(sent.unionByName(back).groupBy("kind", "host").agg(F.sum("got").alias("rank")), "host-rank")
+        change = now.unionByName(rank.withColumn("rank", -F.col("rank"))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("d")).groupBy("kind").agg(F.sum("d").alias("d"))
+        rank = now
+        if steps is None and (change.agg(F.max("d").alias("d")).first().d or 0.0) <= tolerance:
+            return rank
+    if steps is None:
+        raise RuntimeError(f"ranks still change by more than {tolerance} after {most} steps")
     return rank
 
 
-def host_trust(pages: DataFrame, steps: int = 10, damping: float = 0.85) -> DataFrame:
+def host_trust(pages: DataFrame, damping: float = 0.85, tolerance: float = TOLERANCE, steps: int | None = None) -> DataFrame:
     """host, trust, distrust (relative to the mean host's) of every linked or judged host; pages: host, html, rule_verdict."""
     pairs = host_links(pages)
     if pairs.isEmpty():
@@ -88,18 +101,18 @@ def host_trust(pages: DataFrame, steps: int = 10, damping: float = 0.85) -> Data
     back = pairs.groupBy("dst").agg(F.sum("n").alias("all"))
     forward = pairs.join(out, "src").select(F.lit("allow").alias("kind"), "src", "dst", (F.col("n") / F.col("all")).alias("w"))
     reverse = pairs.join(back, "dst").select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("w"))
-    rank = propagate(store(forward.unionByName(reverse), "host-edges"), seeds, steps, damping)
+    rank = propagate(store(forward.unionByName(reverse), "host-edges"), seeds, damping, tolerance, steps)
     hosts = pages.select("host").union(pairs.select("dst")).where("host <> ''").distinct().count()
     score = lambda k: (F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)) * float(hosts))
     return store(rank.groupBy("host").agg(score("allow").alias("trust"), score("block").alias("distrust")), "host-trust")
 
 
-def judge(pages: DataFrame, rules: DataFrame, threshold: float = 1.0, steps: int = 10, damping: float = 0.85) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, threshold: float = 1.0, damping: float = 0.85, tolerance: float = TOLERANCE, steps: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of ``pages`` (page_id, url, html)."""
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
     judged = with_rules(rows, rules)
-    trust = host_trust(judged, steps, damping).withColumnRenamed("host", "_trust_host")
+    trust = host_trust(judged, damping, tolerance, steps).withColumnRenamed("host", "_trust_host")
     out = judged.drop("html").join(trust, F.col("host") == F.col("_trust_host"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     method = F.when((distrust >= threshold) & (distrust > trust), F.lit("block")).otherwise(F.lit("allow"))

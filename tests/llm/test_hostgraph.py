@@ -1,8 +1,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from pairsim.llm import hostgraph
-from pairsim.llm.queries import URL_RULES
+from pairsim.llm import hostgraph, queries
+
+#: The contract's rules, written out by hand.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
 def pages(spark, rows):
@@ -68,3 +70,21 @@ def test_links_decide_hosts_without_rules(spark):
 def test_empty_table(spark):
     assert hostgraph.judge(pages(spark, []), rules(spark)).collect() == []
     assert hostgraph.judge(pages(spark, [(1, "http://org/", "")]), rules(spark).limit(0)).collect()[0].verdict == "allow"
+
+
+def test_the_query_has_the_contracts_rules(spark, tmp_path):
+    urls = ["https://example.org/en/1", "http://a.example.org/en/12?q", "http://example.org/en/2", "http://x.org/en/1", "http://example.org/es/", "http://b.com/fr/1", "http://b.com/de/1", "http://b.com/it/"]
+    pages(spark, [(i, u, "") for i, u in enumerate(urls)]).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.QUERIES["op5_host_graph"](spark, str(tmp_path)).collect()}
+    assert got == {0: ("example.org/en/1", "block"), 1: ("example.org/en/1", "block"), 2: ("org/", "allow"), 3: ("org/", "allow"), 4: ("example.org/es/", "block"),
+                   5: ("com/fr/", "allow"), 6: ("com/de/", "block"), 7: (None, "allow")}
+
+
+def test_ranks_settle_on_a_long_chain(spark):
+    # Thirty links from the seed: the limit of the ranks, not those after a fixed number of steps.
+    n = 30
+    rows = [(0, "http://good.org/", "<a href='https://h0.net/'>")] + [(i + 1, f"http://h{i}.net/", f"<a href='https://h{i + 1}.net/'>") for i in range(n)]
+    got = {r.host: r.trust for r in hostgraph.judge(pages(spark, rows), rules(spark), tolerance=1e-3).collect()}
+    last = got[f"h{n - 1}.net"]
+    seed = 1 / sum(0.85**k for k in range(n + 2))  # every host keeps 0.85 of the one before; what the last one loses returns
+    assert last > 0 and abs(last - (n + 2) * seed * 0.85**n) < (n + 2) * 1e-2
