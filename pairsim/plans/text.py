@@ -275,20 +275,45 @@ def q_align_blocks(spark, d):
     return a.select("id1", "id2", "matches", "entries", F.round("score", R).alias("score"))
 
 
-def _blocks_of(text_col):
-    return F.transform(S.lines(text_col), lambda ln: S.tokens(ln))
-
-
-@query("align_blocks_consuming")
+# The sequential definition: right blocks in order, each takes the best left block that is still there.
+BLOCKS_SQL = """,
+bl AS (SELECT doc_id, (u.i - 1)::INTEGER AS block, list_filter(string_split_regex(u.ln, '\\s+'), lambda x: x <> '') AS bt
+       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+             FROM docs) u),
+bs AS (SELECT doc_id, block, len(bt) AS bsize, bt FROM bl),
+h AS (SELECT doc_id, block, token, count(*) AS f FROM (SELECT doc_id, block, unnest(bt) AS token FROM bs) GROUP BY ALL),
+sh AS (SELECT c.id1, c.id2, l.block AS lblock, r.block AS rblock, sum(least(l.f, r.f)) AS shared
+       FROM cand c JOIN h l ON l.doc_id = c.id1 JOIN h r ON r.doc_id = c.id2 AND r.token = l.token GROUP BY ALL),
+al AS (SELECT c.id1, c.id2, l.block AS lblock, l.bsize AS lsize, r.block AS rblock, r.bsize AS rsize
+       FROM cand c JOIN bs l ON l.doc_id = c.id1 JOIN bs r ON r.doc_id = c.id2),
+dd AS (SELECT al.*, lsize + rsize - 2 * coalesce(shared, 0) AS dist, shared IS NOT NULL AS ok FROM al LEFT JOIN sh USING (id1, id2, lblock, rblock)),"""
+# LCS of two lists, row by row of the table; the last entry of a row is its largest.
+LCS_SQL = """list_reduce(list_transform(range(1, len({a}) + 1), lambda i: [i]), lambda p, z: list_reduce(list_transform(range(1, len({b}) + 1), lambda j: [j]),
+  lambda q, x: list_append(q, CASE WHEN {a}[z[1]] = {b}[x[1]] THEN p[x[1]] + 1 ELSE greatest(p[x[1] + 1], q[x[1]]) END), [0::BIGINT]), list_transform(range(len({b}) + 1), lambda j: 0::BIGINT))"""
+
+
+@query("align_blocks_consuming", oracle="WITH RECURSIVE " + SIG_SQL.lstrip() + BLOCKS_SQL + f"""
+od AS (SELECT *, row_number() OVER (PARTITION BY id1, id2, rblock ORDER BY dist, abs(lsize - rsize), lsize < rsize, lblock) AS k FROM dd),
+step AS (SELECT id1, id2, -1 AS r, []::INTEGER[] AS used, []::INTEGER[] AS takers FROM cand
+  UNION ALL
+  SELECT s.id1, s.id2, s.r + 1, CASE WHEN arg_min(o.ok, o.k) THEN list_append(any_value(s.used), arg_min(o.lblock, o.k)) ELSE any_value(s.used) END,
+    CASE WHEN arg_min(o.ok, o.k) THEN list_append(any_value(s.takers), s.r + 1) ELSE any_value(s.takers) END
+  FROM step s JOIN od o ON o.id1 = s.id1 AND o.id2 = s.id2 AND o.rblock = s.r + 1 AND NOT list_contains(s.used, o.lblock) GROUP BY s.id1, s.id2, s.r),
+got AS (SELECT id1, id2, arg_max(used, r) AS used, arg_max(takers, r) AS takers FROM step GROUP BY ALL),
+m AS (SELECT id1, id2, unnest(used) AS lblock, unnest(takers) AS rblock FROM got),
+bp AS (SELECT DISTINCT l.bt AS lt, r.bt AS rt FROM m JOIN bs l ON l.doc_id = id1 AND l.block = lblock JOIN bs r ON r.doc_id = id2 AND r.block = rblock),
+lc AS (SELECT lt, rt, CASE WHEN lt = rt THEN len(lt) ELSE list_max({LCS_SQL.format(a='lt', b='rt')}) END AS l FROM bp),
+pm AS (SELECT id1, id2, sum(lc.l)::BIGINT AS matches FROM m JOIN bs l ON l.doc_id = id1 AND l.block = lblock JOIN bs r ON r.doc_id = id2 AND r.block = rblock JOIN lc ON lc.lt = l.bt AND lc.rt = r.bt GROUP BY ALL),
+z AS (SELECT doc_id, sum(bsize)::BIGINT AS n FROM bs GROUP BY ALL)
+SELECT c.group_name, c.id1, c.id2, coalesce(matches, 0)::BIGINT AS matches, (a.n + b.n - coalesce(matches, 0))::BIGINT AS entries,
+  round(CASE WHEN a.n + b.n - coalesce(matches, 0) > 0 THEN coalesce(matches, 0) / (a.n + b.n - coalesce(matches, 0))::DOUBLE END, 6) AS score
+FROM cand c JOIN z a ON a.doc_id = c.id1 JOIN z b ON b.doc_id = c.id2 LEFT JOIN pm USING (id1, id2)""")
 def q_align_blocks_consuming(spark, d):
-    from pairsim.operators.alignment import align_blocks_consuming
+    from pairsim.operators.alignment import align_blocks_consuming, block_table
     s = signed_docs(spark, d)
-    cand = G.lsh_candidates(G.band_table(s, "group_name", "entity_id"), "group_name")
-    b = docs(spark, d).select("entity_id", _blocks_of("text").alias("b"))
-    p = cand.join(b.withColumnRenamed("entity_id", "id1").withColumnRenamed("b", "b1"), "id1") \
-            .join(b.withColumnRenamed("entity_id", "id2").withColumnRenamed("b", "b2"), "id2")
-    out = align_blocks_consuming(p)
-    return out.select("group_name", "id1", "id2", "matches", "entries", F.round("score", 6).alias("score"))
+    cand = cut_lineage(G.lsh_candidates(G.band_table(s, "group_name", "entity_id"), "group_name").select("group_name", "id1", "id2"))
+    out = align_blocks_consuming(cand, cut_lineage(block_table(docs(spark, d)))).join(cand, ["id1", "id2"])
+    return out.select("group_name", "id1", "id2", "matches", "entries", F.round("score", R).alias("score"))
 
 
 ADAPT_SQL = """,

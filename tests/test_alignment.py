@@ -69,23 +69,25 @@ def test_shingles_cross_and_blocks(spark):
     assert got[1] == ([], []) and got[2] == ([], [])
 
 
-def test_consuming_blocks_hand_worked():
-    from pairsim.operators.alignment import consume_blocks
+def _consume(spark, sides, mode="nw"):
+    """(matches, entries) of each (left blocks, right blocks) by rounds over all pairs at once."""
+    from pairsim.operators.alignment import align_blocks_consuming, block_table
+    text = lambda blocks: "\n".join(" ".join(b) for b in blocks)
+    rows = [(2 * k + i, text(side)) for k, pair in enumerate(sides) for i, side in enumerate(pair)]
+    ents = spark.createDataFrame(rows, "entity_id long, text string")
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(sides))], "id1 long, id2 long")
+    got = {r["id1"] // 2: (r["matches"], r["entries"]) for r in align_blocks_consuming(pairs, block_table(ents), mode).collect()}
+    return [got[k] for k in range(len(sides))]
+
+
+def test_consuming_blocks_hand_worked(spark):
     left = [["a", "b"], ["c", "d", "e"], ["x"]]
     right = [["c", "d", "e"], ["a", "b"], ["c", "d", "e"]]
     # r0 takes l1 (3 matches), r1 takes l0 (2), r2 finds only "x" left: no match -> 3 gap entries; "x" is a gap too
-    assert consume_blocks(left, right) == (5, 3 + 2 + 3 + 1)
+    # identical sequences of blocks align fully; copies of a block are taken one by one
+    assert _consume(spark, [(left, right), (left, left), ([["a"]] * 9, [["a"]] * 7 + [["b"]])]) == [(5, 3 + 2 + 3 + 1), (6, 6), (7, 7 + 2 + 1)]
     # pa mode: equal sizes only
-    assert consume_blocks([["a", "b"]], [["a", "c", "d"]], "pa") == (0, 3 + 2)
-    # identical sequences of blocks align fully
-    assert consume_blocks(left, left) == (6, 6)
-
-
-def test_consuming_blocks_udf(spark):
-    from pairsim.operators.alignment import align_blocks_consuming
-    df = spark.createDataFrame([([["a", "b"], ["c"]], [["a", "b"], ["c"]])], "b1 array<array<string>>, b2 array<array<string>>")
-    r = align_blocks_consuming(df).collect()[0]
-    assert (r["matches"], r["entries"], r["score"]) == (3, 3, 1.0)
+    assert _consume(spark, [([["a", "b"]], [["a", "c", "d"]])], "pa") == [(0, 3 + 2)]
 
 
 def test_block_nearest_matches_bruteforce(spark):
@@ -162,15 +164,17 @@ def _consume_reference(left, right, mode="nw"):
     return matches, entries
 
 
-def test_consuming_blocks_numpy_equals_sequential_visit():
+def test_consuming_rounds_equal_sequential_visit(spark):
     import random
-    from pairsim.operators.alignment import consume_blocks
     rnd = random.Random(17)
-    for _ in range(300):
-        mk = lambda: [[rnd.choice("abcd") for _ in range(rnd.randint(0, 5))] for _ in range(rnd.randint(0, 8))]
-        left, right = mk(), mk()
-        for mode in ("nw", "pa"):
-            assert consume_blocks(left, right, mode) == _consume_reference(left, right, mode)
+    mk = lambda words, n, m: [[rnd.choice(words) for _ in range(rnd.randint(0, n))] for _ in range(rnd.randint(1, m))]
+    sides = [(mk("abcd", 5, 8), mk("abcd", 5, 8)) for _ in range(60)]
+    # Repeated blocks, few words: many rights want the same left; and blocks without a common word, in chains.
+    sides += [(mk("ab", 2, 14), mk("ab", 2, 14)) for _ in range(40)]
+    sides += [(mk("abcdefghijkl", 2, 20), mk("ghijklmnopq", 3, 20)) for _ in range(40)]
+    sides += [([["x", "y"]] * 12 + [["x"]] * 3, [["x", "y", "z"]] * 9 + [["x"]] * 9), ([[]], [["a"]]), ([["a"]], [[]])]
+    for mode in ("nw", "pa"):
+        assert _consume(spark, sides, mode) == [_consume_reference(left, right, mode) for left, right in sides]
 
 
 @settings(max_examples=300, deadline=None)
