@@ -10,7 +10,7 @@ exactly once and no tile is larger than tile_rows x tile_rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_TILE_ROWS = 2048
@@ -124,18 +124,34 @@ def listed_pairs(entities: DataFrame, listed: DataFrame, group: str = "group_id"
     return norm.select(group, "id1", "id2")
 
 
-def exact_duplicates(entities: DataFrame, content: str, group: str = "group_id", ident: str = "entity_id") -> DataFrame:
+def content_digest(content: str) -> list[Column]:
+    """Length, md5 and a 64-bit hash of a text."""
+    return [F.octet_length(content).alias("_len"), F.md5(F.col(content)).alias("_md5"), F.xxhash64(content).alias("_hash")]
+
+
+def exact_duplicates(entities: DataFrame, content: str, group: str = "group_id", ident: str = "entity_id", digest=content_digest) -> DataFrame:
     """O111: entities of equal content, as (group, entity, class, members): class is the lowest id of the content.
 
-    Only digests are shuffled (length, md5 and a 64-bit hash of the content):
-    rows of k copies, not k(k-1)/2 pairs; a hot content is counted map-side
-    and split by AQE when its class is joined back.
+    Hash, then verify: digests name classes, as rows of k copies, not k(k-1)/2 pairs (a hot digest is counted map-side and split
+    by AQE when its class is joined back). Only members of classes carry their content further, where each is compared with its
+    class's representative; the rows that differ from it are classes by their whole content.
     """
-    key = [group, "_len", "_md5", "_hash"]
-    h = entities.where(F.col(content).isNotNull()).select(
-        group, F.col(ident), F.octet_length(content).alias("_len"), F.md5(F.col(content)).alias("_md5"), F.xxhash64(content).alias("_hash"))
-    classes = h.groupBy(*key).agg(F.min(ident).alias("class_id"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    return h.join(classes, key).select(group, ident, "class_id", "members")
+    keys = digest(content)
+    h = entities.where(F.col(content).isNotNull()).select(group, F.col(ident), *keys)
+    key = [group, *h.columns[2:]]
+    classes = h.groupBy(*key).agg(F.min(ident).alias("class_id"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    found = h.join(classes, key).select(group, ident, "class_id")
+    texts = entities.select(group, ident, F.col(content).alias("_text"))
+    heads = texts.select(group, F.col(ident).alias("class_id"), F.col("_text").alias("_head"))
+    heads = heads.join(found.where(F.col(ident) == F.col("class_id")).select(group, "class_id"), [group, "class_id"], "left_semi")
+    checked = found.join(texts, [group, ident]).join(heads, [group, "class_id"])
+    same = checked.where(F.col("_text") == F.col("_head")).select(group, ident, "class_id")
+    # Rows that share a digest with another content: next to none, so their classes may be keyed by the content itself.
+    other = checked.where(F.col("_text") != F.col("_head")).select(group, ident, "_text")
+    own = other.groupBy(group, "_text").agg(F.min(ident).alias("class_id"))
+    out = same.unionByName(other.join(own, [group, "_text"]).select(group, ident, "class_id"))
+    sizes = out.groupBy(group, "class_id").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return out.join(sizes, [group, "class_id"]).select(group, ident, "class_id", "members")
 
 
 def _tile_rows(entities: DataFrame, group: str, ident: str, cols: list[str], tile_rows: int) -> DataFrame:

@@ -142,6 +142,25 @@ def lsh_candidates(bands_df: DataFrame, group: str, ident: str = "entity_id", ti
     return p.groupBy(group, "id1", "id2").agg(F.count(F.lit(1)).alias("shared_bands"))
 
 
+def signature_classes(signed: DataFrame, group: str, ident: str = "entity_id", sig: str = "signature") -> DataFrame:
+    """(group, ident, class_id) of signed entities: those of equal signatures share the lowest id among them.
+
+    Equal signatures share every band, so all bands see one representative; what they are to each other is in this table.
+    """
+    s = signed.where(F.col(sig).isNotNull()).select(group, ident, F.md5(F.array_join(sig, ",")).alias("_m"), F.xxhash64(sig).alias("_x"))
+    return s.join(s.groupBy(group, "_m", "_x").agg(F.min(ident).alias("class_id")), [group, "_m", "_x"]).select(group, ident, "class_id")
+
+
+def lsh_class_candidates(signed: DataFrame, group: str, ident: str = "entity_id", sig: str = "signature", bands: int = DEFAULT_BANDS,
+                         rows: int = DEFAULT_ROWS, tile_rows: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """O33 for copies: (candidate pairs of class representatives, classes). k equal signatures are k rows of ``classes`` and one
+    in each band; a pair of entities is a candidate if their classes are one or a pair.
+    """
+    classes = signature_classes(signed, group, ident, sig)
+    heads = signed.join(classes.where(F.col(ident) == F.col("class_id")).select(group, ident), [group, ident], "left_semi")
+    return lsh_candidates(band_table(heads, group, ident, sig, bands, rows), group, ident, tile_rows), classes
+
+
 def bucket_cap(bands_df: DataFrame, group: str, cap: int = DEFAULT_BUCKET_CAP) -> DataFrame:
     """Every bucket member with its bucket's size and whether that exceeds ``cap``.
 

@@ -212,6 +212,60 @@ def q_lsh_adaptive(spark, d):
     return G.adaptive_parameters(sizes, "group_name")
 
 
+# ---- classes and thresholded joins: copies are members of a class, only representatives meet ----
+
+JACCARD, RELATIVE = 0.5, 0.25
+CLASS_SQL = """,
+sets AS (SELECT group_name, doc_id, list_sort(list_distinct({items})) AS x FROM {source} WHERE len({items}) > 0),
+cls AS (SELECT group_name, doc_id, min(doc_id) OVER (PARTITION BY group_name, x) AS class_id, x FROM sets),
+rep AS (SELECT * FROM cls WHERE doc_id = class_id),
+jp AS (SELECT a.group_name, a.doc_id AS id1, b.doc_id AS id2, len(a.x) AS n1, len(b.x) AS n2, len(list_intersect(a.x, b.x)) AS n
+       FROM rep a JOIN rep b ON a.group_name = b.group_name AND a.doc_id < b.doc_id)"""
+SET_SQL = CLASS_SQL.format(items="sh", source="shg")
+FREQ_SQL = """,
+th AS (SELECT group_name, doc_id, token, count(*) AS n FROM (SELECT group_name, doc_id, unnest(toks) AS token FROM docs) GROUP BY ALL),
+occ AS (SELECT group_name, doc_id, list(token || chr(10) || k) AS o FROM (SELECT group_name, doc_id, token, unnest(range(n)) AS k FROM th) GROUP BY ALL)""" + CLASS_SQL.format(items="o", source="occ")
+
+
+def _shingle_members(spark, d):
+    return docs(spark, d).select("group_name", "entity_id", F.explode(F.array_distinct(S.shingles("text"))).alias("item"))
+
+
+@query("jaccard_join", oracle="WITH " + DOCS_SQL.lstrip() + SET_SQL + f"""
+SELECT group_name, id1, id2, n::BIGINT AS overlap, round(n / (n1 + n2 - n)::DOUBLE, 6) AS jaccard FROM jp WHERE n / (n1 + n2 - n)::DOUBLE >= {JACCARD}""")
+def q_jaccard_join(spark, d):
+    from pairsim.operators.setjoin import jaccard_join
+    return jaccard_join(_shingle_members(spark, d), JACCARD, "group_name")[0].withColumn("jaccard", F.round("jaccard", R))
+
+
+@query("jaccard_classes", oracle="WITH " + DOCS_SQL.lstrip() + SET_SQL + " SELECT group_name, doc_id AS entity_id, class_id FROM cls")
+def q_jaccard_classes(spark, d):
+    from pairsim.operators.setjoin import item_sets, set_classes
+    return set_classes(cut_lineage(item_sets(_shingle_members(spark, d), "group_name")), "group_name")
+
+
+@query("freq_join", oracle="WITH " + DOCS_SQL.lstrip() + FREQ_SQL + f"""
+SELECT group_name, id1, id2, n1::BIGINT AS size1, n2::BIGINT AS size2, (n1 + n2 - 2 * n)::BIGINT AS freq_distance FROM jp WHERE n1 + n2 - 2 * n <= (n1 + n2) * {RELATIVE}::DOUBLE""")
+def q_freq_join(spark, d):
+    from pairsim.operators.setjoin import freq_join
+    return freq_join(G.token_histogram(docs(spark, d), group="group_name"), RELATIVE, "group_name")[0]
+
+
+_SIG_CLASSES = """,
+sc AS (SELECT group_name, doc_id, sig, min(doc_id) OVER (PARTITION BY group_name, sig) AS class_id FROM sig)"""
+
+
+@query("lsh_class_candidates", oracle="WITH " + SIG_SQL.lstrip() + _SIG_CLASSES + """
+SELECT c.* FROM cand c JOIN sc a ON a.doc_id = c.id1 AND a.class_id = c.id1 JOIN sc b ON b.doc_id = c.id2 AND b.class_id = c.id2""")
+def q_lsh_class_candidates(spark, d):
+    return G.lsh_class_candidates(signed_docs(spark, d), "group_name")[0]
+
+
+@query("lsh_class_members", oracle="WITH " + SIG_SQL.lstrip() + _SIG_CLASSES + " SELECT group_name, doc_id AS entity_id, class_id FROM sc")
+def q_lsh_class_members(spark, d):
+    return G.signature_classes(signed_docs(spark, d), "group_name")
+
+
 # ---- alignment (NW over LSH survivors, guard, blocks) ----
 
 def lsh_survivors(spark, d):
