@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairsim.functions.sequences import shingles, tokens
+from pairsim.functions.sequences import minhash_similarity, shingles, tokens
 from pairsim.operators.pairs import all_pairs
 
 PRIME = 2147483647  # 2^31 - 1
@@ -196,6 +196,59 @@ def adaptive_parameters(sizes: DataFrame, group: str, size_col: str = "size") ->
     return j.select(group, size_col, "bands", "rows", "threshold")
 
 
+#: Rows per band that ``tuned_parameters`` considers, sampled members of a group, and bins of their similarities.
+TUNED_ROWS, TUNED_SAMPLE, TUNED_BINS = 8, 64, 20
+
+
+def similarity_histogram(signed: DataFrame, group: str, ident: str = "entity_id", sig: str = "signature", k: int = DEFAULT_ROWS * DEFAULT_BANDS,
+                         sample: int = TUNED_SAMPLE, bins: int = TUNED_BINS) -> DataFrame:
+    """(group, n, bin, pairs): sizes of all groups, and the MinHash similarities of the pairs of about ``sample`` members of each.
+
+    Members are sampled by a hash of their id; a group without a sampled pair has one row with a null bin.
+    """
+    s = signed.where(F.col(sig).isNotNull())
+    sizes = s.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    drawn = s.join(sizes, group).where(base_hash(F.col(ident).cast("string")) < F.lit(float(1 << 32)) * sample / F.col("n"))
+    pairs = all_pairs(drawn.select(group, ident, sig), group=group, ident=ident, payload=[sig])
+    same = minhash_similarity(f"{sig}1", f"{sig}2")
+    counts = pairs.select(group, F.least(F.floor(same * bins), F.lit(bins - 1)).cast("int").alias("bin")).groupBy(group, "bin").agg(F.count(F.lit(1)).alias("pairs"))
+    return sizes.join(counts, group, "left")
+
+
+def tuned_parameters(histogram: DataFrame, threshold: float, group: str, recall: float = 0.95, k: int = DEFAULT_ROWS * DEFAULT_BANDS,
+                     bins: int = TUNED_BINS) -> DataFrame:
+    """(group, n, bands, rows, cost): the cheapest cut of each group's signatures that finds pairs at ``threshold`` with ``recall``.
+
+    For r rows the S-curve 1 - (1 - s^r)^b says how many bands find a pair of similarity ``threshold`` (and any more similar one) with that
+    probability; cuts that need more than ``k`` values are out. The cost is the band rows of the group, n b, and the candidates
+    that its sampled similarities foretell. No group loses members or pairs by its size.
+    """
+    import math
+
+    cuts = []
+    for r in range(1, TUNED_ROWS + 1):
+        b = math.ceil(math.log(1 - recall) / math.log(1 - threshold**r)) if threshold < 1 else 1
+        if b * r <= k:
+            cuts.append((r, b))
+    if not cuts:
+        raise ValueError(f"{k} values can't find similarity {threshold} with recall {recall}")
+    each = histogram.withColumn("_cut", F.explode(F.array(*[F.struct(F.lit(r).alias("rows"), F.lit(b).alias("bands")) for r, b in cuts])))
+    mid = (F.col("bin") + 0.5) / bins
+    found = 1 - F.pow(1 - F.pow(mid, F.col("_cut.rows")), F.col("_cut.bands"))
+    per = each.groupBy(group, "n", "_cut").agg(F.sum(found * F.col("pairs")).alias("_found"), F.sum("pairs").alias("_all"))
+    share = F.coalesce(F.try_divide(F.col("_found"), F.col("_all")), F.lit(0.0))
+    cost = F.round(F.col("n") * F.col("_cut.bands") + F.col("n") * (F.col("n") - 1) / 2 * share, 3)
+    per = per.withColumn("cost", cost)
+    return per.groupBy(group, "n").agg(F.min_by("_cut", F.struct("cost", "_cut.rows")).alias("_c"), F.min("cost").alias("cost")).select(group, "n", "_c.bands", "_c.rows", "cost")
+
+
+def tuned_bands(signed: DataFrame, parameters: DataFrame, group: str, ident: str = "entity_id", sig: str = "signature") -> DataFrame:
+    """(group, ident, band, key): every signature cut as its group's parameters say."""
+    s = signed.where(F.col(sig).isNotNull()).join(parameters.select(group, "bands", "rows"), group)
+    keys = F.transform(F.sequence(F.lit(0), F.col("bands") - 1), lambda i: F.md5(F.array_join(F.slice(sig, i * F.col("rows") + 1, F.col("rows")), ",")))
+    return s.select(group, ident, F.posexplode(keys).alias("band", "key"))
+
+
 def set_jaccard(entities: DataFrame, members: DataFrame, group: str, ident: str = "entity_id", item: str = "item",
                 tile_rows: int = 2048) -> DataFrame:
     """O44 over every pair of a group without shipping the sets: |A n B| / (|A| + |B| - |A n B|).

@@ -266,6 +266,41 @@ def q_lsh_class_members(spark, d):
     return G.signature_classes(signed_docs(spark, d), "group_name")
 
 
+# ---- bands chosen per group from the S-curve and its sampled similarities ----
+
+TUNED_AT, TUNED_RECALL = 0.5, 0.95
+_TUNED_SQL = f""",
+gn AS (SELECT group_name, count(*)::BIGINT AS n FROM sig GROUP BY ALL),
+dr AS (SELECT sig.* FROM sig JOIN gn USING (group_name) WHERE ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT < 4294967296.0::DOUBLE * {G.TUNED_SAMPLE} / n),
+hi AS (SELECT a.group_name, least(floor(len(list_filter(list_zip(a.sig, b.sig), lambda z: z[1] = z[2])) / {K}.0::DOUBLE * {G.TUNED_BINS}), {G.TUNED_BINS - 1}) AS bin
+       FROM dr a JOIN dr b ON a.group_name = b.group_name AND a.doc_id < b.doc_id),
+hc AS (SELECT group_name, bin, count(*) AS pairs FROM hi GROUP BY ALL),
+cut AS (SELECT r AS rows, ceil(ln(1 - {TUNED_RECALL}::DOUBLE) / ln(1 - pow({TUNED_AT}::DOUBLE, r))) AS bands FROM range(1, {G.TUNED_ROWS + 1}) t(r)),
+pc AS (SELECT gn.group_name, n, rows, bands, round(n * bands + n * (n - 1) / 2.0::DOUBLE
+         * coalesce(sum((1 - pow(1 - pow((bin + 0.5::DOUBLE) / {G.TUNED_BINS}, rows), bands)) * pairs) / sum(pairs), 0), 3) AS cost
+       FROM gn LEFT JOIN hc USING (group_name), cut WHERE bands * rows <= {K} GROUP BY gn.group_name, n, rows, bands),
+tuned AS (SELECT group_name, n, bands::INTEGER AS bands, rows::INTEGER AS rows, cost FROM pc QUALIFY row_number() OVER (PARTITION BY group_name ORDER BY cost, rows) = 1)"""
+
+
+def _tuned(signed):
+    return G.tuned_parameters(G.similarity_histogram(signed, "group_name", k=K), TUNED_AT, "group_name", TUNED_RECALL, K)
+
+
+@query("lsh_tuned", oracle="WITH " + SIG_SQL.lstrip() + _TUNED_SQL + " SELECT * FROM tuned")
+def q_lsh_tuned(spark, d):
+    return _tuned(signed_docs(spark, d))
+
+
+@query("lsh_tuned_candidates", oracle="WITH " + SIG_SQL.lstrip() + _TUNED_SQL + """,
+tb AS (SELECT group_name, doc_id, b AS band, md5(array_to_string(sig[b * rows + 1 : b * rows + rows], ',')) AS key
+       FROM (SELECT sig.*, rows, unnest(range(bands)) AS b FROM sig JOIN tuned USING (group_name)))
+SELECT a.group_name, a.doc_id AS id1, b.doc_id AS id2, count(*)::BIGINT AS shared_bands
+FROM tb a JOIN tb b ON a.group_name = b.group_name AND a.band = b.band AND a.key = b.key AND a.doc_id < b.doc_id GROUP BY ALL""")
+def q_lsh_tuned_candidates(spark, d):
+    s = signed_docs(spark, d)
+    return G.lsh_candidates(G.tuned_bands(s, _tuned(s), "group_name"), "group_name")
+
+
 # ---- alignment (NW over LSH survivors, guard, blocks) ----
 
 def lsh_survivors(spark, d):

@@ -98,3 +98,28 @@ def test_duplicates_are_verified_by_content(spark):
     want = [("g", 1, 1, 2), ("g", 2, 2, 3), ("g", 3, 1, 2), ("g", 4, 2, 3), ("g", 9, 2, 3)]
     for digest in (P.content_digest, weak):
         assert sorted(map(tuple, P.exact_duplicates(docs, "text", group="g", digest=digest).collect())) == want
+
+
+def test_tuned_bands_find_pairs_at_the_threshold(spark):
+    rng = random.Random(7)
+    rows, k = [], 200
+    for g, n in (("large", 260), ("small", 30)):
+        for i in range(0, n, 2):  # pairs around the threshold, among unrelated texts
+            words = [f"{g}{i}w{j}" for j in range(60)]
+            other = list(words)
+            for j in rng.sample(range(60), rng.randrange(0, 22)):
+                other[j] = f"{g}{i}x{j}"
+            rows += [(g, i, " ".join(words)), (g, i + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "g string, entity_id long, text string")
+    signed = G.minhash_text(docs, "text", k).checkpoint()
+    params = G.tuned_parameters(G.similarity_histogram(signed, "g", k=k), 0.5, "g", 0.95, k)
+    chosen = {r.g: (r.bands, r.rows) for r in params.collect()}
+    assert chosen.keys() == {"large", "small"} and all(b * r <= k and 1 - (1 - 0.5**r) ** b >= 0.95 for b, r in chosen.values())
+    assert chosen["large"][1] >= chosen["small"][1]  # more members: more candidates to save, more bands are worth it
+    got = {(r.g, r.id1, r.id2) for r in G.lsh_candidates(G.tuned_bands(signed, params, "g"), "g").collect()}
+    fixed = {(r.g, r.id1, r.id2) for r in G.lsh_candidates(G.band_table(signed, "g", "entity_id"), "g").collect()}
+    shingle = {(g, i): set(zip(t.split(), t.split()[1:])) for g, i, t in rows}
+    near = {(g, i, i + 1) for g, i, _ in rows if i % 2 == 0 and len(shingle[(g, i)] & shingle[(g, i + 1)]) / len(shingle[(g, i)] | shingle[(g, i + 1)]) >= 0.5}
+    assert len(near) > 30 and len(near & got) / len(near) >= 0.95
+    # No candidate at the threshold that the fixed cut finds is lost beyond that recall; far fewer others come along.
+    assert len(near & fixed - got) <= 0.05 * len(near) and len(got - near) <= len(fixed - near)
