@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairsim.llm.shared import store
+from pairsim.llm.shared import store, without
 
 #: What separates words: ASCII that is neither digit nor letter. A-Z are lowered in each word that is compared.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -95,10 +95,14 @@ def occurrences(terms: DataFrame, index: DataFrame, found: DataFrame, window: in
     return runs.where(F.col("last") - F.col("first") + 1 >= F.least(F.col("n"), F.lit(window))).select("doc", "h", "item", "first", "last")
 
 
+def _key() -> list[Column]:
+    """doc (the id; a stand-in for null), h (the text's hash, which tells apart texts that share an id)."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("h")]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc (the id; a stand-in for null), h (the text's hash, which tells apart texts that share an id), doc_id, text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("h", F.xxhash64("text"))
+    """doc, h, doc_id, text."""
+    return docs.select(*_key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _hits(keyed: DataFrame, items: DataFrame, window: int) -> DataFrame:
@@ -144,6 +148,4 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 3, window: int = WI
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no window of any item, with their columns; a row is known by doc_id and text hash."""
-    bad = _hits(_keyed(docs), items, window).where("n_hit > 0").select(F.col("doc").alias("_pos_doc"), F.col("h").alias("_pos_h"))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.join(bad, (doc == F.col("_pos_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_pos_h")), "left_anti")
+    return without(docs, _hits(_keyed(docs), items, window).where("n_hit > 0").select("doc", "h"), _key())

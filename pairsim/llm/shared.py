@@ -72,3 +72,41 @@ def numbered(df: DataFrame, order: list[Column], name: str, what: str) -> DataFr
     firsts = store(sizes.select("_num_p", F.coalesce(before, F.lit(0)).alias("_num_first")), what + "-ranges")
     out = ranges.join(firsts, F.col("_num_part") == F.col("_num_p"))
     return out.withColumn(name, F.col("_num_first") + F.col("_num_at") + 1).drop("_num_part", "_num_p", "_num_first", "_num_at")
+
+
+#: Bits of the table that tells which rows may be among some keys (4 MB), in rows of the bitmap functions' 32,768.
+KEY_BITS, MAP_BITS = 25, 15
+
+
+def text_key() -> list[Column]:
+    """Columns, none null, that tell rows apart by doc_id and text: the id, whether it is null, and two hashes of the text."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return [F.coalesce(doc_id, F.lit(0)).alias("k_id"), doc_id.isNull().alias("k_null"), F.xxhash64(text).alias("k_h"), F.xxhash64(F.lit("again"), text).alias("k_g")]
+
+
+KEY = ["k_id", "k_null", "k_h", "k_g"]
+
+
+def among(docs: DataFrame, keys: DataFrame, key: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(rest, some): ``docs`` as rows (row, and the columns ``key``), cut into those that are surely not among ``keys`` and others.
+
+    The cut is a bitmap of the keys' hashes, of a fixed size whatever their number, so it is broadcast: rows without a
+    key there need no exchange. The more keys, the more rows go with ``some``, which a join then decides. ``key`` is never null.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *key)
+    names = rows.columns[1:]
+    code = F.pmod(F.xxhash64(*names), F.lit(1 << KEY_BITS))
+    bits = keys.select(code.alias("c")).groupBy(F.shiftright("c", MAP_BITS).alias("m_no")).agg(F.call_function("bitmap_construct_agg", F.col("c").bitwiseAND((1 << MAP_BITS) - 1)).alias("m_bits"))
+    bits = F.broadcast(store(bits, "key-bits"))  # at most 2^(KEY_BITS - MAP_BITS) rows of 4 KB
+    rows = rows.withColumn("m_code", code)
+    rows = rows.join(bits, F.shiftright("m_code", MAP_BITS) == F.col("m_no"), "left")
+    at = F.col("m_code").bitwiseAND((1 << MAP_BITS) - 1)
+    byte = F.conv(F.hex(F.call_function("substring", F.col("m_bits"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    return rows.where(~hit).select("row", *names), rows.where(hit).select("row", *names)
+
+
+def without(docs: DataFrame, keys: DataFrame, key: list[Column]) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose ``key`` (never null) is not in ``keys``, which has those columns."""
+    rest, some = among(docs, keys, key)
+    return rest.select("row.*").unionByName(some.join(keys, keys.columns, "left_anti").select("row.*"))

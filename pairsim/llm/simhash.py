@@ -25,10 +25,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairsim.llm.shared import store
+from pairsim.llm.shared import KEY, among, store, text_key
 from pairsim.session import ensure_checkpoint_dir
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -56,8 +56,8 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, hashed: bool = False) -> DataFrame:
-    """doc_id, fp (the unsigned fingerprint's bits as a long); with ``hashed`` also h, the text's hash, between them."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, keyed: bool = False) -> DataFrame:
+    """doc_id, fp (the unsigned fingerprint's bits as a long); with ``keyed`` the columns that tell rows apart (KEY) instead of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,10 +65,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, hashed: bool
             fp = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in texts), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*keys, pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
-    text = F.col("text").cast("string")
-    keys = [F.col("doc_id").cast("long").alias("doc_id"), *([F.xxhash64(text).alias("h")] if hashed else [])]
-    names = ["doc_id", *(["h"] if hashed else [])]
-    return docs.select(*keys, text.alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
+    keys = text_key() if keyed else [F.col("doc_id").cast("long").alias("doc_id")]
+    names = KEY if keyed else ["doc_id"]
+    kinds = [f"{n} {'boolean' if n == 'k_null' else 'long'}" for n in [*names, "fp"]]
+    return docs.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(kinds))
 
 
 def trie_pairs(values: np.ndarray, groups: list[tuple[int, int, int, int]], budget: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,41 +236,40 @@ def star_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _classes(prints: DataFrame, budget: int, node_rows: int) -> DataFrame:
-    """fp, root (one of its component's fingerprints), component_id of every distinct fingerprint."""
-    classes = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+def _rooted(prints: DataFrame, first: Column, budget: int, node_rows: int) -> DataFrame:
+    """fp, first (of its rows), root (one of its component's fingerprints) of every distinct fingerprint."""
+    classes = store(prints.groupBy("fp").agg(first.alias("first")), "simhash-classes")
     roots = star_components(links(classes.select("fp"), budget, node_rows))
-    in_one = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = in_one.groupBy("root").agg(F.min("first").alias("component_id"))
-    # Only classes whose component is not their own need a second look-up.
-    return store(in_one.join(least, "root").select("fp", "root", F.coalesce("component_id", "first").alias("component_id")), "simhash-components")
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def components(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: int = 42, node_rows: int = NODE_ROWS) -> DataFrame:
     """doc_id, fp, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
     prints = store(fingerprints(docs, shingle, seed), "simhash")
-    out = prints.join(_classes(prints, budget, node_rows).drop("root"), "fp")
-    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    in_one = _rooted(prints, F.min("doc_id"), budget, node_rows)
+    least = in_one.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Only classes whose component is not their own need a second look-up.
+    named = store(in_one.join(least, "root").select("fp", F.coalesce("component_id", "first").alias("component_id")), "simhash-components")
+    return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: int = 42, node_rows: int = NODE_ROWS) -> DataFrame:
-    """One row of each component, with the columns of ``docs``: the smallest doc_id, and of its rows there the least text.
+    """One row of each component, with the columns of ``docs``: the smallest doc_id, and of its rows there a null text or the least text hash.
 
-    Rows are told apart by (doc_id, text hash), as an id, null too, may have texts in several components.
+    Rows are told apart by (doc_id, text hashes), as an id, null too, may have texts in several components. Fingerprint classes
+    name the row that stays, so a component of many rows meets only in partial minima; rows that go are the only ones
+    that an exchange moves whole.
     """
-    prints = store(fingerprints(docs, shingle, seed, hashed=True), "simhash")
-    rows = prints.join(_classes(prints, budget, node_rows).drop("component_id"), "fp").select("doc_id", "h", "root")
-    ids = rows.groupBy("root", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    # Of components with several rows: the smallest id (null if all are) and its number of rows.
-    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-    shared = ids.groupBy("root").agg(F.min("doc_id").alias("first"), F.min_by("n", first).alias("n_first"), F.sum("n").alias("n")).where("n > 1")
-    fates = rows.join(shared, "root").withColumn("first", F.col("doc_id").eqNullSafe(F.col("first"))).where("not first or n_first > 1")
-    fates = store(fates.select(F.col("doc_id").alias("_sim_id"), F.col("h").alias("_sim_h"), F.col("root").alias("_sim_root"), "first").distinct(), "simhash-fates")
-    text = F.col("text").cast("string")
-    row = docs.select(F.col("doc_id").cast("long").alias("_sim_doc"), F.xxhash64(text).alias("_sim_hash"), F.struct(*docs.columns).alias("_sim_row"), text.alias("_sim_text"))
-    same = F.col("_sim_doc").eqNullSafe(F.col("_sim_id")) & (F.col("_sim_hash") == F.col("_sim_h"))
-    once = row.join(fates, same, "left_anti").select("_sim_row")
-    # Several rows of a first document: the least text stays, by an aggregate that tasks combine before the shuffle.
-    many = row.join(fates.where("first"), same)
-    many = many.groupBy("_sim_root").agg(F.min_by("_sim_row", F.struct("_sim_text", F.xxhash64(F.to_json("_sim_row")))).alias("_sim_row")).select("_sim_row")
-    return once.unionByName(many).select("_sim_row.*")
+    prints = store(fingerprints(docs, shingle, seed, keyed=True), "simhash")
+    no_text = F.xxhash64(F.lit(None).cast("string"))
+    order = F.struct("k_null", "k_id", (F.col("k_h") != no_text).alias("k_text"), "k_h", "k_g")
+    stays = _rooted(prints, F.min(order), budget, node_rows).groupBy("root").agg(F.min("first").alias("first")).select(*[f"first.{c}" for c in KEY])
+    rows = store(prints.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")), "simhash-keys")
+    fates = rows.join(stays.withColumn("stays", F.lit(True)), KEY, "left").where("stays is null or n > 1")
+    fates = store(fates, "simhash-fates")
+    rest, some = among(docs, fates, text_key())
+    some = some.join(fates, KEY, "left").where("n is null or stays")
+    # Repeated rows of a document that stays: one by an aggregate that tasks combine before the shuffle.
+    once = some.where("n is null").select("row.*")
+    many = some.where("n is not null").groupBy(*KEY).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
+    return rest.select("row.*").unionByName(once).unionByName(many)

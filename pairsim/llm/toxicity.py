@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from pairsim.llm.models import Logistic
 from pairsim.llm.shared import bounded_sample, store, text_slices
@@ -361,15 +362,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores under ``threshold``, with their columns; a row is known by doc_id and text hash."""
+    """The rows of ``docs`` whose text scores under ``threshold`` or has no match at all, with their columns; no shuffle.
+
+    A text without a match stays whatever the model's base rate: nothing in it speaks for its removal.
+    """
     matcher, regression = model.matcher, model.regression
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in text_slices(batches):
-            x = np.array([features(matcher.matches(t) if t else [], len(t or "")) for t in texts.to_pylist()])
-            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(regression.score(x) >= threshold))], names=["key"])
-
-    text = F.col("text").cast("string")
-    keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("_tox_id"), F.xxhash64(text).alias("_tox_h")).alias("key"), text.alias("text"))
-    toxic = store(keyed.mapInArrow(run, "key struct<_tox_id:long,_tox_h:long>").select("key.*").distinct(), "toxic-rows")
-    return docs.join(toxic, F.col("doc_id").cast("long").eqNullSafe(F.col("_tox_id")) & (F.xxhash64(text) == F.col("_tox_h")), "left_anti")
+        for b in batches:
+            rows, start = b.column(0), 0
+            for _, texts in text_slices([pa.RecordBatch.from_arrays([rows.field(at).cast(pa.string())], names=["text"])]):
+                found = [matcher.matches(t) if t else [] for t in texts.to_pylist()]
+                x = np.array([features(m, len(t.as_py() or "")) for m, t in zip(found, texts)])
+                stays = (regression.score(x) < threshold) | np.array([not m for m in found])
+                yield pa.RecordBatch.from_arrays([rows.slice(start, len(texts)).filter(pa.array(stays))], names=["row"])
+                start += len(texts)
+
+    return docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
