@@ -7,6 +7,7 @@ from pairsim.operators import evaluate as E
 from pairsim.operators.ranking import exact_rank, hash_key
 from pairsim.operators.split import balanced_split
 from pairsim.plans.registry import query
+from pairsim.session import cut_lineage
 from pairsim.plans.split import SP_SQL, SPLIT_SQL
 from pairsim.sources.tables import read_table, scored_pairs
 
@@ -199,3 +200,57 @@ def q_eval_slices(spark, d):
     sp = scored_pairs(spark, d)
     f = slice_flags(F.col("score"))
     return sp.select("pair_key", *[f[n].alias(f"in_{n}") for n in f])
+
+
+# ---- density by the data's own bandwidth, and fits of a caller's loss ----
+
+_KDE_SQL = SP_SQL + """,
+mo AS (SELECT count(*) AS n, avg(score) AS mx, avg(pred) AS my, var_samp(score) AS vx, var_samp(pred) AS vy, covar_samp(score, pred) AS vxy FROM sp),
+ch AS (SELECT *, sqrt(vx * pow(n, -1.0::DOUBLE / 3)) AS a, vxy * pow(n, -1.0::DOUBLE / 3) / sqrt(vx * pow(n, -1.0::DOUBLE / 3)) AS b FROM mo),
+tr AS (SELECT *, sqrt(vy * pow(n, -1.0::DOUBLE / 3) - b * b) AS c FROM ch),
+pt AS (SELECT score, pred, count(*) AS k, any_value((score - mx) / a / 0.1::DOUBLE) AS u, any_value(((pred - my) - b * (score - mx) / a) / c / 0.1::DOUBLE) AS v FROM sp, tr GROUP BY score, pred),
+sh AS (SELECT score, pred, k, floor(u) + i AS cx, floor(v) + j AS cy,
+         (CASE WHEN i = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN j = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS s
+       FROM pt, range(2) t1(i), range(2) t2(j)),
+ce AS (SELECT cx, cy, sum(k * s) AS m FROM sh GROUP BY ALL),
+co AS (SELECT t.cx, t.cy, sum(f.m * exp(-pow((t.cx - f.cx) * 0.1::DOUBLE, 2) / 2) * exp(-pow((t.cy - f.cy) * 0.1::DOUBLE, 2) / 2)) AS m
+       FROM ce t JOIN ce f ON abs(t.cx - f.cx) <= 50 AND abs(t.cy - f.cy) <= 50 GROUP BY ALL),
+kd AS (SELECT score, pred, round(sum(s * m) / any_value(2 * pi() * a * c * n), 6) AS density FROM sh JOIN co USING (cx, cy), tr GROUP BY score, pred)"""
+
+
+@query("point_density", oracle=_KDE_SQL + """
+SELECT pair_key, density, row_number() OVER (ORDER BY density, pair_key) AS position FROM sp JOIN kd USING (score, pred)""")
+def q_point_density(spark, d):
+    from pairsim.operators.density import densest_last, kernel_density
+    k = kernel_density(scored_pairs(spark, d).select("pair_key", "score", "pred"))
+    return densest_last(k.withColumn("density", F.round("density", 6)), "pair_key").select("pair_key", "density", "position")
+
+
+_FIT_SQL = SP_SQL + """,
+w AS (SELECT technique, pred AS x, score AS y, {weight} AS w FROM sp),
+s AS (SELECT technique, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM w GROUP BY technique),
+b AS (SELECT *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS slope FROM s)
+SELECT technique, round((sy - slope * sx) / sw, 6) AS intercept, round(slope, 6) AS slope FROM b"""
+
+
+def _fits(spark, d, loss, weight):
+    """A line per technique (a few values) fitted by the given loss."""
+    from pairsim.operators import fit
+    rows = cut_lineage(scored_pairs(spark, d).select("technique", F.array("pred").alias("features"), F.col("score").alias("label")))
+    names = [r.technique for r in rows.select("technique").distinct().collect()]
+    out = []
+    for t in sorted(names):
+        f = fit.fit_loss(rows.where(F.col("technique") == t), 1, loss(fit), "identity", weight=weight)
+        out.append((t, round(float(f.beta[0]), 6), round(float(f.beta[1]), 6)))
+    return spark.createDataFrame(out, "technique string, intercept double, slope double")
+
+
+@query("exp_loss_fit", oracle=_FIT_SQL.format(weight="exp(0.3::DOUBLE * score)"))
+def q_exp_loss_fit(spark, d):
+    return _fits(spark, d, lambda fit: fit.exp_weighted(0.3), None)
+
+
+@query("zero_weight_fit", oracle=_FIT_SQL.format(weight="CASE WHEN score = 0 THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END"))
+def q_zero_weight_fit(spark, d):
+    from pairsim.functions.scores import zero_weight
+    return _fits(spark, d, lambda fit: fit.squared, zero_weight(F.col("label")))
