@@ -158,4 +158,4 @@ SELECT batch_id::INTEGER AS batch_id, count(*)::BIGINT AS n, min(pair_key) AS fi
 def q_fetch_batches(spark, d):
     path = scratch_dir(spark, "batches")
     write_batches(scored_pairs(spark, d).select("pair_key", "score"), path, "pair_key", 7000)
-    return spark.read.parquet(path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.min("pair_key").alias("first_key"), F.max("pair_key").alias("last_key"))
+    return spark.read.parquet(path).groupBy(F.col("batch_id").cast("int").alias("batch_id")).agg(F.count(F.lit(1)).alias("n"), F.min("pair_key").alias("first_key"), F.max("pair_key").alias("last_key"))

@@ -75,6 +75,8 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    # Tables bucketed by one of the join keys are joined where they lie (operators/bucketed.py).
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.shuffle.partitions": "20000",
     "spark.sql.files.maxPartitionBytes": str(512 << 20),
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",

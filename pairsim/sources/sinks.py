@@ -28,17 +28,23 @@ def write_splits(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "ignore").partitionBy("split").parquet(path)
 
 
-def write_batches(df: DataFrame, path: str, key: str, batch_rows: int) -> None:
-    """Batches of exactly ``batch_rows`` rows (the last one short) in key order, one folder each.
+#: Batches of one folder, which is what a fetch lists; a batch is found in it by its files' and row groups' ranges.
+FOLDER_BATCHES = 256
 
-    A trainer fetches batch after batch with ``read_batch``; no batch passes through the driver.
+
+def write_batches(df: DataFrame, path: str, key: str, batch_rows: int, folder_batches: int = FOLDER_BATCHES) -> None:
+    """Batches of exactly ``batch_rows`` rows (the last one short) in key order, ``folder_batches`` to a folder.
+
+    A trainer fetches batch after batch with ``read_batch``; no batch passes through the driver. Rows are dealt to tasks by ranges
+    of batches and sorted there, so a file holds whole runs of batches and its statistics say which.
     """
     from pairsim.operators.split import fixed_batches
 
-    b = fixed_batches(df, key, batch_rows)
-    b.repartition("batch_id").sortWithinPartitions("batch_id", key).write.mode("overwrite").partitionBy("batch_id").parquet(path)
+    b = fixed_batches(df, key, batch_rows).withColumn("folder", F.floor(F.col("batch_id") / folder_batches).cast("long"))
+    b = b.repartitionByRange("folder", "batch_id", key).sortWithinPartitions("folder", "batch_id", key)
+    b.write.mode("overwrite").option("parquet.block.row.count.limit", batch_rows).partitionBy("folder").parquet(path)
 
 
-def read_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """The rows of one batch; other batches' folders are pruned."""
-    return spark.read.parquet(path).where(F.col("batch_id") == batch_id)
+def read_batch(spark: SparkSession, path: str, batch_id: int, folder_batches: int = FOLDER_BATCHES) -> DataFrame:
+    """The rows of one batch; other folders are pruned, and row groups of other batches are not read."""
+    return spark.read.parquet(path).where((F.col("folder") == batch_id // folder_batches) & (F.col("batch_id") == batch_id)).drop("folder")

@@ -130,7 +130,7 @@ def log_file_meta(files: DataFrame, name: str = "file_name") -> DataFrame:
                 .withColumn("flags", F.regexp_extract(n, LOG_FILENAME_RE, 2))
 
 
-def _tag_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+def tag_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Every line with its function count / merge fields (NULL / False when the line matches neither pattern).
 
     Group 1 of each pattern is never empty on a match, so one extraction per
@@ -152,7 +152,7 @@ def _tag_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Keep lines that match either pattern; extract the function count or the merge fields."""
-    t = _tag_log_lines(lines, value)
+    t = tag_log_lines(lines, value)
     return t.filter(F.col("n_functions").isNotNull() | F.col("is_merge"))
 
 
@@ -163,7 +163,7 @@ def merge_log_metrics(lines: DataFrame, order: str = "line_pos", file_col: str =
     but which has no matching line still gets its row of zeros. File-name
     parsing (O06) runs on the aggregated rows only.
     """
-    t = _tag_log_lines(lines)
+    t = tag_log_lines(lines)
     agg = t.groupBy(file_col).agg(
         F.max_by("n_functions", F.when(F.col("n_functions").isNotNull(), F.col(order))).alias("_nf"),
         F.count_if("is_merge").alias("_att"),

@@ -3,7 +3,6 @@
 import os
 
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pairsim.functions import flags as FL
@@ -15,7 +14,6 @@ from pairsim.operators import ranking as R
 from pairsim.operators import split as S
 from pairsim.operators.select import best_partner, greedy_select, topk_partners
 from pairsim.sources import text as T
-from pairsim.streaming import arrival
 
 NAN = float("nan")
 
@@ -110,13 +108,3 @@ def test_empty_log_files_get_zero_rows(spark, tmp_path):
 def test_flags_parse_once_and_fill_presets(spark):
     rows = spark.createDataFrame([("TECHNIQUE=f3m ALIGNMENT=pa ALIGNMENT=nw junk X=1",), ("",), ("PredictAlignment=true TECHNIQUE=f3m-predict-dotprod",)], "s string")
     assert [r.c for r in rows.select(FL.canonical(F.col("s")).alias("c")).collect()] == ["TECHNIQUE=f3m", "TECHNIQUE=baseline", "TECHNIQUE=f3m-predict-dotprod PredictAlignment=true"]
-
-
-def test_a_failing_read_of_the_table_is_not_an_absent_table(spark, tmp_path):
-    assert arrival._read_if_there(spark, str(tmp_path / "none")) is None
-    bad = tmp_path / "bad"
-    bad.mkdir()
-    (bad / "part-0.parquet").write_bytes(b"not parquet")
-    with pytest.raises(Exception) as e:  # noqa: PT011
-        arrival._read_if_there(spark, str(bad)).collect()
-    assert not (isinstance(e.value, AnalysisException) and e.value.getCondition() == "PATH_NOT_FOUND")
