@@ -3,7 +3,7 @@
 The text view sees only facts of the content (repetition, case, signs, word shapes); the metadata view only facts around it (source,
 length, host, kind of URL, mark-up). Both start from the labelled sample. In each round each view scores an unlabelled
 pool, and the documents it is most sure of, of either class in the proportion of the labels, become pseudo-labelled training rows
-of the other view, as far as held labelled rows bear out that it is seldom wrong there. After the rounds each view is calibrated (Platt) on labelled rows that it was not fitted on, and a regression
+of the other view, as far as held labelled rows bear out that it knows more than chance there; they weigh its calibrated confidence. After the rounds each view is calibrated (Platt) on labelled rows that it was not fitted on, and a regression
 over the two calibrated log-odds, fitted there as well, combines them to score all documents.
 
 Models are fitted on about ``sample_docs`` labelled and ``pool_docs`` unlabelled documents (documented bounds); every
@@ -33,8 +33,9 @@ from pairsim.llm.shared import bounded_sample, store, text_slices
 
 SAMPLE_DOCS, POOL_DOCS = 20_000, 20_000
 ROUNDS, SHARE = 3, 0.05
-#: A view is sure where it errs at most a tenth as often as the class's share would.
-ERRORS = 0.1
+VIEWS = ("text", "metadata")
+#: Check rows that bear out a view's sureness, at least.
+LEAST = 20
 BINS, HASHED = 8, 16
 CHECK = 4  # one in so many labelled rows calibrates and combines, and fits no view
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,9 +105,9 @@ def meta_facts(batch: dict[str, list], lengths: np.ndarray) -> np.ndarray:
 class View:
     """A logistic regression over facts and their quantile bins."""
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> View:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> View:
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-        self.model = Logistic().fit(self._wide(x), y)
+        self.model = Logistic().fit(self._wide(x), y, weight)
         return self
 
     def _wide(self, x: np.ndarray) -> np.ndarray:
@@ -117,39 +118,58 @@ class View:
 
 
 def sure_from(margin: np.ndarray, y: np.ndarray) -> float:
-    """The least margin above which check rows hold ERRORS of label 0's share or less; infinite if there is none."""
-    order = np.argsort(-margin, kind="stable")
-    wrong = (np.cumsum(1 - y[order]) + 3) / np.arange(1, len(y) + 1)  # 3 more: what so few rows can't rule out
-    good = np.flatnonzero(wrong <= ERRORS * (1 - y.mean()))
+    """The least margin from which on the check rows hold more of label 1 than chance would; infinite if there is none.
+
+    The share of label 1 above a margin must exceed the class's share by more than its standard error (Wilson's bound), so a
+    view hands over what it knows best in its own terms, be it weak, and next to nothing where it knows nothing.
+    """
+    order, n = np.argsort(-margin, kind="stable"), np.arange(1, len(y) + 1)
+    right, z = np.cumsum(y[order]) / n, 1.0
+    low = (right + z * z / (2 * n) - z * np.sqrt(right * (1 - right) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    good = np.flatnonzero((low > y.mean()) & (n % LEAST == 0))
     return float(margin[order][good[-1]]) if len(good) else np.inf
 
 
-def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], check: list[np.ndarray], check_y: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> list[View]:
-    """Two views fitted in turns: what one is sure of in the pool, as its check rows bear out, teaches the other."""
-    own_x, own_y = [x[0], x[1]], [y, y]
-    free = np.ones(len(pool[0]), bool)
-    views = [View().fit(own_x[v], own_y[v]) for v in (0, 1)]
-    for _ in range(rounds):
+def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], check: list[np.ndarray], check_y: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> tuple[list[View], list[tuple[int, str, int, int]]]:
+    """Two views fitted in turns: in each round each view labels the share of the pool that it is surest of, for the other one.
+
+    Both classes are handed over in proportion, within what the view's check rows bear out. The other view takes a label unless it is
+    itself surer of the opposite, both by their calibration on the check rows, so a weak view can add to a strong one but not
+    overrule it; a label weighs the squared share of doubt that it removes from the class's prior. Returns the views, and (round, from, zeros, ones) handed over.
+    """
+    own = [[(x[v], y, np.ones(len(y)))] for v in (0, 1)]
+    free, handed = [np.ones(len(pool[0]), bool) for _ in (0, 1)], []
+    fit = lambda v: View().fit(*(np.concatenate(c) for c in zip(*own[v])))
+    views = [fit(v) for v in (0, 1)]
+    for no in range(1, rounds + 1):
+        lessons = []
+        platt = [Logistic().fit(views[v].margin(check[v])[:, None], check_y) for v in (0, 1)]
         for v in (0, 1):
-            at, proof = np.flatnonzero(free), views[v].margin(check[v])
+            at, proof = np.flatnonzero(free[v]), views[v].margin(check[v])
             margin = views[v].margin(pool[v][at])
             order = np.argsort(margin, kind="stable")
-            n_high, n_low = (int(len(pool[0]) * share * part) for part in (y.mean(), 1 - y.mean()))
-            low, high = order[:n_low], order[len(order) - min(n_high, len(order)):]
+            n_high, n_low = (int(np.ceil(len(pool[0]) * share * part)) for part in (y.mean(), 1 - y.mean()))
+            low, high = order[:n_low], order[max(0, len(order) - n_high):]
             low, high = low[-margin[low] >= sure_from(-proof, 1 - check_y)], high[margin[high] >= sure_from(proof, check_y)]
-            pick = np.concatenate([low, high])
-            own_x[1 - v] = np.concatenate([own_x[1 - v], pool[1 - v][at[pick]]])
-            own_y[1 - v] = np.concatenate([own_y[1 - v], np.repeat([0.0, 1.0], [len(low), len(high)])])
-            free[at[pick]] = False
-        views = [View().fit(own_x[v], own_y[v]) for v in (0, 1)]
-    return views
+            pick, label = np.concatenate([low, high]), np.repeat([0.0, 1.0], [len(low), len(high)])
+            teacher, taught = (np.abs(1 - label - platt[u].score(views[u].margin(pool[u][at[pick]])[:, None])) for u in (v, 1 - v))
+            taken = teacher >= 1 - taught  # the share of certainty in the label against the other view's in the opposite
+            pick, label, teacher = pick[taken], label[taken], teacher[taken]
+            prior = np.where(label == 1, check_y.mean(), 1 - check_y.mean())
+            lessons.append((pool[1 - v][at[pick]], label, np.clip((teacher - prior) / (1 - prior), 0, 1) ** 2))
+            free[v][at[pick]] = False
+            handed.append((no, VIEWS[v], int((label == 0).sum()), int((label == 1).sum())))
+        for v in (0, 1):
+            own[1 - v].append(lessons[v])
+        views = [fit(v) for v in (0, 1)]
+    return views, handed
 
 
 class Model:
-    """Calibrated views and their combination; ``constant`` where labels are missing."""
+    """Calibrated views and their combination; ``constant`` where labels are missing; ``handed``: the labels exchanged by round."""
 
-    def __init__(self, views: list[View] | None, platt: list[Logistic] | None, both: Logistic | None, constant: float = 0.0) -> None:
-        self.views, self.platt, self.both, self.constant = views, platt, both, constant
+    def __init__(self, views: list[View] | None, platt: list[Logistic] | None, both: Logistic | None, constant: float = 0.0, handed: list[tuple[int, str, int, int]] | None = None) -> None:
+        self.views, self.platt, self.both, self.constant, self.handed = views, platt, both, constant, handed or []
 
     def score(self, x: list[np.ndarray]) -> np.ndarray:
         """text score, metadata score and combined score in columns."""
@@ -193,10 +213,10 @@ def fit(docs: DataFrame, pages: DataFrame, labels: DataFrame, learn: Column, sam
     use, held = labelled & ~check, labelled & check
     if any(not 0 < y[s].sum() < s.sum() for s in (use, held)):
         return Model(None, None, None, float(y[labelled].mean()) if labelled.any() else 0.0)
-    views = co_train([v[use] for v in x], y[use], [v[~labelled] for v in x], [v[held] for v in x], y[held])
+    views, handed = co_train([v[use] for v in x], y[use], [v[~labelled] for v in x], [v[held] for v in x], y[held])
     platt = [Logistic().fit(v.margin(f[held])[:, None], y[held]) for v, f in zip(views, x)]
     margins = np.column_stack([p.margin(v.margin(f[held])[:, None]) for p, v, f in zip(platt, views, x)])
-    return Model(views, platt, Logistic().fit(margins, y[held]))
+    return Model(views, platt, Logistic().fit(margins, y[held]), handed=handed)
 
 
 def score(docs: DataFrame, pages: DataFrame, model: Model) -> DataFrame:

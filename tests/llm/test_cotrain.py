@@ -48,10 +48,30 @@ def test_pseudo_labels_teach_the_other_view():
     few, pool, check = slice(0, 60), slice(60, 1400), slice(1400, 2000)
     rest = slice(2000, 2400)
     args = ([strong[few], weak[few]], y[few], [strong[pool], weak[pool]], [strong[check], weak[check]], y[check])
-    acc = lambda views: ((views[1].margin(weak[rest]) > 0) == y[rest]).mean()
+    acc = lambda found: ((found[0][1].margin(weak[rest]) > 0) == y[rest]).mean()
     assert acc(cotrain.co_train(*args, rounds=4, share=0.2)) > acc(cotrain.co_train(*args, rounds=0)) + 0.02
 
 
+def test_a_view_that_knows_nothing_teaches_nothing():
+    rng = np.random.default_rng(1)
+    y = (rng.random(3000) < 0.5).astype(float)
+    strong, noise = np.column_stack([y * 4 + rng.normal(size=3000)]), rng.normal(size=(3000, 4))
+    few, pool, check = slice(0, 400), slice(400, 2000), slice(2000, 3000)
+    _, handed = cotrain.co_train([strong[few], noise[few]], y[few], [strong[pool], noise[pool]], [strong[check], noise[check]], y[check])
+    taught = {v: sum(a + b for _, name, a, b in handed if name == v) for v in cotrain.VIEWS}
+    assert taught["text"] > 200 and taught["metadata"] < 0.5 * taught["text"]  # 240: three rounds of 5 % of the pool
+
+
+def test_labels_go_both_ways_on_the_tables(spark):
+    from pairsim.llm.shared import crc_mod, table
+    d = "/root/testdata/sf0.1"
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url", "html")
+    model = cotrain.fit(table(spark, d, "documents"), pages, table(spark, d, "labels"), learn=crc_mod("doc_id", 5) != 0)
+    assert [(no, v) for no, v, _, _ in model.handed] == [(no, v) for no in (1, 2, 3) for v in cotrain.VIEWS]
+    for v in cotrain.VIEWS:
+        assert sum(zeros for _, name, zeros, _ in model.handed if name == v) > 0 and sum(ones for _, name, _, ones in model.handed if name == v) > 0
+
+
 def test_without_labels_or_rows(spark):
     assert [r.score for r in run(spark, [(1, "a b"), (2, None)], [], [])] == [0.0, 0.0]
     assert [r.score for r in run(spark, [(1, "a b"), (2, "c")], [], [(1, 1), (2, 1)])] == [1.0, 1.0]
