@@ -270,6 +270,36 @@ def vector_pair_scores(entities: DataFrame, group: str = "group_id", ident: str
     return tiles.groupBy(group, "_ti", "_tj").applyInPandas(score_tile, schema)
 
 
+def vector_pair_table(entities: DataFrame, measures: dict, group: str = "group_id", ident: str = "entity_id", vec: str = "encoding",
+                      tile_rows: int = 1024, decimals: int | None = None) -> DataFrame:
+    """Every pair of a group with several measures (name -> as in ``_tile_scores``), all computed inside its tile.
+
+    No vector travels with a pair: a tile of at most 2 x tile_rows vectors is all that a task holds.
+    """
+    import numpy as np
+    import pandas as pd
+
+    gtype = dict(entities.dtypes)[group]
+    schema = f"{group} {gtype}, id1 long, id2 long, " + ", ".join(f"{n} double" for n in measures)
+
+    def score_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        a_rows, b_rows = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
+        if len(a_rows) == 0 or len(b_rows) == 0:
+            return pd.DataFrame({group: [], "id1": [], "id2": [], **{n: [] for n in measures}})
+        a, b = (np.stack(r[vec].to_numpy()).astype(np.float64) for r in (a_rows, b_rows))
+        ia, ib = a_rows[ident].to_numpy(np.int64), b_rows[ident].to_numpy(np.int64)
+        diagonal = pdf["_ti"].iat[0] == pdf["_tj"].iat[0]
+        i, j = np.nonzero(ia[:, None] < ib[None, :] if diagonal else np.ones((len(ia), len(ib)), dtype=bool))
+        x, y = ia[i], ib[j]
+        scores = {n: _tile_scores(a, b, m)[i, j] for n, m in measures.items()}
+        if decimals is not None:
+            scores = {n: np.round(s, decimals) for n, s in scores.items()}
+        return pd.DataFrame({group: pdf[group].iat[0], "id1": np.minimum(x, y), "id2": np.maximum(x, y), **scores})
+
+    tiles = _tile_rows(entities, group, ident, [vec], tile_rows)
+    return tiles.groupBy(group, "_ti", "_tj").applyInPandas(score_tile, schema)
+
+
 def pairs_filtered(pairs: DataFrame, predicate) -> DataFrame:
     """A caller predicate on the pair table, given as a Column or a SQL expression string.
 
