@@ -2,18 +2,20 @@
 
 A source's target share of words is found by water-filling: proportional to its weight, at most ``max_copies`` times
 the words it has, the excess reshared by weight. Inside a source a document expects ``e = min(max_copies, c * weight)``
-copies (``weight`` 1 unless a column is given; ``c`` again by water-filling). ``floor(e)`` copies are certain; the
-rest ``p = e - floor(e)`` is an inclusion probability. Documents get the Pareto rank ``odds(u) / odds(p)`` from a
-deterministic draw ``u`` of their id, and the lowest ranks of a source are taken until its remaining words are filled:
-a sample of fixed size (in words, to within half a document) with unequal probabilities.
+copies (``weight`` 1 unless a column is given, such as ``by_length``; ``c`` again by water-filling). ``floor(e)`` copies
+are certain; the rest ``p = e - floor(e)`` is an inclusion probability. Documents get the Pareto rank ``odds(u) / odds(p)``
+from a deterministic draw ``u`` of their row, and the lowest ranks of a source are taken until its remaining words are
+filled: a sample of fixed size (in words, to within half a document) with unequal probabilities. Weights are few
+different values: a decision is kept per source and weight.
 
 The cut is found without sorting a source: ranks are summed in ``BUCKETS`` buckets per source, and only the bucket that
 holds the cut is ordered. The decision is then a comparison of each row's rank with its source's cut.
 
 Defined cases: null text has size 0; null source is a source of its own (last in code-point order); a source without
-words has target 0; rows that repeat a doc_id (null included) share one draw and are taken or left together; null or
-negative weights count as 0. An empty table gives an empty result. Extra
-columns are kept by ``mix`` and may have any name not starting with ``_mix_``.
+words has target 0; null or negative weights count as 0. A draw is made from doc_id, text and a number: rows of a source that
+repeat both (null included) are numbered, so each has its own draw. They are alike to the mix; which of them has which
+number follows their order in the input. An empty table gives an empty result. Extra columns are kept by ``mix`` and may
+have any name not starting with ``_mix_``.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairsim.llm.shared import store, unit
+from pairsim.llm.shared import among, store, unit
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
@@ -32,6 +34,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def by_length(text: Column) -> Column:
+    """A weight that grows with a document's words: the binary digits of their number, at most 32 different values."""
+    return F.length(F.bin(n_words(text)))
+
+
 def water_fill(items: DataFrame, weight: str, cap: str, total: Column, by: list[str]) -> DataFrame:
     """Adds ``_mix_fill`` = min(cap, lambda * weight), summing to ``total`` (or to all caps) in each group of ``by``.
 
@@ -65,13 +72,14 @@ def source_plan(sizes: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), share: f
     levels = water_fill(levels, "_mix_lw", "_mix_lcap", F.col("target"), ["source"])
     e = F.when(F.col("_mix_words") > 0, F.least(F.col("_mix_fill") / F.col("_mix_words"), F.lit(float(max_copies)))).otherwise(F.lit(0.0))
     certain = F.floor(e).cast("long")
-    return levels.select("source", "_mix_w", "source_size", "target", certain.alias("_mix_base"), (e - certain).alias("_mix_p"),
-                         (F.col("_mix_fill") - certain * F.col("_mix_words")).alias("_mix_rest"))
+    # The fills of a source add up to its target: what is left to draw is the target without the certain copies.
+    rest = F.col("target") - F.sum(certain * F.col("_mix_words")).over(Window.partitionBy("source"))
+    return levels.select("source", "_mix_w", "source_size", "target", certain.alias("_mix_base"), (e - certain).alias("_mix_p"), rest.alias("_mix_rest"))
 
 
-def _rank(p: Column, key: Column) -> Column:
+def _rank(p: Column) -> Column:
     """Pareto rank q = odds(u) / odds(p), mapped to q / (1 + q) in (0, 1); null where p is 0."""
-    u = unit(SEED, key)
+    u = unit(SEED, "doc_id", "_mix_h", "_mix_tie")
     q = (u * (1 - p)) / (p * (1 - u))
     return F.when(p > 0, q / (1 + q))
 
@@ -84,9 +92,9 @@ def _with_plan(df: DataFrame, plan: DataFrame, cols: list[str]) -> DataFrame:
 
 def cuts(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """Per source the largest (rank, doc_id) that is taken; sources that take none are missing."""
-    ranked = _with_plan(sizes, plan, ["_mix_p"]).withColumn("_mix_v", _rank(F.col("_mix_p"), F.col("doc_id"))).where("_mix_v is not null")
+    ranked = _with_plan(sizes, plan, ["_mix_p"]).withColumn("_mix_v", _rank(F.col("_mix_p"))).where("_mix_v is not null")
     ranked = ranked.withColumn("_mix_b", F.least(F.floor(F.col("_mix_v") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    rest = plan.groupBy(F.col("source").alias("_mix_rs")).agg(F.sum("_mix_rest").alias("_mix_rest"))
+    rest = plan.groupBy(F.col("source").alias("_mix_rs")).agg(F.max("_mix_rest").alias("_mix_rest"))
     sums = ranked.groupBy("source", "_mix_b").agg(F.sum("size").alias("_mix_bs"))
     sums = sums.withColumn("_mix_to", F.sum("_mix_bs").over(Window.partitionBy("source").orderBy("_mix_b")))
     sums = sums.withColumn("_mix_from", F.col("_mix_to") - F.col("_mix_bs")).join(rest, F.col("source").eqNullSafe(F.col("_mix_rs")))
@@ -105,9 +113,39 @@ def cuts(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     return before.unionByName(taken).groupBy("source").agg(F.max("_mix_key").alias("_mix_cut"))
 
 
-def _sizes(docs: DataFrame, weight: str | None) -> DataFrame:
-    w = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), w.alias("_mix_w"))
+def _facts(docs: DataFrame, weight: Column | str | None) -> list[Column]:
+    """What the mix knows of a row besides its size."""
+    w = F.lit(1.0) if weight is None else F.greatest(F.coalesce((F.col(weight) if isinstance(weight, str) else weight).cast("double"), F.lit(0.0)), F.lit(0.0))
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.md5(F.col("text").cast("string")).alias("_mix_h"), w.alias("_mix_w")]
+
+
+def _key() -> list[Column]:
+    """Columns, none null, that rows with one draw number share."""
+    return [c for name, none in (("doc_id", F.lit(0)), ("source", F.lit("")), ("_mix_h", F.lit("")))
+            for c in (F.coalesce(name, none).alias(f"_mix_k_{name}"), F.col(name).isNull().alias(f"_mix_n_{name}"))]
+
+
+def numbered_rows(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Adds ``_mix_tie``: 1, 2, 3... among rows of one key; ``repeated`` holds the keys of more than one row.
+
+    Rows whose key is surely not repeated stay where they are. The others are numbered per key and input partition, from the number
+    of the key's rows in the partitions before: a key of many rows is many tasks' work.
+    """
+    names = repeated.columns
+    once, more = among(rows, repeated, _key())
+    more = store(more.withColumn("_mix_part", F.spark_partition_id()), "mix-repeated")
+    before = Window.partitionBy(*names).orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    at = more.groupBy(*names, "_mix_part").agg(F.count(F.lit(1)).alias("_mix_n")).select(*names, "_mix_part", F.coalesce(F.sum("_mix_n").over(before), F.lit(0)).alias("_mix_first"))
+    more = more.join(at, [*names, "_mix_part"])
+    no = F.row_number().over(Window.partitionBy(*names, "_mix_part").orderBy(F.xxhash64("row")))
+    return once.select("row.*", F.lit(1).cast("long").alias("_mix_tie")).unionByName(more.select("row.*", (F.col("_mix_first") + no).alias("_mix_tie")))
+
+
+def _sizes(docs: DataFrame, weight: Column | str | None) -> tuple[DataFrame, DataFrame]:
+    """The stored size of every row, numbered, and the keys that repeat."""
+    sizes = store(docs.select(*_facts(docs, weight), n_words(F.col("text")).alias("size")), "mix-sizes")
+    repeated = store(sizes.groupBy(*_key()).agg(F.count(F.lit(1)).alias("_mix_n")).where("_mix_n > 1").drop("_mix_n"), "mix-keys")
+    return numbered_rows(sizes, repeated), repeated
 
 
 def plan_mix(sizes: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_copies: int = 3) -> DataFrame:
@@ -118,25 +156,24 @@ def plan_mix(sizes: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), share: floa
 
 
 def with_copies(df: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Adds source_size, target and copies to rows that have doc_id, source and ``_mix_w``; no shuffle by document."""
+    """Adds source_size, target and copies to numbered rows; no shuffle by document."""
     out = _with_plan(df, decisions, ["source_size", "target", "_mix_base", "_mix_p", "_mix_cut"])
-    key = F.struct(_rank(F.col("_mix_p"), F.col("doc_id")).alias("_mix_v"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_mix_id"))
+    key = F.struct(_rank(F.col("_mix_p")).alias("_mix_v"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_mix_id"))
     extra = F.coalesce((F.col("_mix_p") > 0) & (key <= F.col("_mix_cut")), F.lit(False))
-    return out.withColumn("copies", F.col("_mix_base") + extra.cast("long")).drop("_mix_base", "_mix_p", "_mix_cut", "_mix_w")
+    return out.withColumn("copies", F.col("_mix_base") + extra.cast("long")).drop("_mix_base", "_mix_p", "_mix_cut", "_mix_w", "_mix_h", "_mix_tie")
 
 
-def mix_report(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_copies: int = 3, weight: str | None = None) -> DataFrame:
+def mix_report(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_copies: int = 3, weight: Column | str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target (the source's), copies, taken (copies * size) for every row."""
-    sizes = store(_sizes(docs, weight), "mix-sizes")
+    sizes, _ = _sizes(docs, weight)
     out = with_copies(sizes, plan_mix(sizes, cycle, share, max_copies))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_copies: int = 3, weight: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_copies: int = 3, weight: Column | str | None = None) -> DataFrame:
     """The mixed documents themselves: each row ``copies`` times, with the columns of ``docs``."""
-    sizes = store(_sizes(docs, weight), "mix-sizes")
+    sizes, repeated = _sizes(docs, weight)
     decisions = plan_mix(sizes, cycle, share, max_copies)
-    w = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
-    side = docs.withColumn("_mix_row", F.struct(*docs.columns)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), w.alias("_mix_w"), "_mix_row")
-    rows = with_copies(side, decisions).where("copies > 0")
+    side = docs.select(*_facts(docs, weight), F.struct(*docs.columns).alias("_mix_row"))
+    rows = with_copies(numbered_rows(side, repeated), decisions).where("copies > 0")
     return rows.select("_mix_row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("_mix_row.*")

@@ -42,8 +42,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MIX_SQL = """
 with d as (
-  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size
+  select doc_id, source, coalesce(md5(text), '') as h, row_number() over (partition by doc_id, source, text) as tie,
+    cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size
   from documents),
+dw as (select *, cast(length(bin(size)) as double) as dw from d),
 s0 as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 s1 as (select *, row_number() over (order by source asc nulls last) as no from s0),
 s2 as (select *, cast((no - 1) % 3 + 1 as double) as w, 3.0::double * source_size as cap,
@@ -53,11 +55,19 @@ s3 as (select *, (total - coalesce(sum(cap) over (order by cap / w, w, no rows b
 s4 as (select *, level * w >= cap as is_full from s3),
 s5 as (select *, arg_min(case when not is_full then level end, case when not is_full then cap / w end) over () as open_level from s4),
 s6 as (select source, source_size, case when is_full then cap else open_level * w end as target from s5),
-s7 as (select *, case when source_size > 0 then least(target / source_size, 3.0::double) else 0.0::double end as e from s6),
-s8 as (select *, cast(floor(e) as bigint) as base, e - floor(e) as p, target - floor(e) * source_size as rest from s7),
-u as (select d.*, s8.source_size, target, base, p, rest,
-  (cast(('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '')), 1, 13)) as bigint) + 0.5) / 4503599627370496.0::double as u
-  from d join s8 on d.source is not distinct from s8.source),
+l0 as (select source, dw, cast(sum(size) as bigint) as words from dw group by all),
+l1 as (select l0.*, source_size, target, dw * words as lw, 3.0::double * words as lcap,
+  case when words > 0 then 3.0::double * words / (dw * words) else 'inf'::double end as ratio from l0 join s6 on l0.source is not distinct from s6.source),
+l2 as (select *, sum(lw) over (partition by source order by ratio, lw, dw rows between current row and unbounded following) as open_lw,
+  target - coalesce(sum(lcap) over (partition by source order by ratio, lw, dw rows between unbounded preceding and 1 preceding), 0.0) as open_words from l1),
+l3 as (select *, case when open_lw > 0 then open_words / open_lw else 0.0::double end as level from l2),
+l4 as (select *, level * lw >= lcap as is_full, row_number() over (partition by source order by ratio, lw, dw) as pos from l3),
+l5 as (select *, arg_min(case when not is_full then level end, case when not is_full then pos end) over (partition by source) as open_level from l4),
+l6 as (select *, case when words > 0 then least(case when is_full then lcap else open_level * lw end / words, 3.0::double) else 0.0::double end as e from l5),
+s8 as (select *, cast(floor(e) as bigint) as base, e - floor(e) as p, target - sum(cast(floor(e) as bigint) * words) over (partition by source) as rest from l6),
+u as (select dw.*, s8.source_size, target, base, p, rest,
+  (cast(('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || h || ':' || tie), 1, 13)) as bigint) + 0.5) / 4503599627370496.0::double as u
+  from dw join s8 on dw.source is not distinct from s8.source and dw.dw = s8.dw),
 q as (select *, case when p > 0 then (u * (1 - p)) / (p * (1 - u)) end as q from u),
 g as (select source, q / (1 + q) as v, coalesce(doc_id, -9223372036854775808) as id, rest, sum(size) as us from q where p > 0 group by all),
 r as (select *, sum(us) over (partition by source order by v, id) as upto from g),
@@ -70,7 +80,7 @@ from q left join c on q.source is not distinct from c.source
 
 @query("op3_pareto_mix", _MIX_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = mixing.mix_report(table(spark, sf_dir, "documents"), cycle=(1, 2, 3), share=1.0, max_copies=3)
+    report = mixing.mix_report(table(spark, sf_dir, "documents"), cycle=(1, 2, 3), share=1.0, max_copies=3, weight=mixing.by_length(F.col("text")))
     return report.select("doc_id", "size", "source_size", "target", "taken")
 
 
