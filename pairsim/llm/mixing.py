@@ -5,8 +5,9 @@ the words it has, the excess reshared by weight. Inside a source a document expe
 copies (``weight`` 1 unless a column is given, such as ``by_length``; ``c`` again by water-filling). ``floor(e)`` copies
 are certain; the rest ``p = e - floor(e)`` is an inclusion probability. Documents get the Pareto rank ``odds(u) / odds(p)``
 from a deterministic draw ``u`` of their row, and the lowest ranks of a source are taken until its remaining words are
-filled: a sample of fixed size (in words, to within half a document) with unequal probabilities. Weights are few
-different values: a decision is kept per source and weight.
+filled: a sample of fixed size (in words, to within half a document) with unequal probabilities. Then one document per
+source changes sides, that whose size comes nearest to what is missing or too much, if that brings the source nearer.
+Weights are few different values: a decision is kept per source and weight.
 
 The cut is found without sorting a source: ranks are summed in ``BUCKETS`` buckets per source, and only the bucket that
 holds the cut is ordered. The decision is then a comparison of each row's rank with its source's cut.
@@ -148,19 +149,40 @@ def _sizes(docs: DataFrame, weight: Column | str | None) -> tuple[DataFrame, Dat
     return numbered_rows(sizes, repeated), repeated
 
 
+def _place() -> Column:
+    """The place of a row in its source's order of ranks; no two rows of a source share one."""
+    return F.struct(_rank(F.col("_mix_p")).alias("_mix_v"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_mix_id"), F.coalesce(F.col("_mix_h"), F.lit("")).alias("_mix_h"), F.col("_mix_tie").alias("_mix_tie"))
+
+
+def _before_cut() -> Column:
+    key = F.struct(_rank(F.col("_mix_p")).alias("_mix_v"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_mix_id"))
+    return F.coalesce((F.col("_mix_p") > 0) & (key <= F.col("_mix_cut")), F.lit(False))
+
+
+def last_changes(sizes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Per source the place of the document that changes sides; sources that no change brings nearer are missing."""
+    rows = _with_plan(sizes, decisions, ["_mix_p", "_mix_rest", "_mix_cut"]).where("_mix_p > 0").withColumn("_mix_in", _before_cut())
+    gaps = store(rows.groupBy(F.col("source").alias("_mix_gs")).agg((F.max("_mix_rest") - F.sum(F.when(F.col("_mix_in"), F.col("size")).otherwise(0))).alias("_mix_gap")), "mix-gaps")
+    rows = rows.join(gaps, F.col("source").eqNullSafe(F.col("_mix_gs"))).withColumn("_mix_off", F.abs(F.col("size") - F.abs("_mix_gap")))
+    rows = rows.where((F.col("_mix_in") == (F.col("_mix_gap") < 0)) & (F.col("_mix_off") < F.abs("_mix_gap")))
+    best = F.min(F.struct(F.col("_mix_off"), _place().alias("_mix_place")))["_mix_place"]
+    return rows.groupBy(F.col("source").alias("_mix_cs")).agg(best.alias("_mix_change"))
+
+
 def plan_mix(sizes: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_copies: int = 3) -> DataFrame:
-    """The stored decision table: one row per source and weight with its certain copies, probability and cut."""
+    """The stored decision table: one row per source and weight with its certain copies, probability, cut and last change."""
     plan = store(source_plan(sizes, cycle, share, max_copies), "mix-plan")
     cut = cuts(sizes, plan).select(F.col("source").alias("_mix_cs"), "_mix_cut")
-    return store(plan.join(cut, F.col("source").eqNullSafe(F.col("_mix_cs")), "left").drop("_mix_cs"), "mix-decisions")
+    decisions = store(plan.join(cut, F.col("source").eqNullSafe(F.col("_mix_cs")), "left").drop("_mix_cs"), "mix-cuts")
+    change = last_changes(sizes, decisions)
+    return store(decisions.join(change, F.col("source").eqNullSafe(F.col("_mix_cs")), "left").drop("_mix_cs"), "mix-decisions")
 
 
 def with_copies(df: DataFrame, decisions: DataFrame) -> DataFrame:
     """Adds source_size, target and copies to numbered rows; no shuffle by document."""
-    out = _with_plan(df, decisions, ["source_size", "target", "_mix_base", "_mix_p", "_mix_cut"])
-    key = F.struct(_rank(F.col("_mix_p")).alias("_mix_v"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_mix_id"))
-    extra = F.coalesce((F.col("_mix_p") > 0) & (key <= F.col("_mix_cut")), F.lit(False))
-    return out.withColumn("copies", F.col("_mix_base") + extra.cast("long")).drop("_mix_base", "_mix_p", "_mix_cut", "_mix_w", "_mix_h", "_mix_tie")
+    out = _with_plan(df, decisions, ["source_size", "target", "_mix_base", "_mix_p", "_mix_cut", "_mix_change"])
+    extra = _before_cut() != F.coalesce((F.col("_mix_p") > 0) & (_place() == F.col("_mix_change")), F.lit(False))
+    return out.withColumn("copies", F.col("_mix_base") + extra.cast("long")).drop("_mix_base", "_mix_p", "_mix_cut", "_mix_change", "_mix_w", "_mix_h", "_mix_tie")
 
 
 def mix_report(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_copies: int = 3, weight: Column | str | None = None) -> DataFrame:

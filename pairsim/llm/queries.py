@@ -68,13 +68,17 @@ s8 as (select *, cast(floor(e) as bigint) as base, e - floor(e) as p, target - s
 u as (select dw.*, s8.source_size, target, base, p, rest,
   (cast(('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || h || ':' || tie), 1, 13)) as bigint) + 0.5) / 4503599627370496.0::double as u
   from dw join s8 on dw.source is not distinct from s8.source and dw.dw = s8.dw),
-q as (select *, case when p > 0 then (u * (1 - p)) / (p * (1 - u)) end as q from u),
-g as (select source, q / (1 + q) as v, coalesce(doc_id, -9223372036854775808) as id, rest, sum(size) as us from q where p > 0 group by all),
+q as (select *, case when p > 0 then ((u * (1 - p)) / (p * (1 - u))) / (1 + (u * (1 - p)) / (p * (1 - u))) end as v, coalesce(doc_id, -9223372036854775808) as id from u),
+g as (select source, v, id, rest, sum(size) as us from q where p > 0 group by all),
 r as (select *, sum(us) over (partition by source order by v, id) as upto from g),
-c as (select source, max({'v': v, 'id': id}) as cut from r where upto - us / 2.0 <= rest group by source)
+c as (select source, max({'v': v, 'id': id}) as cut from r where upto - us / 2.0 <= rest group by source),
+m as (select q.*, coalesce(p > 0 and {'v': v, 'id': id} <= cut, false) as taken_in from q left join c on q.source is not distinct from c.source),
+x as (select *, rest - sum(case when taken_in then size else 0 end) over (partition by source) as gap from m where p > 0),
+y as (select source, min({'off': abs(size - abs(gap)), 'v': v, 'id': id, 'h': h, 'tie': tie}) as best from x
+  where taken_in = (gap < 0) and abs(size - abs(gap)) < abs(gap) group by source)
 select doc_id, size, source_size, target,
-  (base + case when p > 0 and cut is not null and {'v': q / (1 + q), 'id': coalesce(doc_id, -9223372036854775808)} <= cut then 1 else 0 end) * size as taken
-from q left join c on q.source is not distinct from c.source
+  (base + case when taken_in <> coalesce(p > 0 and v = best.v and id = best.id and h = best.h and tie = best.tie, false) then 1 else 0 end) * size as taken
+from m left join y on m.source is not distinct from y.source
 """
 
 

@@ -59,6 +59,11 @@ def plain(rows, cycle=(1, 2, 3), most=3, weigh=lambda size: 1):
             cut = q if upto - size[i] / 2 <= rest else cut
         for q, i in units:
             copies[i] += cut is not None and q <= cut
+        # The last change: one document to the other side, if that brings the source nearer.
+        gap = rest - sum(size[i] for q, i in units if cut is not None and q <= cut)
+        sides = [(abs(size[i] - abs(gap)), q, i) for q, i in units if (cut is not None and q <= cut) == (gap < 0)]
+        if sides and min(sides)[0] < abs(gap):
+            copies[min(sides)[2]] += 1 if gap > 0 else -1
     return size, words, target, copies
 
 
@@ -78,7 +83,7 @@ def test_against_plain(spark, by_length):
         taken[r.source] = taken.get(r.source, 0) + r.taken
         assert r.taken <= 3 * r.size
     for r in got:
-        assert abs(taken[r.source] - r.target) <= 900 / 2 + 1
+        assert abs(taken[r.source] - r.target) <= (450 if r.source == "hot" else 12)
     again = mixing.mix_report(frame(spark, ROWS[::-1]), weight=weight).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
@@ -115,7 +120,7 @@ def test_rows_without_id_have_their_own_draws(spark):
     for r in mixing.mix_report(frame(spark, rows).repartition(7)).collect():
         taken[r.source] = taken.get(r.source, 0) + r.taken
         target[r.source] = r.target
-    assert all(abs(taken[s] - target[s]) <= 20.5 for s in target)
+    assert all(abs(taken[s] - target[s]) <= 2.0 for s in target)  # sizes of a source lie 4 apart from 4 or less on
     _, _, _, copies = plain(rows)
     out = mixing.mix(frame(spark, rows).repartition(7)).groupBy("doc_id", "text", "source").count().collect()
     want = {}
