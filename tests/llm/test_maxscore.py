@@ -50,3 +50,42 @@ def test_pruning_leaves_postings_unread():
     for i in range(16):
         want = sorted((-int(s), j) for j, s in enumerate(x @ q[i]) if j != i)[:10]
         assert [(-s, j) for s, j in zip(score[row == i], found[row == i])] == want
+
+
+def test_sparse_vectors_of_many_dimensions(monkeypatch):
+    """Few postings in a million dimensions; nothing is laid out over all of them, and blocks without an essential list are passed over."""
+    rng = np.random.default_rng(5)
+    rows, ids = [], np.arange(3000)
+    for i in ids:
+        dims = rng.choice(60, 6, replace=False) * 17_000
+        rows.append(dict(zip(dims.tolist(), (rng.integers(-9, 40, 6) * (30 if i % 50 == 0 else 1)).tolist())))
+    r = np.repeat(ids, 6)
+    flat = (r, np.array([d for v in rows for d in v]), np.array([x for v in rows for x in v.values()]))
+    order = np.lexsort((flat[1], flat[0]))
+    flat = tuple(a[order] for a in flat)
+    monkeypatch.setattr(maxscore, "entries", lambda n: tuple(a[flat[0] < n] for a in flat))
+    monkeypatch.setattr(maxscore, "STEP", 64)
+    seen, whole = [], maxscore._block
+    monkeypatch.setattr(maxscore, "_block", lambda *a: seen.append(len(out := whole(*a))) or scored.append(len(out[0])) or out)
+    scored = []
+    row, found, score = maxscore.max_score(ids[:40], 40, ids, 3000, 10)
+    for i in range(40):
+        want = sorted((-sum(x * rows[j].get(d, 0) for d, x in rows[i].items()), int(j)) for j in ids if j != i)[:10]
+        assert [(-s, j) for s, j in zip(score[row == i], found[row == i])] == want
+    assert sum(scored) < 40 * 3000 / 4  # most candidates are never held beside a query
+
+
+def test_against_all_pairs_of_signs_and_blocks(monkeypatch):
+    """All-negative scores, lists that not all candidates are in, empty vectors, ties at the k-th score, small blocks."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-3, 4, (500, 9)) * (rng.random((500, 9)) < 0.4)
+    x[:40] = -np.abs(x[:40]) - 1
+    x[40:60] = 0
+    monkeypatch.setattr(maxscore, "STEP", 32)
+    monkeypatch.setattr(maxscore, "QUERIES", 7)
+    ids = rng.permutation(500)
+    for shift in (0, -9):
+        row, found, score = maxscore.max_score(ids[:80], x[:80], ids, x + shift, 15)
+        for i in range(80):
+            want = sorted((-int(s), int(j)) for j, s in zip(ids, (x + shift) @ x[i]) if j != ids[i])[:15]
+            assert [(-s, j) for s, j in zip(score[row == i], found[row == i])] == want
