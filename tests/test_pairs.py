@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from pairsim.operators import pairs as P
 from pairsim.operators.pairs import all_pairs, vector_pair_scores
 from pairsim.operators.select import best_partner, greedy_select
 from pairsim.operators.signature import band_table, lsh_candidates, minhash_text
@@ -130,3 +131,34 @@ def test_minhash_pair_distance_equals_array_formula(spark):
     assert len(got) == 21
     for (a, b), dist in got.items():
         assert abs(dist - (1 - sum(x == y for x, y in zip(sigs[a], sigs[b])) / 10)) < 1e-12
+
+
+def test_features_of_all_pairs_ride_in_their_tiles(spark):
+    # Repeated and null ids, a null feature, a group of one: as if pairs were made first and joined to the entities twice.
+    rows = [(g, i, [float(i or 0), 1.0] if i != 4 else None) for g in (0, 1) for i in (1, 2, 2, 3, 4, 7, None)] + [(2, 9, [0.0]), (None, 1, [1.0]), (None, 2, [1.0])]
+    ents = spark.createDataFrame(rows, "group_id long, entity_id long, encoding array<float>")
+    as_rows = lambda df: sorted(map(str, df.select("group_id", "id1", "id2", "encoding1", "encoding2").collect()))
+    want = as_rows(P.pair_features(P.all_pairs(ents), ents))
+    assert as_rows(P.pair_features(None, ents)) == want
+    assert as_rows(P.pair_features(None, ents, tile_rows=2)) == want
+    numbered = ents.withColumn("uid", F.monotonically_increasing_id())
+    ids = numbered.select("group_id", "entity_id", "uid")
+    pairs = P.all_pairs(ents)
+    for k in ("1", "2"):
+        pairs = pairs.join(ids.withColumnRenamed("entity_id", f"id{k}").withColumnRenamed("uid", f"uid{k}"), ["group_id", f"id{k}"])
+    by_uid = lambda df: sorted(map(str, df.select("uid1", "uid2", "encoding1", "encoding2").collect()))
+    assert by_uid(P.pair_features_uid(None, numbered)) == by_uid(P.pair_features_uid(pairs.select("uid1", "uid2"), numbered))
+
+
+def test_no_shuffle_of_pairs_in_the_feature_queries(spark):
+    from pairsim.plans.vectors import q_pair_features, q_pair_features_uid
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for q in (q_pair_features, q_pair_features_uid):
+            plan = q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+            # The join that makes the pairs (its key holds the tile) is the last one: nothing above it moves rows.
+            tile = next(k for k, line in enumerate(plan) if "Join" in line and "_bi" in line)
+            assert not any("Exchange" in line or "Join" in line for line in plan[:tile]), plan[:tile + 1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
