@@ -101,3 +101,15 @@ def test_running_aggregates_small_chunks_equal_window(spark):
     a = sorted(tuple(r) for r in got.select("t", "step", "n", "mn", "pb", "mx").collect())
     b = sorted(tuple(r) for r in want.collect())
     assert a == b
+
+
+def test_training_subset_ranks_only_the_buckets_it_needs(spark):
+    from pairsim.operators.ranking import hash_key
+    from pairsim.operators.split import training_subset
+    df = spark.range(20_000).withColumn("k", hash_key("id")).withColumn("k", F.when(F.col("id") % 4000 != 0, F.col("k")))
+    keys = sorted((r.k or "", r.id) for r in df.collect())
+    for n in (0, 3, 700, 20_000, 30_000):
+        got = training_subset(df, "k", n)
+        assert sorted(r.k or "" for r in got.collect()) == [k for k, _ in keys[:n]]
+    plan = training_subset(df, "k", 700)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<= scalar-subquery" in plan
