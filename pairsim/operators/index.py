@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsim.operators.model import encode_entities, head_np
+from pairsim.operators.model import encode_entities, head_np, tile_head
 from pairsim.operators.select import best_of
 from pairsim.session import cut_lineage
 
@@ -26,6 +26,8 @@ TABLES, PROBES = 8, 5
 TILE_ROWS = 1024
 #: Pairs whose encodings are held at once by a task.
 PAIRS = 65_536
+#: Pairs of a tile from which on it is scored as a whole.
+GRID = 1024
 MEMBER, PROBE, PASSIVE = 0, 1, 2
 
 
@@ -149,21 +151,40 @@ def tiled(rows: DataFrame, key: list[str], tile_rows: int = TILE_ROWS) -> DataFr
     return rows.withColumn("_tile", F.explode(tiles)).select("*", "_tile.*").drop("_tile", "_nb")
 
 
-def pair_best(rows: DataFrame, head: Callable[[np.ndarray, np.ndarray], np.ndarray], key: list[str], decimals: int = 6, group: str = "group_id", every_pair: bool = False) -> DataFrame:
+def pair_best(rows: DataFrame, head: Callable[[np.ndarray, np.ndarray], np.ndarray], key: list[str], decimals: int = 6, group: str = "group_id", every_pair: bool = False,
+              grid: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(group, entity, partner, score): the best partner that each class meets in a tile, per task and class.
 
-    With ``every_pair`` all scored pairs, both ways.
+    With ``every_pair`` all scored pairs, both ways. ``grid``: ``head`` for all pairs of two blocks, used for tiles of ``GRID`` pairs
+    and more; their best partners are read off rows and columns, without a list of pairs.
     """
     gtype = dict(rows.dtypes)[group]
     full = [*key, "_i", "_j"]
 
-    def pairs_in(b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes of the row and column sides of all pairs, tile by tile."""
+    def tiles_in(b: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, first row of the column side, and end of every tile."""
         codes = [b.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in full]
         change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1
         lo, hi = np.concatenate([[0], change]), np.concatenate([change, [b.num_rows]])
         side = b.column("_side").to_numpy()
-        cut = lo + np.add.reduceat(side == 0, lo)  # sides are sorted inside a tile
+        return lo, lo + np.add.reduceat(side == 0, lo), hi  # sides are sorted inside a tile
+
+    def best_in(b: pa.Table, lo: int, cut: int, hi: int) -> pa.RecordBatch:
+        """The best partners of a tile's rows and columns; both are sorted by id, so the first of equal scores has the lowest."""
+        ids, z = b.column("id").to_numpy()[lo:hi], _matrix(b.column("z").slice(lo, hi - lo).combine_chunks())
+        n = cut - lo
+        s = np.round(grid(z[:n], z[n:]), decimals)
+        s[np.isnan(s) | (ids[:n, None] == ids[None, n:])] = -np.inf
+        j, i = s.argmax(axis=1), s.argmax(axis=0)
+        own, other = np.concatenate([ids[:n], ids[n:]]), np.concatenate([ids[n:][j], ids[:n][i]])
+        top = np.concatenate([s[np.arange(n), j], s[i, np.arange(s.shape[1])]])
+        good = top > -np.inf
+        name = b.column(group).slice(lo, 1).combine_chunks()
+        return pa.RecordBatch.from_arrays([name.take(pa.array(np.zeros(good.sum(), np.int64))), pa.array(own[good]), pa.array(other[good]), pa.array(top[good])],
+                                          names=[group, "entity", "partner", "score"])
+
+    def pairs_of(lo: np.ndarray, cut: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the row and column sides of all pairs, tile by tile."""
         na, nb = cut - lo, hi - cut
         n = na * nb
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -171,7 +192,13 @@ def pair_best(rows: DataFrame, head: Callable[[np.ndarray, np.ndarray], np.ndarr
         return np.repeat(lo, n) + k // wide, np.repeat(cut, n) + k % wide
 
     def score(b: pa.Table) -> Iterator[pa.RecordBatch]:
-        i, j = pairs_in(b)
+        lo, cut, hi = tiles_in(b)
+        large = (cut - lo) * (hi - cut) >= GRID if grid is not None and not every_pair else np.zeros(len(lo), bool)
+        for tile in zip(lo[large], cut[large], hi[large]):
+            yield best_in(b, *map(int, tile))
+        if large.all():
+            return
+        i, j = pairs_of(lo[~large], cut[~large], hi[~large])
         ids, own, role, code = (b.column(c).to_numpy() for c in ("id", "own", "role", "code"))
         # Two members meet once; a probe is left to the other bucket if that class probes back and has the larger code.
         keep = ids[i] != ids[j]
@@ -252,12 +279,12 @@ def hybrid_partners(entities: DataFrame, w: dict, exact: bool = False, tables: i
     against their group; for a network whose score is not a rising function of the cosine that is every class.
     Entities without a partner in their group have no row.
     """
-    head = lambda a, b: head_np(w, a, b)
+    head, grid = lambda a, b: head_np(w, a, b), tile_head(w)
     classes, members = vector_classes(entities, group)
     z = _encoded(classes, w, group)
     mean, covariance = spread_of(z, _width(w))
     rows = index_rows(z, mean, directions(covariance, tables, seed), probes, group)
-    found = pair_best(tiled(rows, [group, "t", "code"], tile_rows), head, [group, "t", "code"], decimals, group)
+    found = pair_best(tiled(rows, [group, "t", "code"], tile_rows), head, [group, "t", "code"], decimals, group, grid=grid)
     best = cut_lineage(best_of(found, group))
     if exact:
         rising = w["kind"] == "siamese_dot" and float(w["Wo"][0, 0]) > 0
@@ -271,7 +298,7 @@ def hybrid_partners(entities: DataFrame, w: dict, exact: bool = False, tables: i
             open_ = open_.where(~F.coalesce(settled, F.lit(False)))
         plain = lambda df, role: df.select(group, F.lit(0).alias("code"), F.lit(role).alias("role"), F.col("class_id").alias("id"), F.lit(-1).cast("long").alias("own"), F.array().cast("array<long>").alias("asked"), "z")
         whole = plain(z, PASSIVE).unionByName(plain(open_, PROBE))
-        rest = pair_best(tiled(whole, [group, "code"], tile_rows), head, [group, "code"], decimals, group)
+        rest = pair_best(tiled(whole, [group, "code"], tile_rows), head, [group, "code"], decimals, group, grid=grid)
         best = cut_lineage(best_of(best.unionByName(rest), group))
     # Entities of one class have each other at the class's own score.
     twin = z.join(classes.where("second is not null").select(group, "class_id", "second"), [group, "class_id"])

@@ -92,3 +92,24 @@ def test_bounds_hold(spark):
 
 def test_empty(spark):
     assert I.hybrid_partners(entities(spark, []), M.init_weights("siamese_dot", 8), exact=True).collect() == []
+
+
+def test_large_tiles_are_scored_whole(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(4)
+    w = M.init_weights("siamese_dot", 8, seed=0)
+    z = M.encode_np(w, rng.standard_normal((90, 8)))
+    z[40] = z[11]  # equal scores: the lower id
+    rows = spark.createDataFrame([(1, 0, role, i, -1, [], z[i].tolist()) for i in range(90) for role in (I.PASSIVE, I.PROBE) if role == I.PASSIVE or i < 60],
+                                 "group_id long, code long, role int, id long, own long, asked array<long>, z array<double>")
+
+    def no_pairs(a, b):
+        raise AssertionError("pairs of a large tile are listed")
+
+    found = I.pair_best(I.tiled(rows, ["group_id", "code"], 150), no_pairs, ["group_id", "code"], grid=M.tile_head(w))
+    best = {r.entity: (r.partner, r.score) for r in I.best_of(found).collect()}
+    for k in range(60):
+        s = np.round(M.head_np(w, np.repeat(z[k:k + 1], 90, axis=0), z), 6)
+        s[k] = -1
+        assert best[k] == (int(s.argmax()), float(s.max()))
+    assert found.where(F.col("entity") == F.col("partner")).count() == 0
