@@ -162,3 +162,19 @@ def test_no_shuffle_of_pairs_in_the_feature_queries(spark):
             assert not any("Exchange" in line or "Join" in line for line in plan[:tile]), plan[:tile + 1]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_minhash_distance_shuffles_no_pairs(spark):
+    from pairsim.operators.signature import minhash_pair_distance
+    rnd = random.Random(8)
+    rows = [("g", i, [rnd.randrange(3) for _ in range(8)]) for i in range(30)] + [("h", 1, [1] * 8), ("h", 2, None), ("h", None, [1] * 8), (None, 1, [1] * 8)]
+    df = spark.createDataFrame(rows, "group_name string, entity_id long, signature array<int>")
+    d = minhash_pair_distance(df, "group_name", k=8, tile_rows=7)
+    sig = {i: s for g, i, s in rows if g == "g"}
+    want = {(a, b): 1 - sum(x == y for x, y in zip(sig[a], sig[b])) / 8 for a in sig for b in sig if a < b}
+    assert {(r.id1, r.id2): r.minhash_distance for r in d.collect()} == want
+    # Two copies of an entity: each of its pairs twice, with the equal positions of both.
+    twice = minhash_pair_distance(spark.createDataFrame([("g", 1, [1, 2]), ("g", 1, [1, 3]), ("g", 2, [1, 2])], df.schema), "group_name", k=2)
+    assert [(r.id1, r.id2, r.minhash_distance) for r in twice.collect()] == [(1, 2, 1 - 3 / 2)] * 2
+    plan = d._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert "FlatMapGroupsInPandas" in next(line for line in plan if any(x in line for x in ("FlatMapGroups", "Exchange", "Join", "Aggregate")))
