@@ -178,3 +178,35 @@ def test_minhash_distance_shuffles_no_pairs(spark):
     assert [(r.id1, r.id2, r.minhash_distance) for r in twice.collect()] == [(1, 2, 1 - 3 / 2)] * 2
     plan = d._jdf.queryExecution().executedPlan().toString().splitlines()
     assert "FlatMapGroupsInPandas" in next(line for line in plan if any(x in line for x in ("FlatMapGroups", "Exchange", "Join", "Aggregate")))
+
+
+def test_intersections_shuffle_no_pairs(spark):
+    from pairsim.operators.signature import freq_distance, set_jaccard
+    rnd = random.Random(5)
+    texts = {i: [rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, 9))] for i in range(1, 26)}
+    hist = spark.createDataFrame([("g", i, w, t.count(w)) for i, t in texts.items() for w in sorted(set(t))] + [(None, 1, "a", 1)], "g string, entity_id long, token string, n long")
+    d = freq_distance(hist, "g", tile_rows=6)
+    counts = lambda a, b: sum(abs(a.count(w) - b.count(w)) for w in "abcdefgh")
+    assert {(r.id1, r.id2): r.freq_distance for r in d.collect()} == {(i, j): counts(texts[i], texts[j]) for i in texts for j in texts if i < j}
+    ents = spark.createDataFrame([("g", i) for i in [*texts, 3, 99]], "g string, entity_id long")  # listed twice, and without members
+    j = set_jaccard(ents, hist, "g", item="token", tile_rows=6)
+    want = sorted((a, b, len(set(texts.get(a, [])) & set(texts.get(b, [])))) for a in [*texts, 3, 99] for b in [*texts, 3, 99] if a < b)
+    assert sorted((r.id1, r.id2, r.intersection) for r in j.collect()) == want
+    for df in (d, j):  # the join of the tiles is the last one that moves rows
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+        tile = next(k for k, line in enumerate(plan) if "Join" in line)
+        assert "_bi" in plan[tile] and not any("Exchange" in line or "Aggregate" in line for line in plan[:tile])
+
+
+def test_minhash_slabs(spark):
+    import numpy as np
+    import pyarrow as pa
+    from pairsim.operators import signature as G
+    rnd = random.Random(6)
+    rows = [[rnd.randrange(2**32) for _ in range(n)] for n in (1, 3 * G.SLAB + 5, 2, G.SLAB - 3)] + [None, [], [0, 2**32 - 1], [rnd.randrange(2**32) for _ in range(G.SLAB)]]
+    a, b = G.coefficients(7)
+    want = [[min((int(x) * h + int(y)) % G.PRIME for h in r) for x, y in zip(a, b)] if r else None for r in rows]
+    whole = pa.array([[5], *rows], pa.list_(pa.int64()))
+    assert G.minhash_rows(whole.slice(1), 7).to_pylist() == want
+    assert G.minhash_rows(pa.array([None, []], pa.list_(pa.int64())), 7).to_pylist() == [None, None]
+    assert np.array(want[0]).max() < G.PRIME
