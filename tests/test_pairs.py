@@ -210,3 +210,28 @@ def test_minhash_slabs(spark):
     assert G.minhash_rows(whole.slice(1), 7).to_pylist() == want
     assert G.minhash_rows(pa.array([None, []], pa.list_(pa.int64())), 7).to_pylist() == [None, None]
     assert np.array(want[0]).max() < G.PRIME
+
+
+def test_greedy_rounds_store_the_edges_at_most_twice(spark, monkeypatch):
+    from pairsim import session
+    from pairsim.operators import select as S
+    rnd = random.Random(12)
+    n, real = 60, session.cut_lineage
+    edges = [(i, j, round(rnd.random(), 2)) for i in range(n) for j in range(i + 1, n) if rnd.random() < 0.5]
+    prio = {i: rnd.randrange(20) for i in range(n)}
+    for limit in (S.GONE_ROWS, 1):  # the second: stored anew after each round
+        monkeypatch.setattr(S, "GONE_ROWS", limit)
+        stored = []
+
+        def cut(df):
+            out = real(df)
+            if "partner" in out.columns and "_own" in out.columns or "_p" in out.columns and "_pp" in out.columns:
+                stored.append(out.count())
+            return out
+
+        monkeypatch.setattr(session, "cut_lineage", cut)
+        assert _run_greedy(spark, edges, prio, 0.3) == greedy_reference(edges, prio, 0.3)
+        assert stored[0] == 2 * sum(s > 0.3 for _, _, s in edges)
+        if limit > 1:
+            assert sum(stored) <= 2 * stored[0]
+        monkeypatch.setattr(session, "cut_lineage", real)
