@@ -211,3 +211,9 @@ def test_align_blocks_matches_bruteforce(spark):
             e += len(lbl[i]) + len(rb) - L
         e += sum(len(lbl[i]) for i in range(len(lbl)) if i not in used)
         assert got[(a, b)] == (m, e)
+
+
+def test_align_pa_compares_positions_once_a_pair(spark):
+    import __spark_entry__ as entry
+    plan = entry.queries()["align_pa"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with(") == 1
