@@ -123,3 +123,12 @@ def test_tuned_bands_find_pairs_at_the_threshold(spark):
     assert len(near) > 30 and len(near & got) / len(near) >= 0.95
     # No candidate at the threshold that the fixed cut finds is lost beyond that recall; far fewer others come along.
     assert len(near & fixed - got) <= 0.05 * len(near) and len(got - near) <= len(fixed - near)
+
+
+def test_item_sets_are_stored_as_a_row_each(spark, monkeypatch):
+    stored, real = [], J.cut_lineage
+    monkeypatch.setattr(J, "cut_lineage", lambda df: stored.append(real(df)) or stored[-1])
+    rows = [("g", i, f"{k % 7}") for i in range(5) for k in range(40)] + [("g", 0, None), ("g", None, "1"), (None, 1, "1")]
+    sets = {(r.g, r.entity_id): (r.n, len(set(r["items"]))) for r in J.item_sets(spark.createDataFrame(rows, "g string, entity_id long, item string"), "g").collect()}
+    assert sets == {**{("g", i): (7, 7) for i in range(5)}, ("g", None): (1, 1)}
+    assert stored[0].count() == 7
