@@ -113,3 +113,18 @@ def test_training_subset_ranks_only_the_buckets_it_needs(spark):
         assert sorted(r.k or "" for r in got.collect()) == [k for k, _ in keys[:n]]
     plan = training_subset(df, "k", 700)._jdf.queryExecution().optimizedPlan().toString()
     assert "<= scalar-subquery" in plan
+
+
+def test_balanced_parts_are_the_rows_of_the_balanced_split_and_shuffle_few(spark):
+    from pairsim.operators.split import balanced_parts
+    rows = [(f"r{i}", None if i % 50 == 0 else (0.0, 1.0, 0.5, 0.0)[i % 4]) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "k string, score double").withColumn("key", F.when(F.col("k") != "r7", F.md5("k"))).union(
+        spark.createDataFrame([("twice", 1.0, "00")] * 3, "k string, score double, key string"))
+    want = balanced_split(df, "key")
+    for parts in (["train"], ["test"], ["train", "validation"], ["discarded"]):
+        cols = ["k", "score", "key", "stratum", "split"]
+        got = balanced_parts(df, "key", parts)
+        assert got.columns == cols
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.where(F.col("split").isin(*parts)).select(*cols).collect()))
+    plan = balanced_parts(df, "key", ["train"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "isnull(_whole" in plan  # only buckets with a threshold are ranked
