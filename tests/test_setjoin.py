@@ -132,3 +132,29 @@ def test_item_sets_are_stored_as_a_row_each(spark, monkeypatch):
     sets = {(r.g, r.entity_id): (r.n, len(set(r["items"]))) for r in J.item_sets(spark.createDataFrame(rows, "g string, entity_id long, item string"), "g").collect()}
     assert sets == {**{("g", i): (7, 7) for i in range(5)}, ("g", None): (1, 1)}
     assert stored[0].count() == 7
+
+
+def test_bitmaps_bound_what_sets_share(spark):
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a = rng.choice(400, rng.integers(1, 200), replace=False) * 7919
+        b = np.unique(np.concatenate([a[:rng.integers(0, len(a) + 1)], rng.choice(4000, rng.integers(1, 90))]))
+        x, y = (np.frombuffer(v, np.uint64) for v in J._bitmaps.func(pa.array([a, b], pa.list_(pa.int64()))).to_pylist())
+        assert J._most(x, y, len(a), len(b)) >= len(np.intersect1d(a, b))
+    far = [rng.integers(-2**62, 2**62, 300) for _ in range(2)]
+    x, y = (np.frombuffer(v, np.uint64) for v in J._bitmaps.func(pa.array(far, pa.list_(pa.int64()))).to_pylist())
+    assert J._most(x, y, 300, 300) < 120
+
+
+def test_no_set_travels_with_a_pair(spark, monkeypatch):
+    # Many sets meet at a shared item, next to none share enough: what is compared whole is a few pairs.
+    compared, real = [], J.score_pairs
+    monkeypatch.setattr(J, "score_pairs", lambda pairs, *a: compared.append(pairs.count()) or real(pairs, *a))
+    rng = random.Random(1)
+    rows = [("g", i, f"{rng.randrange(900)}") for i in range(150) for _ in range(120)] + [("g", 500 + i, f"k{k}") for i in range(2) for k in range(20 + i)]
+    rows += [("h", i, "k1") for i in (500, 501)] + [(None, 1, "k1"), ("g", None, "k1")]
+    pairs = J.jaccard_join(spark.createDataFrame(rows, "g string, entity_id long, item string"), 0.5, "g", tile_rows=16)[0]
+    assert [(r.g, r.id1, r.id2, r.overlap) for r in pairs.collect()] == [("g", 500, 501, 20)]
+    assert len(compared) == 2 and compared[1] < 0.05 * compared[0]
